@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,7 +59,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(batch.column(text)).to_pylist()], dtype=np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(batch.column(text)).to_pylist()], dtype=np.int64)
         group = (np.cumsum(sizes) - sizes) // limit
         edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [batch.num_rows]))
         for a, b in zip(edges[:-1], edges[1:]):
