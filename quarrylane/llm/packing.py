@@ -15,34 +15,61 @@ from pyspark.sql import functions as F
 from .bpe import default_vocabulary
 from .common import Scratch, steps, text_bytes
 
-_KNOWN: dict[str, tuple] = {}
-ROOM = 300_000
+class Pieces:
+    """Ids of pieces between ASCII white space. The vocabulary's pre-tokenizer drops white space and parts letters from punctuation, so a piece, and a word
+    before its final stop or comma, encode apart. Repeated ones are looked up; new words go to the library in batches. Both look-ups begin anew when full."""
 
-
-def _tokenizer(path: str) -> tuple:
-    if path not in _KNOWN:
+    def __init__(self, path: str, room: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        made = Tokenizer.from_file(path)
-        made.no_padding()
-        made.no_truncation()
-        _KNOWN[path] = (made, {})
-    return _KNOWN[path]
+        self.library, self.room = Tokenizer.from_file(path), room
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.tails = {mark: self.encode([mark])[0] for mark in (b".", b",")} | {b"": b""}
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        batch = self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in batch]
+
+    def learn(self, pieces: list[bytes]) -> None:
+        if len(self.words) + len(pieces) > self.room:
+            self.words.clear()
+        split = []
+        for p in pieces:
+            tail = p[-1:] if p[-1:] in self.tails and p[-2:-1].isalpha() else b""
+            word = p[:-1] if tail else p
+            split.append((p, word.lower() if word.isascii() else word, tail))
+        new = list({word for _, word, _ in split if word not in self.words})
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            self.words.update(zip(part, self.encode(part)))
+        self.known.update([(p, self.words[word] + self.tails[tail]) for p, word, tail in split])
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        pieces = [t.split() for t in texts]
+        try:
+            return [b"".join(map(self.known.__getitem__, t)) for t in pieces]
+        except KeyError:
+            wanted = set().union(*pieces)
+        new = [p for p in wanted if p not in self.known]
+        if len(self.known) + len(new) > self.room:
+            self.known.clear()
+            new = list(wanted)
+        self.learn(new)
+        return [b"".join(map(self.known.__getitem__, t)) for t in pieces]
+
+
+_KNOWN: dict[str, Pieces] = {}
 
 
 def _ids(path: str, texts: list[bytes]) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text. The vocabulary's pre-tokenizer drops white space, so pieces between ASCII white space encode apart; repeated pieces are looked up."""
-    made, known = _tokenizer(path)
-    if len(known) > ROOM:
-        known.clear()
-    pieces = [t.split() for t in texts]
-    new = list({p for t in pieces for p in t if p not in known})
-    for a in range(0, len(new), 20_000):
-        part = new[a : a + 20_000]
-        for piece, found in zip(part, made.encode_batch([p.decode("utf-8") for p in part], add_special_tokens=False)):
-            known[piece] = np.array(found.ids, dtype="<u4").tobytes()
-    return [b"".join([known[p] for p in t]) for t in pieces]
+    """Little-endian unsigned 32-bit ids of each text."""
+    if path not in _KNOWN:
+        _KNOWN[path] = Pieces(path)
+    return _KNOWN[path].of(texts)
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
