@@ -96,7 +96,6 @@ def n_grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n hashes; as long as the input, the last n - 1 entries are not runs."""
     out, have = words.copy(), 1
     result, done = None, 0
-    power = MULT
     while True:  # doubling: runs of 1, 2, 4... joined to runs of n
         if n & have:
             if result is None:
@@ -110,7 +109,7 @@ def n_grams(words: np.ndarray, n: int) -> np.ndarray:
             return mix(result)
         moved = np.zeros_like(out)
         moved[: max(len(out) - have, 0)] = out[have:]
-        out, have, power = out * _power(have) + moved, have * 2, power
+        out, have = out * _power(have) + moved, have * 2
 
 
 def _power(k: int) -> np.uint64:

@@ -47,6 +47,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann_blocks import nearest
 
@@ -54,17 +60,32 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op4_toxicity, op5_packing, op6_topk, op7_bpe, op8_sharding, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op4_toxicity, op5_packing, op6_topk, op7_bpe, op8_sharding, op9_jaccard, op10_ann)}
 
 
 ORACLES: dict[str, str] = {
+    "op9_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3])) END AS sh FROM w
+), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS k
+  FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (SELECT x, y FROM common WHERE 100 * k >= 85 * (nx + ny - k)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT b.x, r.c FROM reach r JOIN both_ways b ON b.y = r.doc_id WHERE r.c < b.x)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) m ON m.doc_id = s.doc_id""",
     "op6_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
