@@ -23,6 +23,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_rows(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_maxent import score_documents
+
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import grade_documents
 
@@ -66,7 +72,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op4_toxicity, op5_packing, op6_topk, op7_bpe, op8_sharding, op9_jaccard, op10_ann)}
+    return {f.__name__: f for f in (op1_quality, op2_substring_dedup, op3_language_model, op4_toxicity, op5_packing, op6_topk, op7_bpe, op8_sharding, op9_jaccard, op10_ann)}
 
 
 ORACLES: dict[str, str] = {
