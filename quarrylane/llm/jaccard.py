@@ -14,7 +14,7 @@ from .components import components
 
 SLOTS = 18  # log2 of the counters that part rare from frequent shingles
 SLICES = 16
-BITMAP = 512
+BITMAP, NARROW = 2048, 512  # bits of a set's parity bitmap, and of its fold that buckets compare first
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
 HASHES = WordHashes()
@@ -51,6 +51,16 @@ def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mix(keys), maps
 
 
+def fold(maps: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of NARROW bits from those of BITMAP bits."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), BITMAP // NARROW, NARROW // 64), axis=1)
+
+
+def near_enough(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether bitmaps leave room for a link: it has |difference| <= (100 - p) / (100 + p) * (|x| + |y|), and bitmaps differ in no more places."""
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (100 - percent) * sizes
+
+
 def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Prefix signatures of one set. Rare shingles stand first and are indexed singly; where they don't suffice, the prefix is extended by frequent ones,
     indexed as pairs within hashed classes. A class of pairs lets one shared shingle go unseen, so the prefix grows by one for each class used: two sets
@@ -114,7 +124,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SLOTS, dtype=np.int64)
-        names = ["doc_id", "n", "cls", "bits", "slice", "counts"]
+        names = ["doc_id", "n", "cls", "bits", "wide", "slice", "counts"]
         for batch in steps(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), n)
             keys, maps = class_keys(sets)
@@ -122,14 +132,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             counters += np.bincount(np.concatenate([(mix(sets[k]) >> U64(64 - SLOTS)).astype(np.int64) for k in once]), minlength=1 << SLOTS)
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([r.tobytes() for r in fold(maps)], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
             )
         if counters.any():
             parts = [p.astype("<i4").tobytes() for p in np.split(counters, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    first = scratch.write(docs.mapInArrow(measure, "doc_id long, n long, cls long, bits binary, slice int, counts binary"), "measured")
-    rows = first.filter("slice < 0").select("doc_id", "n", "cls", "bits")
+    first = scratch.write(docs.mapInArrow(measure, "doc_id long, n long, cls long, bits binary, wide binary, slice int, counts binary"), "measured")
+    rows = first.filter("slice < 0").select("doc_id", "n", "cls", "bits", "wide")
 
     def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros((1 << SLOTS) // SLICES, dtype=np.int64)
@@ -187,7 +197,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = scratch.write(indexed, "met")
     tried = met.filter("kind = 1").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
-    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max_by("bits", "doc_id").alias("bits")), "classes")
+    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
     links = _verified(docs, classes, tried, n, percent, scratch, "first")
     roots = components(links, scratch, "first")
 
@@ -215,9 +225,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 other = other[root[other] != root[i]]
                 if not len(other):
                     continue
-                apart = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                # |difference| <= (100 - p) / (100 + p) * (|x| + |y|) for a link, and bitmaps differ in no more places
-                for j in other[apart * (100 + percent) <= (100 - percent) * (size[other] + size[i])].tolist():
+                for j in other[near_enough(bits[other], bits[i], size[other] + size[i], percent)].tolist():
                     pair = (int(cls[i]), int(cls[j]))
                     if pair not in seen:
                         seen.add(pair)
@@ -241,7 +249,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of class keys whose sets reach the threshold."""
+    """The pairs (a, b) of class keys whose sets reach the threshold; bitmaps thin them out before sets are fetched."""
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                yield batch.select(["a", "b"]).filter(pa.array(near_enough(x, y, batch.column("n").to_numpy(), percent)))
+
+    x = classes.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
+    y = classes.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y").mapInArrow(thin, "a long, b long")
+    pairs = scratch.write(near, f"{name}-near")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = scratch.write(wanted.select("cls", F.col("rep").alias("doc_id")), f"{name}-wanted")
     if wanted.count() <= BROADCAST_ROWS:
