@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch
 from .vectors import valid_vectors
@@ -45,15 +46,15 @@ def _pack(x: np.ndarray) -> bytes:
     return x.astype("<i8").tobytes()
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 256, cell_queries: int = 512) -> DataFrame:
+def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 256, cell_queries: int = 1024, chunk_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products (queries: ids divisible by `every`).
 
     1. Equal vectors become one class holding its k + 1 smallest ids: enough for any query, itself left out. A hot vector is so one row.
-    2. `pivots` classes, the first in hash order, are the Voronoi centres. Query classes go to their nearest centre, in cells of at most about
-       `cell_queries` by hash; a cell's summary is its centre, radius, and the least of its queries' k-th scores over the pivot rows, which no true
+    2. `pivots` classes, the first in hash order, bound scores from below; the first of them, one for each `cell_queries` queries (4 at least), are the
+       Voronoi centres. Query classes go to their nearest centre, hot ones parted by hash; a cell's summary is its centre, radius, and the least of its queries' k-th scores over the pivot rows, which no true
        k-th score is below.
     3. A data class goes to a cell only if  centre . x + radius * |x|  reaches that bound (Cauchy-Schwarz: no query of the cell scores x above the left side).
-    4. Cells are solved by themselves, in blocks; classes are expanded to ids, ranked, and cut to k.
+    4. Cells are solved by themselves, against chunks of about `chunk_rows` data classes; classes are expanded to ids, ranked, and cut to k.
 
     Driver and broadcast hold pivots and cell summaries: the number of cells is bounded by pivots + queries / cell_queries. Null ids, null, empty or
     non-finite vectors take no part; vectors of other dimensions are no candidates of a query; repeated (id, vector) rows count as separate candidates
@@ -80,9 +81,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dims = {len(r.v) // 8 for r in centre_rows}
     centres = {d: np.array([np.frombuffer(r.v, "<i8") for r in centre_rows if len(r.v) == 8 * d]) for d in dims}
-    centre_counts = {d: np.array([len(r.ids) for r in centre_rows if len(r.v) == 8 * d]) for d in dims}
-    n_queries = data.filter("is_query").count()
-    parts = max(1, n_queries // (pivots * cell_queries) * 2 + 1)
+    n_rows, n_queries = data.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
+    n_cells = min(pivots, max(4, n_queries // cell_queries))
+    heads = {d: c[:n_cells] for d, c in centres.items()}
+    parts, chunks = max(1, 2 * n_queries // (n_cells * cell_queries)), max(1, -(-n_rows // chunk_rows))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -95,8 +97,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                 if c is None:  # no pivot has this dimension: one cell that takes all rows of it
                     out.append((v, len(x), -1, 0.0, -np.inf))
                     continue
-                gap = ((c - x).astype(np.float64) ** 2).sum(axis=1)
-                scores = np.repeat(_products(x[None, :], c)[0], np.minimum(centre_counts[len(x)], 1))
+                gap = ((heads[len(x)] - x).astype(np.float64) ** 2).sum(axis=1)
+                scores = _products(x[None, :], c)[0]
                 # the query's own row may be among the pivots: its place is left out
                 scores = np.delete(scores, np.flatnonzero((c == x).all(axis=1)))
                 bound = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
@@ -119,15 +121,19 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                     continue
                 cell, centre, radius, bound = shared.value[d]
                 rows = [(v, i) for v, i in zip(vs, idss) if len(v) == 8 * d]
-                x = np.array([np.frombuffer(v, "<i8") for v, _ in rows]).astype(np.float64)
-                with np.errstate(invalid="ignore"):
-                    most = x @ centre.T + radius[None, :] * np.linalg.norm(x, axis=1)[:, None]
-                most = np.where(np.isnan(most), np.inf, most)
-                slack = 1e-9 * np.abs(most) + 1.0  # float rounding must not drop a row
-                at, to = np.nonzero(most + slack >= bound[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d), pa.int32()), pa.array(cell[to]), pa.array([rows[a][0] for a in at], pa.binary()), pa.array([rows[a][1] for a in at], pa.list_(pa.int64()))], names=["d", "cell", "v", "ids"])
-
-    sent = data.select("v", "ids").mapInArrow(replicate, "d int, cell long, v binary, ids array<long>")
+                for first in range(0, len(rows), 256):
+                    part = rows[first : first + 256]
+                    x = np.array([np.frombuffer(v, "<i8") for v, _ in part]).astype(np.float64)
+                    with np.errstate(invalid="ignore"):
+                        most = x @ centre.T + radius[None, :] * np.linalg.norm(x, axis=1)[:, None]
+                    most = np.where(np.isnan(most), np.inf, most)
+                    slack = 1e-9 * np.abs(most) + 1.0  # float rounding must not drop a row
+                    at, to = np.nonzero(most + slack >= bound[None, :])
+                    for a in range(0, len(at), 4096):
+                        rows_of, cells_of = at[a : a + 4096], cell[to[a : a + 4096]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows_of), d), pa.int32()), pa.array(cells_of), pa.array([part[r][0] for r in rows_of], pa.binary()), pa.array([part[r][1] for r in rows_of], pa.list_(pa.int64()))], names=["d", "cell", "v", "ids"])
+
+    sent = data.select("v", "ids").mapInArrow(replicate, "d int, cell long, v binary, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         qv, xv, ids = left.column("v").to_pylist(), right.column("v").to_pylist(), right.column("ids").to_pylist()
@@ -144,8 +150,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                     out += [(v, i, -s) for s, i in found]
         return pa.Table.from_pylist([dict(zip(("v", "vec_id", "score"), r)) for r in out], schema=pa.schema([("v", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    solved = queries.groupBy("d", "cell").cogroup(sent.groupBy("d", "cell")).applyInArrow(solve, "v binary, vec_id long, score long")
-    # k + 1 rows a query class; one list a class keeps the last join at a row for each query
+    asking = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    solved = asking.groupBy("d", "cell", "chunk").cogroup(sent.groupBy("d", "cell", "chunk")).applyInArrow(solve, "v binary, vec_id long, score long")
+    best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")  # rank <= k + 1 is cut before the shuffle
+    solved = solved.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
     lists = solved.groupBy("v").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("top"))
     answers = asked.join(lists, "v").select("query_id", F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k).alias("top"))
     return answers.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))
