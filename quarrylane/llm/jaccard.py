@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import U64, Scratch, WordHashes, mix, n_grams, partitions_for, steps, text_bytes
 from .components import components
@@ -17,6 +18,7 @@ SLICES = 16
 BITMAP, NARROW = 2048, 512  # bits of a set's parity bitmap, and of its fold that buckets compare first
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
+SALTS = 4
 HASHES = WordHashes()
 
 
@@ -198,7 +200,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tried = met.filter("kind = 1").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
     classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
-    links = _verified(docs, classes, tried, n, percent, scratch, "first")
+    links = _verified(docs, classes, scratch.write(_thinned(classes, tried, percent), "near"), n, percent, scratch, "first")
     roots = components(links, scratch, "first")
 
     members = met.filter("kind = 0").select(F.col("x").alias("sig"), F.col("y").alias("cls"), F.col("c").alias("size"))
@@ -239,28 +241,43 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     left = members.join(facts, "cls").repartition(parts, "sig").mapInArrow(compare, "a long, b long").distinct()
-    left = scratch.write(left.join(tried, ["a", "b"], "left_anti"), "left")
-    more = _verified(docs, classes, left, n, percent, scratch, "second")
-    roots = components(links.unionAll(more), scratch, "all")
+    left = scratch.write(_thinned(classes, left.join(tried, ["a", "b"], "left_anti"), percent), "left-0")
+    # Most pairs fall into one component after a few links, so a round fetches sets only for each class's nearest partners in other components.
+    turn, most = 0, 1
+    while not left.isEmpty():
+        w = Window.partitionBy("b").orderBy("apart", "a")
+        now = scratch.write(left.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("a", "b", "apart"), f"now-{turn}")
+        links = scratch.write(links.unionAll(_verified(docs, classes, now, n, percent, scratch, f"turn-{turn}")), f"links-{turn}")
+        roots = components(links, scratch, f"roots-{turn}")
+        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        open_ = left.join(now.select("a", "b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+        turn, most = turn + 1, most * 8
+        left = scratch.write(open_.select("a", "b", "apart"), f"left-{turn}")
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = scratch.write(named.join(least, "root").select("cls", "component_id"), "named")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) of class keys whose sets reach the threshold; bitmaps thin them out before sets are fetched."""
+def _thinned(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart): the pairs whose wide bitmaps leave room for a link, with the share of their sizes in which these differ."""
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                yield batch.select(["a", "b"]).filter(pa.array(near_enough(x, y, batch.column("n").to_numpy(), percent)))
+                sizes = batch.column("n").to_numpy()
+                apart = np.bitwise_count(x ^ y).sum(axis=1) / np.maximum(sizes, 1)
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"])
+                yield out.filter(pa.array(near_enough(x, y, sizes, percent)))
 
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
-    near = pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y").mapInArrow(thin, "a long, b long")
-    pairs = scratch.write(near, f"{name}-near")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y").mapInArrow(thin, "a long, b long, apart double")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) of class keys whose sets reach the threshold. A set travels once for each pair it is the second of."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
     wanted = scratch.write(wanted.select("cls", F.col("rep").alias("doc_id")), f"{name}-wanted")
     if wanted.count() <= BROADCAST_ROWS:
@@ -273,18 +290,23 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
             same = _signed(keys) == batch.column("cls").to_numpy()  # an id may stand on rows with other texts
             yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)[same]), pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary())], names=["cls", "items"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        good = []
+        if left.num_rows and right.num_rows:
+            x = np.frombuffer(left.column("items")[0].as_py(), np.uint64)
+            for b, y in zip(right.column("b").to_pylist(), right.column("other")):
+                y = np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    good.append((left.column("cls")[0].as_py(), b))
+        return pa.table([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     sets = scratch.write(docs.join(wanted, "doc_id").mapInArrow(make, "cls long, items binary").dropDuplicates(["cls"]), f"{name}-sets")
-    x, y = sets.select(F.col("cls").alias("a"), F.col("items").alias("x")), sets.select(F.col("cls").alias("b"), F.col("items").alias("y"))
-    found = pairs.select("a", "b").join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
+    # the second class of a pair travels to the first; a first class with very many partners is parted by hash
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    second = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("other")), "b").select(F.col("a").alias("first"), salt.alias("part"), "b", "other")
+    used = pairs.select(F.col("a").alias("cls"), salt.alias("salt")).distinct().join(sets, "cls")
+    found = used.groupBy("cls", "salt").cogroup(second.groupBy("first", "part")).applyInArrow(check, "a long, b long")
     out = scratch.write(found, f"{name}-links")
     scratch.drop(f"{name}-sets", f"{name}-wanted")
     return out
