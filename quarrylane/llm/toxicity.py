@@ -96,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     odds = F.log((F.col("n1") + 0.5) / (F.lit(float(total.n1)) + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (F.lit(float(total.n - total.n1)) + 1))
     gain = F.abs(F.col("n1") / total.n1 - (F.col("n") - F.col("n1")) / (total.n - total.n1)) * F.abs(odds)
-    chosen = counts.filter((F.length("term") > 0) & (F.col("n") >= 3)).select("term", odds.alias("odds"), "n1", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(terms).collect()
+    p = total.n1 / total.n
+    chance = (F.col("n1") - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p))  # terms that chance explains (under 3.3 deviations) are no features
+    chosen = counts.filter((F.length("term") > 0) & (F.col("n") >= 3) & (chance >= 11)).select("term", odds.alias("odds"), "n1", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(terms).collect()
     names = [bytes(r.term) for r in chosen]
     marked = {i for i, r in enumerate(chosen) if r.odds > 2 and r.n1 >= 0.02 * total.n1}
     blank = OrdinalModel(names, np.zeros(len(names)), np.zeros(1))
