@@ -18,6 +18,8 @@ from .quality import held_out, labelled
 #: Labelled rows to fit on at most, the first in hash order; and terms kept as features.
 SAMPLE = 20_000
 TERMS = 1024
+#: Squared deviations from its expected count that a term needs to become a feature.
+CHANCE = 11.0
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 
 
@@ -97,8 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("n1") + 0.5) / (F.lit(float(total.n1)) + 1)) - F.log((F.col("n") - F.col("n1") + 0.5) / (F.lit(float(total.n - total.n1)) + 1))
     gain = F.abs(F.col("n1") / total.n1 - (F.col("n") - F.col("n1")) / (total.n - total.n1)) * F.abs(odds)
     p = total.n1 / total.n
-    chance = (F.col("n1") - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p))  # terms that chance explains (under 3.3 deviations) are no features
-    chosen = counts.filter((F.length("term") > 0) & (F.col("n") >= 3) & (chance >= 11)).select("term", odds.alias("odds"), "n1", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(terms).collect()
+    chance = (F.col("n1") - F.col("n") * p) ** 2 / (F.col("n") * p * (1 - p))  # terms that chance explains are no features
+    chosen = counts.filter((F.length("term") > 0) & (F.col("n") >= 3) & (chance >= CHANCE)).select("term", odds.alias("odds"), "n1", gain.alias("gain")).orderBy(F.desc("gain"), "term").limit(terms).collect()
     names = [bytes(r.term) for r in chosen]
     marked = {i for i, r in enumerate(chosen) if r.odds > 2 and r.n1 >= 0.02 * total.n1}
     blank = OrdinalModel(names, np.zeros(len(names)), np.zeros(1))
@@ -119,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return OrdinalModel(names, weights, thresholds)
 
 
-def score_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+def score_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", cut: float = 0.3) -> DataFrame:
     """docs with `severity` (expected grade), `p_toxic` = P(grade > 0) and `toxic` (p_toxic >= cut).
 
     Null and empty texts have no features: the base rate, not toxic. Without a model all are 0. Repeated rows are scored each; other columns stay."""
