@@ -17,7 +17,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are more likely toxic than not."""
+    """Rejects documents that are toxic with a probability of 0.3 or more."""
     model = toxicity.fit(docs, _labels(spark, sf_dir))
     return toxicity.score_documents(docs, model).filter(~F.col("toxic")).select(*docs.columns)
 
