@@ -26,7 +26,7 @@ def test_against_sql(spark, name):
     assert tidy(got).equals(tidy(want))
 
 
-def test_registry():
+def test_registry(spark):
     assert len(fields()) == 42 and resolve("EXT").name == "extension" and resolve("allocated").name == "size_on_disk"
     with pytest.raises(ValueError):
         resolve("nothing")
@@ -39,7 +39,7 @@ def test_patterns(spark):
     assert names(">^m.*s$") == {"main.rs"} and names("[!m]*.md") == {"README.md"} and names("readme", case_sensitive=True) == set() and names("*") == {"main.rs", "README.md", "a[b].txt"}
 
 
-def test_specs():
+def test_specs(spark):
     now = dt.datetime(2024, 3, 13, 12)
     assert specs.parse_size("2KB") == 2048 and specs.parse_time("7d", now)[0] == now - dt.timedelta(days=7)
     assert specs.parse_time("last_month", now) == (dt.datetime(2024, 2, 1), dt.datetime(2024, 3, 1)) and specs.parse_months("q1,may") == [1, 2, 3, 5]
