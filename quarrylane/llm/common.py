@@ -73,23 +73,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, kept between calls up to a size, then begun anew."""
-
-    def __init__(self, room: int = 400_000):
-        super().__init__()
-        self.room = room
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.room:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+VALUES = mix((np.arange(256, dtype=np.uint64) + U64(1)) * MULT)
+LOWERED = VALUES.copy()
+LOWERED[65:91] = VALUES[97:123]
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+BLOCK = 1 << 18
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of MULT and of its inverse modulo 2^64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.multiply.accumulate(np.full(max(n, BLOCK), f, dtype=np.uint64)) for f in (MULT, U64(pow(int(MULT), -1, 1 << 64)))]
+    return _POWERS
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space) of all texts, one after another, and the number of words of each text.
+
+    A word's hash is a difference of two prefix sums of its block, moved to the word's start. Blocks end between words, so a word hashes alike anywhere."""
+    data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    values = LOWERED if lower else VALUES
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        to = min(at + BLOCK, len(data))
+        while not SPACE[data[to - 1]]:
+            gap = SPACE[data[to : to + BLOCK]]
+            to += int(gap.argmax()) + 1 if gap.any() else len(gap)
+        part = data[at:to]
+        space = SPACE[part]
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edges = np.concatenate(([0], edges))
+        power, inverse = _powers(len(part))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(values[part] * power[: len(part)], out=sums[1:])
+        first, last = edges[0::2], edges[1::2]
+        hashes.append(mix((sums[last] - sums[first]) * inverse[first]))
+        starts.append(first + at)
+        at = to
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(starts), ends), prepend=0)
 
 
 def n_grams(words: np.ndarray, n: int) -> np.ndarray:

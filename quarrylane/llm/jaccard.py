@@ -10,28 +10,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Scratch, WordHashes, mix, n_grams, partitions_for, steps, text_bytes
+from .common import U64, Scratch, mix, n_grams, partitions_for, steps, text_bytes, word_hashes
 from .components import components
 
 SLOTS = 18  # log2 of the counters that part rare from frequent shingles
 SLICES = 16
-BITMAP, NARROW = 2048, 512  # bits of a set's parity bitmap, and of its fold that buckets compare first
+NARROW = 512  # bits of the folded parity bitmap that buckets compare first; the wide one has 2 to 4 bits an item, so it tells long sets apart too
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
 SALTS = 4
-HASHES = WordHashes()
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text. Fewer than n words: the whole sequence as one; no words: empty."""
-    words = [t.lower().split() for t in texts]
-    flat = HASHES.of([w for ws in words for w in ws])
+    flat, counts = word_hashes(texts, lower=True)
     grams = n_grams(flat, n) if len(flat) else flat
     out, at = [], 0
-    for ws in words:
-        k = len(ws)
+    for k in counts.tolist():
         if k >= n:
-            out.append(np.unique(grams[at : at + k - n + 1]))
+            out.append(_distinct(grams[at : at + k - n + 1]))
         elif k:
             out.append(mix(n_grams(flat[at : at + k], k)[:1] + U64(k)))
         else:
@@ -40,27 +37,35 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def class_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key of each set, and parity bitmaps (rows of 64-bit words)."""
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def class_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit key of each set."""
     keys = np.zeros(len(sets), dtype=np.uint64)
-    maps = np.zeros((len(sets), BITMAP // 64), dtype=np.uint64)
     for k, s in enumerate(sets):
         if len(s):
-            m = mix(s)
-            keys[k] = (int(m.sum(dtype=np.uint64)) + len(s) * int(np.bitwise_xor.reduce(m))) & (2**64 - 1)
-            odd = np.bincount((m & U64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1
-            maps[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    return mix(keys), maps
+            keys[k] = (int(s.sum(dtype=np.uint64)) + len(s) * int(np.bitwise_xor.reduce(s))) & (2**64 - 1)
+    return mix(keys)
+
+
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set, in 64-bit words; its length is a power of two."""
+    bits = max(NARROW, 1 << (2 * len(s) - 1).bit_length()) if len(s) else NARROW
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def fold(maps: np.ndarray) -> np.ndarray:
-    """Parity bitmaps of NARROW bits from those of BITMAP bits."""
-    return np.bitwise_xor.reduce(maps.reshape(len(maps), BITMAP // NARROW, NARROW // 64), axis=1)
+def fold(bits: np.ndarray, words: int = NARROW // 64) -> np.ndarray:
+    """The parity bitmap of `words` words from one that is as long or longer."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
-def near_enough(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+def within(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether bitmaps leave room for a link: it has |difference| <= (100 - p) / (100 + p) * (|x| + |y|), and bitmaps differ in no more places."""
-    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) * (100 + percent) <= (100 - percent) * sizes
+    return differ * (100 + percent) <= (100 - percent) * sizes
 
 
 def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -68,12 +73,11 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     indexed as pairs within hashed classes. A class of pairs lets one shared shingle go unseen, so the prefix grows by one for each class used: two sets
     that reach the threshold then share a single or a pair. The number of classes depends on a size band; a set near the next band emits for both."""
     spare = len(s) - (percent * len(s) + 99) // 100
-    m = mix(s)
-    often = frequent[(m >> U64(64 - SLOTS)).astype(np.int64)]
-    rare = np.sort(m[~often])
+    often = frequent[(s >> U64(64 - SLOTS)).astype(np.int64)]
+    rare = s[~often]
     if len(rare) > spare:
         return rare[: spare + 1]
-    dense = np.sort(m[often])
+    dense = s[often]
     band = len(s).bit_length() - 1
     out = [rare]
     for b in (band, band + 1) if len(s) * 100 >= percent * (1 << (band + 1)) else (band,):
@@ -129,12 +133,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         names = ["doc_id", "n", "cls", "bits", "wide", "slice", "counts"]
         for batch in steps(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), n)
-            keys, maps = class_keys(sets)
+            keys, maps = class_keys(sets), [bitmap(s) for s in sets]
             _, once = np.unique(keys, return_index=True)
-            counters += np.bincount(np.concatenate([(mix(sets[k]) >> U64(64 - SLOTS)).astype(np.int64) for k in once]), minlength=1 << SLOTS)
+            counters += np.bincount(np.concatenate([(sets[k] >> U64(64 - SLOTS)).astype(np.int64) for k in once]), minlength=1 << SLOTS)
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([r.tobytes() for r in fold(maps)], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([fold(r).tobytes() for r in maps], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
             )
         if counters.any():
             parts = [p.astype("<i4").tobytes() for p in np.split(counters, SLICES)]
@@ -161,7 +165,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         done: set[int] = set()
         for batch in steps(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), n)
-            keys, _ = class_keys(sets)
+            keys = class_keys(sets)
             sig, cls, size = [], [], []
             for k, s in zip(keys.tolist(), sets):
                 if len(s) and k not in done:
@@ -227,7 +231,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 other = other[root[other] != root[i]]
                 if not len(other):
                     continue
-                for j in other[near_enough(bits[other], bits[i], size[other] + size[i], percent)].tolist():
+                for j in other[within(np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64), size[other] + size[i], percent)].tolist():
                     pair = (int(cls[i]), int(cls[j]))
                     if pair not in seen:
                         seen.add(pair)
@@ -265,11 +269,13 @@ def _thinned(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("x", "y"))
-                sizes = batch.column("n").to_numpy()
-                apart = np.bitwise_count(x ^ y).sum(axis=1) / np.maximum(sizes, 1)
-                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart)], names=["a", "b", "apart"])
-                yield out.filter(pa.array(near_enough(x, y, sizes, percent)))
+                sizes, differ = batch.column("n").to_numpy(), np.zeros(batch.num_rows, dtype=np.int64)
+                for k, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    words = min(len(x), len(y))
+                    differ[k] = np.bitwise_count(fold(x, words) ^ fold(y, words)).sum(dtype=np.int64)
+                out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ / np.maximum(sizes, 1))], names=["a", "b", "apart"])
+                yield out.filter(pa.array(within(differ, sizes, percent)))
 
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
@@ -286,7 +292,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), n)
-            keys, _ = class_keys(sets)
+            keys = class_keys(sets)
             same = _signed(keys) == batch.column("cls").to_numpy()  # an id may stand on rows with other texts
             yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)[same]), pa.array([s.tobytes() for s, k in zip(sets, same) if k], pa.binary())], names=["cls", "items"])
 

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, steps, text_bytes
+from .common import U64, Scratch, mix, steps, text_bytes, word_hashes
 
 HEAD = 65_536  # words the softmax models one by one; all others share a class, whose members go by their exact counts
 CLUSTERS, BINS = 8, 15
@@ -20,35 +20,25 @@ RARE, END_CLASS = CLUSTERS * BINS, CLUSTERS * BINS + 1
 NEAR, SKIP, GROUPS = 1024, 32, 64  # feature buckets: previous word, word before it, group of the previous word for the in-class softmax
 SLICES = 64
 FOLD = 7
-HASHES = WordHashes()
-END = b" end"  # no word has a space
+PLACES = 18  # log2 of the slots that look up head words
+END = mix(np.array([2**63 + 1], dtype=np.uint64))[0]
 
 
 def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLD == 2
 
 
-class _Ids(WordHashes):
-    """word -> its place among the head words, or else its hash."""
-
-    def __init__(self, places: dict[int, int]):
-        super().__init__()
-        self.places = places
-
-    def __missing__(self, word: bytes) -> int:
-        h = super().__missing__(word)
-        self[word] = found = self.places.get(h, h)
-        return found
-
-
 class Structure:
     """Head words with their classes and feature buckets; of a fixed size."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, clusters: np.ndarray):
         n = len(hashes)
         self.counts = counts
-        self.places = {int(h): i for i, h in enumerate(hashes.view(np.uint64))}
-        self.end = self.places.get(HASHES[END], n)
+        self.rank = np.argsort(hashes.view(np.uint64))
+        self.sorted = hashes.view(np.uint64)[self.rank]
+        self.first = np.searchsorted(self.sorted >> U64(64 - PLACES), np.arange(1 << PLACES, dtype=np.uint64))
+        self.longest = int(np.bincount((self.sorted >> U64(64 - PLACES)).astype(np.int64)).max()) if n else 0
+        self.end = int(self.place(np.array([END]))[0])
         bins = np.zeros(n, np.int64)
         for k in range(CLUSTERS):
             own = np.flatnonzero(clusters == k)  # by falling count
@@ -68,23 +58,22 @@ class Structure:
         self.bounds = np.concatenate(([0], np.cumsum(np.bincount(self.classes[:-1], minlength=CLASSES))))
 
 
-_WORKER: dict[str, _Ids] = {}
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the head words, else their number."""
+        out, at = np.full(len(h), len(self.sorted), dtype=np.int64), self.first[(h >> U64(64 - PLACES)).astype(np.int64)]
+        for k in range(self.longest):
+            there = np.minimum(at + k, len(self.sorted) - 1)
+            hit = np.flatnonzero(self.sorted[there] == h)
+            out[hit] = self.rank[there[hit]]
+        return out
 
 
-def _tokens(shared, name: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(shared, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Raw ids (head place or hash), head places with rare ones as the last place, and the number of tokens of each text."""
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = _Ids(shared.value.places)
-    words, lengths = [], []
-    for t in texts:
-        found = t.lower().split()
-        words += found
-        words.append(END)
-        lengths.append(len(found) + 1)
-    raw = _WORKER[name].of(words)
-    n = len(shared.value.counts)
-    return raw, np.where(raw < n, raw, n).astype(np.int64), np.array(lengths)
+    words, counts = word_hashes(texts, lower=True)
+    raw = np.insert(words, np.cumsum(counts), END)
+    ids = shared.value.place(raw)
+    return np.where(ids < len(shared.value.counts), ids.astype(np.uint64), raw), ids, counts + 1
 
 
 def _contexts(s: Structure, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,18 +104,18 @@ def _blobs(which: int, counts: np.ndarray, slices: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([which] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["which", "slice", "blob"])
 
 
-def _clusters(docs: DataFrame, scratch: Scratch, hashes: np.ndarray, counts: np.ndarray, total: int, sample_tokens: int) -> np.ndarray:
+def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int, sample_tokens: int) -> np.ndarray:
     """k-means of head words by the common words before them. Fitted on whole documents, drawn by id hash, of about `sample_tokens` tokens; it shapes classes only."""
     spark, contexts = docs.sparkSession, 64
     structure = Structure(hashes, counts, np.zeros(len(hashes), np.int64))
-    shared, name = spark.sparkContext.broadcast(structure), scratch.root + "/0"
+    shared = spark.sparkContext.broadcast(structure)
     share = min(1.0, sample_tokens / max(total, 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(shared.value.counts)
         total = np.zeros(HEAD * contexts, np.int64)
         for batch in steps(batches):
-            _, ids, lengths = _tokens(shared, name, text_bytes(batch.column("text")))
+            _, ids, lengths = _tokens(shared, text_bytes(batch.column("text")))
             one, _ = _contexts(shared.value, ids, lengths)
             good = (one < min(contexts, n)) & (ids < n)
             total += np.bincount(ids[good] * contexts + one[good], minlength=len(total))
@@ -173,14 +162,14 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
     Class softmax: bias + previous-word feature + skip feature. In-class softmax: word bias + (previous word's group, word) feature. Both with a Gaussian
     prior; steps are scaled by the gradient's diagonal curvature."""
     spark = docs.sparkSession
-    shared, name = spark.sparkContext.broadcast(s), scratch.root + "/1"
+    shared = spark.sparkContext.broadcast(s)
     n = len(s.counts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         classes, words = np.zeros(NEAR * SKIP * CLASSES, np.int32), np.zeros(GROUPS * HEAD, np.int32)
         for batch in steps(batches):
-            _, ids, lengths = _tokens(shared, name, text_bytes(batch.column("text")))
+            _, ids, lengths = _tokens(shared, text_bytes(batch.column("text")))
             one, two = _contexts(s, ids, lengths)
             at, times = np.unique((s.near[one] * SKIP + s.skip[two]) * CLASSES + s.classes[ids], return_counts=True)
             classes[at] += times.astype(np.int32)
@@ -285,8 +274,8 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         for batch in steps(batches):
             texts = text_bytes(batch.column("text"))
-            once, n = np.unique(HASHES.of([w for t in texts for w in t.lower().split()]), return_counts=True)
-            words += [once, np.array([HASHES[END]], dtype=np.uint64)]
+            once, n = np.unique(word_hashes(texts, lower=True)[0], return_counts=True)
+            words += [once, np.array([END])]
             times += [n, np.array([len(texts)])]
             held += len(once)
             if held > 2_000_000:
@@ -306,10 +295,10 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     top = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
     hashes, head_counts = np.array([r.h for r in top], dtype=np.int64), np.array([r.c for r in top], dtype=np.int64)
     del top
-    structure = Structure(hashes, head_counts, _clusters(learn, scratch, hashes, head_counts, total, sample_tokens))
+    structure = Structure(hashes, head_counts, _clusters(learn, hashes, head_counts, total, sample_tokens))
     model = train(learn, scratch, structure)
     rest = float(total - head_counts.sum() + (distinct - len(hashes)) + 1)  # add-one mass of the words beyond the head and of the unknown one
-    shared, fitted, name = spark.sparkContext.broadcast(structure), spark.sparkContext.broadcast(model), scratch.root + "/2"
+    shared, fitted = spark.sparkContext.broadcast(structure), spark.sparkContext.broadcast(model)
     floor = np.log10(float(total + distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,7 +306,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         n, part, at = len(s.counts), TaskContext.get().partitionId(), 0
         base = np.append(np.log10(s.counts + 1.0), 0.0)
         for batch in steps(batches):
-            raw, ids, lengths = _tokens(shared, name, text_bytes(batch.column("text")))
+            raw, ids, lengths = _tokens(shared, text_bytes(batch.column("text")))
             one, two = _contexts(s, ids, lengths)
             first = np.cumsum(lengths) - lengths
             line = m.by_class[s.near[one] * SKIP + s.skip[two], s.classes[ids]].astype(np.float64)

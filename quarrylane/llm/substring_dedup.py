@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, n_grams, partitions_for, sliding, steps, text_bytes
+from .common import Scratch, n_grams, partitions_for, sliding, steps, text_bytes, word_hashes
 
 ANCHOR = 8  # words of the run whose least hash names the block of a window
-HASHES = WordHashes()
 
 
 def phrases(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -21,7 +20,7 @@ def phrases(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
     Returns the start window of each phrase (and one past the last), its anchor, the hash of every window, and of every run.
     Equal windows have equal anchors."""
-    words = HASHES.of(text.split())
+    words, _ = word_hashes([text])
     count = len(words) - window + 1
     if count < 1:
         return np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
