@@ -15,7 +15,7 @@ from .components import components
 
 SLOTS = 18  # log2 of the counters that part rare from frequent shingles
 SLICES = 16
-NARROW = 512  # bits of the folded parity bitmap that buckets compare first; the wide one has 2 to 4 bits an item, so it tells long sets apart too
+NARROW, MIDDLE = 512, 4096  # least and most bits of the folded parity bitmap that buckets compare first; the wide one has 2 to 4 bits an item
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
 SALTS = 4
@@ -58,11 +58,16 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def fold(bits: np.ndarray, words: int = NARROW // 64) -> np.ndarray:
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
     """The parity bitmap of `words` words from one that is as long or longer."""
     return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
+def narrow(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """A fold of half a bit to a bit an item: bitmaps of unrelated sets differ in more places than a link allows, up to 3 items a bit."""
+    return fold(bits, min(MIDDLE, max(NARROW, 1 << (len(s) // 2).bit_length())) // 64)
+
+
 def within(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     """Whether bitmaps leave room for a link: it has |difference| <= (100 - p) / (100 + p) * (|x| + |y|), and bitmaps differ in no more places."""
     return differ * (100 + percent) <= (100 - percent) * sizes
@@ -138,7 +143,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             counters += np.bincount(np.concatenate([(sets[k] >> U64(64 - SLOTS)).astype(np.int64) for k in once]), minlength=1 << SLOTS)
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([fold(r).tobytes() for r in maps], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([narrow(s, r).tobytes() for s, r in zip(sets, maps)], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
             )
         if counters.any():
             parts = [p.astype("<i4").tobytes() for p in np.split(counters, SLICES)]
@@ -211,38 +216,42 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     facts = classes.select("cls", "bits").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("root"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("sig").to_numpy(), b.column("cls").to_numpy(), b.column("size").to_numpy(), b.column("root").to_numpy(), np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, -1)) for b in batches if b.num_rows]
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "cls", "size", "root", "bits")] for b in batches if b.num_rows]
         if not parts:
             return
         sig, cls, size, root, bits = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((cls, size, sig))
         sig, cls, size, root, bits = sig[order], cls[order], size[order], root[order], bits[order]
-        seen: set[tuple[int, int]] = set()
-        edges = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-        out: list[tuple[int, int]] = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if hi - lo < 2 or (root[lo:hi] == root[lo]).all():
-                continue
-            for i in range(lo, hi - 1):
-                end = lo + int(np.searchsorted(size[lo:hi], size[i] * 100 // percent, side="right"))
-                if end <= i + 1:
-                    continue
-                other = np.arange(i + 1, end)
-                other = other[root[other] != root[i]]
-                if not len(other):
-                    continue
-                for j in other[within(np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64), size[other] + size[i], percent)].tolist():
-                    pair = (int(cls[i]), int(cls[j]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append(pair)
-            if len(out) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-                out = []
-            if len(seen) > 2_000_000:
-                seen.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        words = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits)) // 8
+        # bitmaps by length; one also stands, folded, among those of half its length, for the shorter sets it may meet
+        place, maps = {}, {}
+        for w in np.unique(words).tolist():
+            own, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+            place[w] = np.full(len(bits), -1, dtype=np.int32)
+            place[w][own], place[w][longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
+            far = np.frombuffer(b"".join(bits[longer]), np.uint64).reshape(-1, 2, w)
+            maps[w] = np.concatenate([np.frombuffer(b"".join(bits[own]), np.uint64).reshape(-1, w), far[:, 0] ^ far[:, 1]])
+        found, held = [], 0
+        k, gap = np.arange(len(sig)), 1
+        while len(k):  # rows of a bucket stand by size, so a row is done at the first one that is too large or in the next bucket
+            k = k[k + gap < len(sig)]
+            k = k[(sig[k] == sig[k + gap]) & _fits(size[k], size[k + gap], percent)]
+            open_ = k[root[k] != root[k + gap]]
+            for w in maps:
+                own = open_[words[open_] == w]
+                for at in range(0, len(own), 100_000):
+                    i = own[at : at + 100_000]
+                    j = i + gap
+                    differ = np.bitwise_count(maps[w][place[w][i]] ^ maps[w][place[w][j]]).sum(axis=1, dtype=np.int64)
+                    good = within(differ, size[i].astype(np.int64) + size[j], percent) | (place[w][j] < 0)  # lengths further apart are left to the exact check
+                    found.append(np.stack([cls[i[good]], cls[j[good]]], axis=1))
+                    held += int(good.sum())
+            gap += 1
+            if held > 1_000_000 or (held and not len(k)):
+                pairs = np.unique(np.concatenate(found), axis=0)
+                found, held = [], 0
+                for at in range(0, len(pairs), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, c]) for c in (0, 1)], names=["a", "b"])
 
     left = members.join(facts, "cls").repartition(parts, "sig").mapInArrow(compare, "a long, b long").distinct()
     left = scratch.write(_thinned(classes, left.join(tried, ["a", "b"], "left_anti"), percent), "left-0")
