@@ -221,7 +221,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             return
         sig, cls, size, root, bits = (np.concatenate(c) for c in zip(*parts))
         order = np.lexsort((cls, size, sig))
-        sig, cls, size, root, bits = sig[order], cls[order], size[order], root[order], bits[order]
+        sig, root = sig[order], root[order]
+        new = np.append(True, sig[1:] != sig[:-1])
+        bucket_of = np.cumsum(new) - 1
+        mixed = np.bincount(bucket_of, root != root[new][bucket_of]) > 0  # the others are in one component already
+        keep = mixed[bucket_of]
+        order, sig, root = order[keep], sig[keep], root[keep]
+        cls, size, bits = cls[order], size[order], bits[order]
         words = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits)) // 8
         # bitmaps by length; one also stands, folded, among those of half its length, for the shorter sets it may meet
         place, maps = {}, {}
