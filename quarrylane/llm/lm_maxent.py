@@ -124,7 +124,7 @@ def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: in
 
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).coalesce(8)
     x = np.zeros((HEAD, contexts))
-    for r in _summed(drawn.mapInArrow(count, "which int, slice int, blob binary")).toLocalIterator():
+    for r in _summed(drawn.mapInArrow(count, "which int, slice int, blob binary")).collect():
         x.reshape(16, -1)[r["slice"]] = np.frombuffer(zlib.decompress(r.blob), np.int64)
     x = np.sqrt(x[: len(hashes)])
     norm = np.linalg.norm(x, axis=1)
@@ -198,7 +198,7 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
 
         seen1, p1 = np.zeros((NEAR, CLASSES)), np.zeros((NEAR, CLASSES))
         seen2, p2 = np.zeros((SKIP, CLASSES)), np.zeros((SKIP, CLASSES))
-        for r in table.filter("which = 0").mapInArrow(gradient, "slice int, g binary").toLocalIterator() if step == 0 else table.filter("which = 0").mapInArrow(gradient, "slice int, g binary").collect():
+        for r in table.filter("which = 0").mapInArrow(gradient, "slice int, g binary").collect():
             g, size = np.frombuffer(r.g), near_rows * CLASSES
             rows = slice(r["slice"] * near_rows, (r["slice"] + 1) * near_rows)
             seen1[rows], p1[rows] = g[:size].reshape(-1, CLASSES), g[size : 2 * size].reshape(-1, CLASSES)
@@ -244,7 +244,7 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
     default = np.empty(n)
     default[order] = normal(base[order])
     in_class = np.tile(default.astype(np.float32), (GROUPS, 1))
-    for r in table.filter("which = 1").mapInArrow(members, "slice int, g binary").toLocalIterator():
+    for r in table.filter("which = 1").mapInArrow(members, "slice int, g binary").collect():
         in_class[r["slice"] * group_rows : (r["slice"] + 1) * group_rows] = np.frombuffer(zlib.decompress(r.g), np.float32).reshape(group_rows, n)
     return Model(by_class, in_class)
 
