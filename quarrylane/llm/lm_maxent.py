@@ -104,12 +104,11 @@ def _blobs(which: int, counts: np.ndarray, slices: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([which] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["which", "slice", "blob"])
 
 
-def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: int, sample_tokens: int) -> np.ndarray:
-    """k-means of head words by the common words before them. Fitted on whole documents, drawn by id hash, of about `sample_tokens` tokens; it shapes classes only."""
+def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """k-means of head words by the common words before them, counted over all of `docs`."""
     spark, contexts = docs.sparkSession, 64
     structure = Structure(hashes, counts, np.zeros(len(hashes), np.int64))
     shared = spark.sparkContext.broadcast(structure)
-    share = min(1.0, sample_tokens / max(total, 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(shared.value.counts)
@@ -122,9 +121,8 @@ def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray, total: in
         if total.any():
             yield _blobs(0, total, 16)
 
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).coalesce(8)
     x = np.zeros((HEAD, contexts))
-    for r in _summed(drawn.mapInArrow(count, "which int, slice int, blob binary")).collect():
+    for r in _summed(docs.mapInArrow(count, "which int, slice int, blob binary")).collect():
         x.reshape(16, -1)[r["slice"]] = np.frombuffer(zlib.decompress(r.blob), np.int64)
     x = np.sqrt(x[: len(hashes)])
     norm = np.linalg.norm(x, axis=1)
@@ -249,10 +247,10 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
     return Model(by_class, in_class)
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts under an add-one unigram base and the model.
 
-    Learns from documents outside the held-out fold; counts and feature counts cover all of them. Outcomes are the V training tokens (words, the end) and
+    Learns from documents outside the held-out fold; counts, word contexts and feature counts cover all of them. Outcomes are the V training tokens (words, the end) and
     one for unknown words, as in the base, so both are proper distributions over the same outcomes. The counts table is never broadcast: words beyond the
     HEAD most frequent meet their counts in a join. Null and empty texts are one end token; repeated rows are scored each; a null id is trained on (its fold
     is unknown, held_out false); an empty table gives no rows; with nothing to train on the score is the base's. Words are told apart by 64-bit hashes."""
@@ -295,7 +293,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     top = counts.orderBy(F.desc("c"), "h").limit(HEAD).collect()
     hashes, head_counts = np.array([r.h for r in top], dtype=np.int64), np.array([r.c for r in top], dtype=np.int64)
     del top
-    structure = Structure(hashes, head_counts, _clusters(learn, hashes, head_counts, total, sample_tokens))
+    structure = Structure(hashes, head_counts, _clusters(learn, hashes, head_counts))
     model = train(learn, scratch, structure)
     rest = float(total - head_counts.sum() + (distinct - len(hashes)) + 1)  # add-one mass of the words beyond the head and of the unknown one
     shared, fitted = spark.sparkContext.broadcast(structure), spark.sparkContext.broadcast(model)

@@ -109,6 +109,17 @@ def test_language_model(docs, nothing):
     assert score_documents(nothing).count() == 0
 
 
+def test_language_model_clusters_see_all_rows(spark, monkeypatch):
+    from quarrylane.llm import lm_maxent
+
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choices("abcdefgh", k=10_000)), "", "", 0) for k in range(400)]
+    asked, summed = [], lm_maxent._summed
+    monkeypatch.setattr(lm_maxent, "_summed", lambda x: asked.append(x) or summed(x))
+    train = lm_maxent.score_documents(spark.createDataFrame(rows, DOCS)).first().train_tokens
+    assert sum(int(np.frombuffer(zlib.decompress(b.blob), np.int64).sum()) for b in asked[0].collect()) == train > 3_000_000
+
+
 def test_packing_and_bpe(docs, nothing):
     from tokenizers import Tokenizer
 
