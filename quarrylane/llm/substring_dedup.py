@@ -35,12 +35,14 @@ class _Local(dict):
     """The earliest holder of each phrase a task has met; phrases met again are repeats at once and never leave the task, so copies are no hot group."""
 
     def meet(self, anchor: int, blob: bytes, holder: tuple) -> tuple | None:
-        """Files the phrase; the later of two holders, if there are two."""
+        """Files the phrase; the later of two holders, if there are two. A repeated row brings the same holder again, which is no second one."""
         key = (anchor, hashlib.blake2b(blob, digest_size=12).digest())
         old = self.get(key)
         if old is None:
             self[key] = (*holder, blob)
             return None
+        if old[:3] == holder:
+            return None
         if old[:2] <= holder[:2]:
             return holder
         self[key] = (*holder, blob)

@@ -58,6 +58,18 @@ def test_substring_dedup(docs, nothing):
     assert digest_rows(nothing).count() == 0
 
 
+def test_substring_dedup_repeated_rows(spark):
+    from quarrylane.llm.substring_dedup import remove_repeats
+
+    r = random.Random(4)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    one, two = text(40), text(40)
+    first, null, other = f"{text(30)} {one} {text(30)}", f"{two} {text(9)}", text(25)
+    rows = [(1, first), (1, first), (None, null), (None, null), (2, f"{other} {one} {two}")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), with_text=True).collect()
+    assert sorted((d.doc_id or 0, d.n_removed, d.text) for d in got) == sorted([(0, 0, null)] * 2 + [(1, 0, first)] * 2 + [(2, 80, other)])
+
+
 def test_jaccard(docs, nothing):
     from quarrylane.llm.jaccard import jaccard_components
 
