@@ -1,4 +1,4 @@
-"""Language-model scoring by a hashed maximum-entropy model with class-factored softmax."""
+"""Language-model scoring by a hashed maximum-entropy model with class-factored softmax, under word n-gram and skip counts."""
 
 from __future__ import annotations
 
@@ -21,6 +21,10 @@ NEAR, SKIP, GROUPS = 1024, 32, 64  # feature buckets: previous word, word before
 SLICES = 64
 FOLD = 7
 PLACES = 18  # log2 of the slots that look up head words
+CHUNK_BYTES = 3_000_000  # text that is looked up in the n-gram table at a time
+KEY_BITS, KINDS = 48, 4  # bits of an n-gram's hash; its last two tell its kind: pair, skip pair, word, context of skip pairs
+SLICE_TOKENS = 1_000_000  # tokens to a slice of the n-gram table
+BACK_OFF = 4.0  # tokens of the class model that every context is given
 END = mix(np.array([2**63 + 1], dtype=np.uint64))[0]
 
 
@@ -69,17 +73,19 @@ class Structure:
 
 
 def _tokens(shared, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Raw ids (head place or hash), head places with rare ones as the last place, and the number of tokens of each text."""
+    """Hashes, head places with rare ones as the last place, and the number of tokens of each text."""
     words, counts = word_hashes(texts, lower=True)
     raw = np.insert(words, np.cumsum(counts), END)
-    ids = shared.value.place(raw)
-    return np.where(ids < len(shared.value.counts), ids.astype(np.uint64), raw), ids, counts + 1
+    return raw, shared.value.place(raw), counts + 1
 
 
 def _contexts(s: Structure, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The previous word and the one before it; a text begins after two ends."""
+    return _before(ids, lengths, s.end if s.end < len(s.counts) else len(s.counts))
+
+
+def _before(ids: np.ndarray, lengths: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(lengths) - lengths
-    end = s.end if s.end < len(s.counts) else len(s.counts)
     one, two = np.roll(ids, 1), np.roll(ids, 2)
     one[first] = two[first] = end
     two[(first + 1)[lengths > 1]] = end
@@ -104,6 +110,88 @@ def _blobs(which: int, counts: np.ndarray, slices: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([which] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["which", "slice", "blob"])
 
 
+def _keys(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The n-gram table's keys of each token, a kind after another."""
+    one, two = _before(raw, lengths, END)
+    kinds = (mix(one + U64(1)) + raw, mix(two + U64(2)) + raw, raw + U64(3), two + U64(4))
+    return np.concatenate([mix(k) >> U64(64 - KEY_BITS) & ~U64(KINDS - 1) | U64(i) for i, k in enumerate(kinds)])
+
+
+def _packed(x: np.ndarray, level: int = 1) -> bytes:
+    """Unsigned numbers in the fewest bytes that hold them all, the first byte telling how many."""
+    size = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * k)
+    return bytes([size]) + zlib.compress(x.astype(f"<u{size}").tobytes(), level)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.uint64)
+
+
+def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of some documents each; their texts are held compressed."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 33
+        for k, batch in enumerate(steps(batches, limit=CHUNK_BYTES)):
+            texts = text_bytes(batch.column("text"))
+            blob = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            columns = [[part + k], [batch.column("doc_id").to_pylist()], [batch.column("held_out").to_pylist()], [[len(t) for t in texts]], [blob]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "doc_id", "held_out", "sizes", "texts"])
+
+    return scratch.write(docs.mapInArrow(cut, "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary"), "chunks")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _texts(sizes: list[int], blob: bytes) -> list[bytes]:
+    whole, ends = pa.decompress(blob, decompressed_size=sum(sizes), codec="zstd", asbytes=True) if sum(sizes) else b"", np.cumsum(sizes)
+    return [whole[e - n : e] for e, n in zip(ends.tolist(), sizes)]
+
+
+def n_grams_met(chunks: DataFrame, total: int) -> DataFrame:
+    """(chunk, slice, counts, pairs, skips): for the sorted keys of each chunk, slice by slice, their counts over all training tokens. Rows of chunk -1
+    have the number of a slice's pairs and skip pairs that occur once. The table's slices grow in number with the input; none is broadcast or collected."""
+    bits = KEY_BITS - max(8, (total // SLICE_TOKENS).bit_length())
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                words, counts = word_hashes(_texts(row["sizes"], row["texts"]), lower=True)
+                keys = _keys(np.insert(words, np.cumsum(counts), END), counts + 1)
+                learnt = np.tile(np.repeat(~np.array(row["held_out"]), counts + 1), KINDS)
+                once, at = np.unique(keys, return_inverse=True)
+                times = np.bincount(at, learnt, minlength=len(once)).astype(np.int64)
+                new = np.flatnonzero(np.diff((once >> U64(bits)).astype(np.int64), prepend=-1))
+                slices = (once[new] >> U64(bits)).astype(np.int32)
+                gaps = np.diff(once, prepend=U64(0))
+                gaps[new] = once[new] & U64((1 << bits) - 1)
+                keys, times = ([_packed(p, level) for p in np.split(x, new[1:])] for x, level in ((gaps, 0), (times, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), row["chunk"])), pa.array(slices), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["chunk", "slice", "keys", "times"])
+
+    def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(_unpacked(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        once, at = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([_unpacked(t) for t in table.column("times").to_pylist()])).astype(np.int64)
+        single = np.bincount((once[counts == 1] & U64(KINDS - 1)).astype(np.int64), minlength=KINDS)
+        own = [_packed(c) for c in np.split(counts[at], np.cumsum([len(k) for k in keys])[:-1])]
+        n = len(own)
+        columns = [[*table.column("chunk").to_pylist(), -1], [key[0].as_py()] * (n + 1), [*own, b""], [0] * n + [int(single[0])], [0] * n + [int(single[1])]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["chunk", "slice", "counts", "pairs", "skips"])
+
+    met = chunks.mapInArrow(gather, "chunk long, slice int, keys binary, times binary")
+    return met.groupBy("slice").applyInArrow(add, "chunk long, slice int, counts binary, pairs long, skips long")
+
+
+def _backed(pair: np.ndarray, context: np.ndarray, rarely: float, lower: np.ndarray) -> np.ndarray:
+    """Probabilities by counts over those of a lower order, which get `rarely` to 1 of a context's tokens (Good and Turing's share of the unseen) and BACK_OFF."""
+    own = BACK_OFF + rarely * context
+    return (pair + own * lower) / (context + own)
+
+
 def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """k-means of head words by the common words before them, counted over all of `docs`."""
     spark, contexts = docs.sparkSession, 64
@@ -251,8 +339,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of whole texts under an add-one unigram base and the model.
 
     Learns from documents outside the held-out fold; counts, word contexts and feature counts cover all of them. Outcomes are the V training tokens (words, the end) and
-    one for unknown words, as in the base, so both are proper distributions over the same outcomes. The counts table is never broadcast: words beyond the
-    HEAD most frequent meet their counts in a join. Null and empty texts are one end token; repeated rows are scored each; a null id is trained on (its fold
+    one for unknown words, as in the base, so both are proper distributions over the same outcomes. The model of classes
+    and head words has a fixed size; over it stand the counts of all training word pairs, at a distance of one and of two, in a table that grows with the
+    input and is joined by chunks of documents, as are the words' own counts. Neither is broadcast. Null and empty texts are one end token; repeated rows are scored each; a null id is trained on (its fold
     is unknown, held_out false); an empty table gives no rows; with nothing to train on the score is the base's. Words are told apart by 64-bit hashes."""
     spark = df.sparkSession
     scratch = Scratch(spark, "maxent")
@@ -299,41 +388,37 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared, fitted = spark.sparkContext.broadcast(structure), spark.sparkContext.broadcast(model)
     floor = np.log10(float(total + distinct + 1))
 
+    chunks = _chunks(docs, scratch)
+    met = scratch.write(n_grams_met(chunks, total), "met")
+    once = met.filter("chunk < 0").agg(F.sum("pairs"), F.sum("skips")).first()
+    rarely = [n / max(total - n, 1) for n in once]
+    scratch.drop("counts", "features")
+    met = met.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slice", "counts"))).alias("met"))
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, m = shared.value, fitted.value
-        n, part, at = len(s.counts), TaskContext.get().partitionId(), 0
-        base = np.append(np.log10(s.counts + 1.0), 0.0)
-        for batch in steps(batches):
-            raw, ids, lengths = _tokens(shared, text_bytes(batch.column("text")))
-            one, two = _contexts(s, ids, lengths)
-            first = np.cumsum(lengths) - lengths
-            line = m.by_class[s.near[one] * SKIP + s.skip[two], s.classes[ids]].astype(np.float64)
-            head = ids < n
-            line[head] += m.in_class[s.group[one[head]], ids[head]]
-            owner = np.repeat(np.arange(len(lengths)), lengths)[~head]
-            pairs = np.lexsort((raw[~head], owner))
-            o, h = owner[pairs], raw[~head][pairs]
-            new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])))) if len(o) else np.zeros(0, np.int64)
-            times = np.diff(np.append(new, len(o)))
-            offsets = np.searchsorted(o[new], np.arange(len(lengths) + 1))
-            rows = len(lengths)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((part << 33) + at + np.arange(rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths.astype(np.int64)),
-                    pa.array(np.add.reduceat(head.astype(np.int64), first)), pa.array(np.add.reduceat(base[ids] - floor, first)), pa.array(np.add.reduceat(line, first) / np.log(10)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(h[new].view(np.int64))), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(times.astype(np.int32))),
-                ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "line", "h", "times"],
-            )
-            at += rows
-
-    scored = scratch.write(docs.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, line double, h array<long>, times array<int>"), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("h", "times")).alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.times").alias("times"))
-    of = F.coalesce(F.col("c"), F.lit(0))
-    sums = rare.join(counts, "h", "left").groupBy("row").agg(F.sum(F.when(of > 0, F.col("times")).otherwise(0)).alias("k"), F.sum(F.col("times") * F.log10(of + 1.0)).alias("w"), F.sum("times").alias("r"))
-    joined = scored.drop("h", "times").join(sums, "row", "left")
-    w, r = F.coalesce("w", F.lit(0.0)), F.coalesce("r", F.lit(0))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("base") + w).alias("base_score"), (F.col("line") + w - r * float(np.log10(rest))).alias("score"),
-    )
+        n = len(s.counts)
+        for batch in batches:
+            for row in _rows(batch):
+                raw, ids, lengths = _tokens(shared, _texts(row["sizes"], row["texts"]))
+                _, at = np.unique(_keys(raw, lengths), return_inverse=True)
+                counts = np.concatenate([_unpacked(x["counts"]) for x in row["met"]])[at].astype(np.float64)
+                pair, skip, word, far = np.split(counts, KINDS)
+                near, _ = _before(word, lengths, word[lengths[0] - 1])  # a text ends and begins with the end
+                one, two = _contexts(s, ids, lengths)
+                first = np.cumsum(lengths) - lengths
+                line = m.by_class[s.near[one] * SKIP + s.skip[two], s.classes[ids]].astype(np.float64)
+                head = ids < n
+                line[head] += m.in_class[s.group[one[head]], ids[head]]
+                line[~head] += np.log((word[~head] + 1) / rest)
+                p = _backed(pair, near, rarely[0], _backed(skip, far, rarely[1], np.exp(line)))
+                base = np.log10(word + 1) - floor
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(lengths.astype(np.int64)), pa.array(np.add.reduceat((word > 0).astype(np.int64), first)),
+                        pa.array(np.full(len(lengths), int(total))), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first)),
+                    ],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+
+    return chunks.join(met, "chunk").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -132,6 +132,35 @@ def test_language_model_clusters_see_all_rows(spark, monkeypatch):
     assert sum(int(np.frombuffer(zlib.decompress(b.blob), np.int64).sum()) for b in asked[0].collect()) == train > 3_000_000
 
 
+def test_language_model_knows_pairs_of_rare_words(spark, monkeypatch):
+    from quarrylane.llm import lm_maxent
+
+    monkeypatch.setattr(lm_maxent, "CHUNK_BYTES", 20_000)
+    r = random.Random(6)
+    held = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    phrase = [f"w{r.randrange(3000)}" for _ in range(30)]
+    rows = [(k, " ".join([f"w{r.randrange(3000)}" for _ in range(60)] + phrase * (k % 50 == 0))) for k in range(600) if k not in held]
+    rows += [(held[0], " ".join(phrase)), (held[1], " ".join(r.sample(phrase, 30)))]
+    got = {d.doc_id: d for d in lm_maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    known, mixed = (got[k] for k in held)
+    assert math.isclose(known.base_score, mixed.base_score) and known.held_out and mixed.held_out
+    assert known.score > mixed.score + 20 and mixed.score > mixed.base_score - 10  # the same words, in an order that was learnt and in one that wasn't
+
+
+def test_n_grams_of_all_training_rows_are_counted(docs):
+    from quarrylane.llm import lm_maxent
+    from quarrylane.llm.common import Scratch
+
+    rows = docs.selectExpr("doc_id", "text", "doc_id % 3 = 0 AS held_out")
+    tokens = [[None, None, *(t or "").encode().lower().split(), None] for k, t in texts(docs).items() if k % 3]
+    want = Counter(), Counter()
+    for t in tokens:
+        want[0].update(zip(t[1:], t[2:]))
+        want[1].update(zip(t, t[2:]))
+    met = lm_maxent.n_grams_met(lm_maxent._chunks(rows, Scratch(docs.sparkSession, "test")), 10**6).filter("chunk < 0").groupBy().sum("pairs", "skips").first()
+    assert tuple(met) == tuple(sum(n == 1 for n in w.values()) for w in want)
+
+
 def test_packing_and_bpe(docs, nothing):
     from tokenizers import Tokenizer
 
