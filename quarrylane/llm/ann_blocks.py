@@ -72,7 +72,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
     Data and queries are dealt to a grid of blocks by id hash; a cell holds about `data_block` rows and `query_block` queries, so memory doesn't grow with
     the table. Every pair's int8 tile value is computed; only pairs whose upper bound misses the k-th lower bound of the block are left out, so the result
     is exact (recall 1). A cell sends k rows a query; a bounded merge per query follows. Null ids, null, empty, zero or non-finite vectors take no part;
-    vectors of another dimension are no candidates; repeated rows are each candidates; an empty table gives no rows; other columns are ignored."""
+    vectors of another dimension are no candidates; repeated rows are each candidates, but ask once; an empty table gives no rows; other columns are ignored."""
     total, asked = df.agg(F.count(F.lit(1)), F.count_if(F.col(id_col) % every == 0)).first()
     rows, columns = max(1, -(-total // data_block)), max(1, -(-asked // query_block))
 
@@ -104,7 +104,9 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", e
             (qi, q), (xi, x) = (
                 (np.frombuffer(b"".join(t.column("ids").to_pylist()), np.int64), np.frombuffer(b"".join(t.column("x").to_pylist()), np.float64).reshape(-1, d)) for t in (left, right)
             )
-            out = search_block(qi, q, xi, x, k)
+            # repeated rows of a query are dealt to one cell of each block of data, where one of them asks
+            _, once = np.unique(np.ascontiguousarray(np.column_stack([qi.view(np.float64), q])).view(f"V{8 * d + 8}").ravel(), return_index=True)
+            out = search_block(qi[once], q[once], xi, x, k)
         return pa.Table.from_pylist([dict(zip(("query_id", "vec_id", "score"), r)) for r in out], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     found = queries.groupBy("row", "col", "d").cogroup(data.groupBy("row", "col", "d")).applyInArrow(cell, "query_id long, vec_id long, score double")

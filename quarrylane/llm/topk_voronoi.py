@@ -49,7 +49,7 @@ def _pack(x: np.ndarray) -> bytes:
 def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 256, cell_queries: int = 1024, chunk_rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products (queries: ids divisible by `every`).
 
-    1. Equal vectors become one class holding its k + 1 smallest ids: enough for any query, itself left out. A hot vector is so one row.
+    1. Equal vectors become one class holding its 2 * k smallest ids, an id k times at most: enough for any query, itself left out. A hot vector is so one row.
     2. `pivots` classes, the first in hash order, bound scores from below; the first of them, one for each `cell_queries` queries (4 at least), are the
        Voronoi centres. Query classes go to their nearest centre, hot ones parted by hash; a cell's summary is its centre, radius, and the least of its queries' k-th scores over the pivot rows, which no true
        k-th score is below.
@@ -58,8 +58,12 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
 
     Driver and broadcast hold pivots and cell summaries: the number of cells is bounded by pivots + queries / cell_queries. Null ids, null, empty or
     non-finite vectors take no part; vectors of other dimensions are no candidates of a query; repeated (id, vector) rows count as separate candidates
-    by id; ties go to the smaller id; an empty table gives no rows; other columns are ignored. Components are taken to fit 62 bits after scaling."""
-    spark, keep = df.sparkSession, k + 1
+    by id, and a query that stands m times meets each candidate m times among its k rows, as in the SQL; ties go to the smaller id; an empty table gives no rows; other columns are ignored. Components are taken to fit 62 bits after scaling."""
+    spark, keep = df.sparkSession, 2 * k
+
+    def capped(ids: list[int]) -> list[int]:
+        ids = sorted(ids)
+        return [i for n, i in enumerate(ids) if n < k or ids[n - k] != i]
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,14 +71,15 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                 rows: dict[bytes, list[int]] = {}
                 for i, v in zip(ids.tolist(), _whole(x, scale)):
                     rows.setdefault(_pack(v), []).append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([sorted(r)[:keep] for r in rows.values()], pa.list_(pa.int64())), pa.array([sorted(i for i in r if i % every == 0) for r in rows.values()], pa.list_(pa.int64()))], names=["v", "ids", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([capped(r)[:keep] for r in rows.values()], pa.list_(pa.int64())), pa.array([sorted(i for i in r if i % every == 0) for r in rows.values()], pa.list_(pa.int64()))], names=["v", "ids", "asked"])
 
     scratch = Scratch(spark, "voronoi")
     local = df.select(id_col, vec_col).mapInArrow(classes, "v binary, ids array<long>, asked array<long>")
-    # ids of a class: at most k + 1 from each input batch, so no list grows with a class's copies; `asked` ids are explode-joined by class below
-    merged = local.groupBy("v").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, keep).alias("ids"), F.max(F.size("asked") > 0).alias("is_query"))
+    # ids of a class: at most 2 * k from each input batch, so no list grows with a class's copies; `asked` ids are explode-joined by class below
+    merged = local.groupBy("v").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.max(F.size("asked") > 0).alias("is_query"))
+    merged = merged.withColumn("ids", F.slice(F.filter("ids", lambda x, n: (n < k) | (F.get(F.col("ids"), n - k) != x)), 1, keep))
     data = scratch.write(merged, "classes")
-    asked = local.select("v", F.explode("asked").alias("query_id"))
+    asked = local.select("v", F.explode("asked").alias("query_id")).groupBy("v", "query_id").agg(F.count(F.lit(1)).cast("int").alias("times"))
 
     centre_rows = data.select("v", "ids").orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
     if not centre_rows:
@@ -143,17 +148,18 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
             least = np.array([i[0] for i in ids])
             for a in range(0, len(q), 256):
                 for row, v in zip(_products(q[a : a + 256], x), qv[a : a + 256]):
-                    # k + 1 classes hold k + 1 candidates at least; a tie among classes goes by smallest id, and a class's further ids may precede another's
-                    top = _best(row, least, keep)
-                    ties = np.flatnonzero(row >= row[top].min()) if len(top) == keep else top
+                    # k + 1 classes hold k candidates besides the query at least; a tie among classes goes by smallest id, and a class's further ids may precede another's
+                    top = _best(row, least, k + 1)
+                    ties = np.flatnonzero(row >= row[top].min()) if len(top) == k + 1 else top
                     found = sorted((-int(row[c]), i) for c in ties for i in ids[c])[:keep]
                     out += [(v, i, -s) for s, i in found]
         return pa.Table.from_pylist([dict(zip(("v", "vec_id", "score"), r)) for r in out], schema=pa.schema([("v", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
     asking = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
     solved = asking.groupBy("d", "cell", "chunk").cogroup(sent.groupBy("d", "cell", "chunk")).applyInArrow(solve, "v binary, vec_id long, score long")
-    best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")  # rank <= k + 1 is cut before the shuffle
+    best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")  # rank <= 2 * k is cut before the shuffle
     solved = solved.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
     lists = solved.groupBy("v").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("top"))
-    answers = asked.join(lists, "v").select("query_id", F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k).alias("top"))
+    others = F.slice(F.filter("top", lambda t: t["vec_id"] != F.col("query_id")), 1, k)
+    answers = asked.join(lists, "v").select("query_id", F.slice(F.flatten(F.transform(others, lambda t: F.array_repeat(t, F.least(F.col("times"), F.lit(k))))), 1, k).alias("top"))
     return answers.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.s")).alias("score"))

@@ -214,6 +214,29 @@ def test_searches(spark):
     assert top_k(empty).count() == 0 and nearest(empty).count() == 0
 
 
+def test_searches_with_repeated_queries(spark):
+    from quarrylane.llm.ann_blocks import nearest
+    from quarrylane.llm.topk_voronoi import top_k
+
+    x = np.random.default_rng(8).normal(size=(60, 4)).astype(np.float32)
+    x[50:58] = x[0]
+    ids = [*range(60), 0, 0, 50, *[7] * 9, *[20] * 3]
+    df = spark.createDataFrame([(k, x[k].tolist()) for k in ids], "vec_id long, embedding array<float>").repartition(3)
+    whole, found = np.floor(256 * x.astype(np.float64)), {}
+    for r in top_k(df).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in (0, 50):  # as the SQL: every pair of rows
+        pairs = sorted((-int(whole[q] @ whole[c]), c) for a in ids if a == q for c in ids if c != q)[:5]
+        assert sorted(found[q]) == [(n + 1, c, -v) for n, (v, c) in enumerate(pairs)]
+    assert set(found) == {0, 50}
+    close = {}
+    for r in nearest(df, data_block=16, query_block=2).collect():
+        close.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in (0, 20, 40):
+        rows = sorted((-math.fsum(x[q].astype(np.float64) * x[c].astype(np.float64)), c) for c in ids if c != q)[:20]
+        assert sorted(close[q]) == [(n + 1, c) for n, (_, c) in enumerate(rows)]
+
+
 def test_classifiers(spark, nothing):
     from quarrylane.llm import quality, toxicity
 
