@@ -127,7 +127,7 @@ def n_grams(words: np.ndarray, n: int) -> np.ndarray:
                 result, done = out.copy(), have
             else:
                 moved = np.zeros_like(out)
-                moved[: len(out) - have] = result[have:]
+                moved[: max(len(out) - have, 0)] = result[have:]
                 factor = _power(done)
                 result, done = out * factor + moved, done + have
         if done == n:

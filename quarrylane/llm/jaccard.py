@@ -132,10 +132,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.withColumn("own", F.coalesce("doc_id", F.xxhash64("text")))  # what sets are fetched by; rows without an id have their text's hash
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << SLOTS, dtype=np.int64)
-        names = ["doc_id", "n", "cls", "bits", "wide", "slice", "counts"]
+        names = ["doc_id", "own", "n", "cls", "bits", "wide", "slice", "counts"]
         for batch in steps(batches):
             sets = shingle_sets(text_bytes(batch.column("text")), n)
             keys, maps = class_keys(sets), [bitmap(s) for s in sets]
@@ -143,14 +144,14 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             counters += np.bincount(np.concatenate([(sets[k] >> U64(64 - SLOTS)).astype(np.int64) for k in once]), minlength=1 << SLOTS)
             size = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([narrow(s, r).tobytes() for s, r in zip(sets, maps)], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
+                [batch.column("doc_id"), batch.column("own"), pa.array([len(s) for s in sets], pa.int64()), pa.array(_signed(keys)), pa.array([narrow(s, r).tobytes() for s, r in zip(sets, maps)], pa.binary()), pa.array([r.tobytes() for r in maps], pa.binary()), pa.array(np.full(size, -1), pa.int32()), pa.nulls(size, pa.binary())], names=names
             )
         if counters.any():
             parts = [p.astype("<i4").tobytes() for p in np.split(counters, SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    first = scratch.write(docs.mapInArrow(measure, "doc_id long, n long, cls long, bits binary, wide binary, slice int, counts binary"), "measured")
-    rows = first.filter("slice < 0").select("doc_id", "n", "cls", "bits", "wide")
+    first = scratch.write(docs.mapInArrow(measure, "doc_id long, own long, n long, cls long, bits binary, wide binary, slice int, counts binary"), "measured")
+    rows = first.filter("slice < 0").select("doc_id", "own", "n", "cls", "bits", "wide")
 
     def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros((1 << SLOTS) // SLICES, dtype=np.int64)
@@ -208,7 +209,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = scratch.write(indexed, "met")
     tried = met.filter("kind = 1").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
-    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
+    classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
     links = _verified(docs, classes, scratch.write(_thinned(classes, tried, percent), "near"), n, percent, scratch, "first")
     roots = components(links, scratch, "first")
 
@@ -299,8 +300,8 @@ def _thinned(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) of class keys whose sets reach the threshold. A set travels once for each pair it is the second of."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls")
-    wanted = scratch.write(wanted.select("cls", F.col("rep").alias("doc_id")), f"{name}-wanted")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "own"), "cls")
+    wanted = scratch.write(wanted.select("cls", "own"), f"{name}-wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
@@ -322,7 +323,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
                     good.append((left.column("cls")[0].as_py(), b))
         return pa.table([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    sets = scratch.write(docs.join(wanted, "doc_id").mapInArrow(make, "cls long, items binary").dropDuplicates(["cls"]), f"{name}-sets")
+    sets = scratch.write(docs.join(wanted, "own").mapInArrow(make, "cls long, items binary").dropDuplicates(["cls"]), f"{name}-sets")
     # the second class of a pair travels to the first; a first class with very many partners is parted by hash
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
     second = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("other")), "b").select(F.col("a").alias("first"), salt.alias("part"), "b", "other")

@@ -93,6 +93,18 @@ def test_jaccard(docs, nothing):
     assert jaccard_components(nothing).count() == 0
 
 
+def test_jaccard_null_bridge_and_few_words(spark):
+    from quarrylane.llm.jaccard import jaccard_components
+
+    words = [f"w{k}" for k in range(110)]
+    a, b, c = (" ".join(words[k : k + 90]) for k in (0, 10, 20))  # a - b and b - c are links at 75, a - c is none
+    for bridge, want in (([(None, b)], {(1, 1), (2, 1), (None, 1)}), ([], {(1, 1), (2, 2)})):
+        df = spark.createDataFrame([(1, a), (2, c), *bridge], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in jaccard_components(df, percent=75).collect()} == want
+    few = spark.createDataFrame([(5, "just three words")], "doc_id long, text string")
+    assert [tuple(r) for r in jaccard_components(few, n=5).collect()] == [(5, 1, 5)]
+
+
 def test_pair_signatures_lose_nothing():
     from quarrylane.llm import jaccard as J
 
