@@ -41,7 +41,8 @@ class Pieces:
         for p in pieces:
             tail = p[-1:] if p[-1:] in self.tails and p[-2:-1].isalpha() else b""
             word = p[:-1] if tail else p
-            split.append((p, word.lower() if word.isascii() else word, tail))
+            # special tokens are matched by case, before the library lowers a text
+            split.append((p, word.lower() if word.isascii() and b"<|" not in word else word, tail))
         new = list({word for _, word, _ in split if word not in self.words})
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]

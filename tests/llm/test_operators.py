@@ -195,6 +195,19 @@ def test_packing_and_bpe(docs, nothing):
     assert place == sum(len(i) + 1 for i in ids.values()) and pack(nothing).count() == 0 and encode_digests(nothing).count() == 0
 
 
+def test_packing_of_special_tokens_in_other_case(spark):
+    from tokenizers import Tokenizer
+
+    from quarrylane.llm.bpe import default_vocabulary
+    from quarrylane.llm.packing import pack
+
+    library = Tokenizer.from_file(default_vocabulary())
+    rows = list(enumerate(["a <|ENDOFTEXT|> b", "<|StartOfText|>", "x<|endoftext|>.", "Ab<|EndOfText|>, C", "<|endoftext|>", "<|STARTOFTEXT|>Word."]))
+    got = {p.doc_id: (p.doc_tokens, p.ids_crc32) for p in pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    want = {k: [*library.encode(t, add_special_tokens=False).ids, 2] for k, t in rows}
+    assert got == {k: (len(i), zlib.crc32(np.array(i, dtype="<u4").tobytes())) for k, i in want.items()}
+
+
 def test_sharding(spark, nothing):
     from quarrylane.llm.sharding import shard_documents
 
