@@ -21,7 +21,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         jump = 0
         while True:
             over = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            moved = up.join(over, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved"))
+            twice = up.join(over, "p").select("node", F.col("p").alias("p0"), F.col("pp").alias("p"))
+            moved = twice.join(over, "p").select("node", F.col("pp").alias("p"), (F.col("pp") != F.col("p0")).alias("moved"))
             jump += 1
             moved = scratch.write(moved, f"{name}-p{k}-{jump}")
             up = moved.select("node", "p")

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +17,11 @@ from .components import components
 
 SLOTS = 18  # log2 of the counters that part rare from frequent shingles
 SLICES = 16
-NARROW, MIDDLE = 512, 4096  # least and most bits of the folded parity bitmap that buckets compare first; the wide one has 2 to 4 bits an item
+NARROW, MIDDLE = 512, 2048  # least bits of a parity bitmap; bits from which the one that buckets compare grows by half a bit to a bit an item, not by 2 to 4
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
 SALTS = 4
+BLOCK = 20_000  # classes of an open group that one task compares with as many others
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -64,8 +67,9 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def narrow(s: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """A fold of half a bit to a bit an item: bitmaps of unrelated sets differ in more places than a link allows, up to 3 items a bit."""
-    return fold(bits, min(MIDDLE, max(NARROW, 1 << (len(s) // 2).bit_length())) // 64)
+    """The bitmap that travels to buckets: the whole one up to MIDDLE bits, then a fold. Bitmaps of unrelated sets differ in more places than a link allows
+    up to 3 items a bit; those of sets just below the threshold do so at half an item a bit."""
+    return fold(bits, min(len(bits), max(MIDDLE, 1 << (len(s) // 2).bit_length()) // 64))
 
 
 def within(differ: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -126,7 +130,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles, component_id: documents linked when 100 * |intersection| >= percent * |union| of their n-word shingle sets.
 
     Copies (equal sets) become one class before anything is indexed. Signature buckets give each class one partner to verify; classes that this leaves in
-    different components but in one bucket are all compared, first by the bound that parity bitmaps set on the overlap, then exactly on their sets.
+    different components but in one bucket are all compared by the bound that parity bitmaps set on the overlap, and a forest of those it can't part is verified
+    on their sets, again where links of the forest fail. So what leaves a bucket grows with its classes, not with its pairs, and no link between components is lost.
     Null and empty texts have 0 shingles and are alone; texts of under n words are one shingle; repeated rows each get a row; a null id is kept as null and
     counts as the largest; an empty table gives no rows; other columns are ignored. Sets are held by 64-bit hashes of words and shingles."""
     spark = df.sparkSession
@@ -198,85 +203,180 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         a = np.flatnonzero(next_same)
         a = a[_fits(size[a], size[a + 1], percent)]
         pairs, times = np.unique(np.stack([cls[a], cls[a + 1]], axis=1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        for at in range(0, len(pairs), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(times[part]), pa.int64()), pa.array(pairs[part, 0]), pa.array(pairs[part, 1]), pa.array(times[part]), pa.nulls(len(times[part]), pa.list_(pa.int64()))], names=fields)
         keep = np.flatnonzero(member)
-        for k, x, y, c in ((0, sig[keep], cls[keep], size[keep]), (1, pairs[:, 0], pairs[:, 1], times)):
-            for at in range(0, len(x), 50_000):
-                part = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x[part]), k), pa.int32()), pa.array(x[part]), pa.array(y[part]), pa.array(c[part])], names=["kind", "x", "y", "c"])
+        keep = keep[np.argsort(cls[keep], kind="stable")]
+        yield from _members(TaskContext.get().partitionId(), cls[keep], sig[keep])
 
+    fields = ["part", "x", "y", "c", "sigs"]
     parts = partitions_for(spark)
-    indexed = docs.mapInArrow(index, "sig long, cls long, size int").repartition(parts, "sig").mapInArrow(bucket, "kind int, x long, y long, c long")
+    indexed = docs.mapInArrow(index, "sig long, cls long, size int").repartition(parts, "sig").mapInArrow(bucket, "part long, x long, y long, c long, sigs array<long>")
     met = scratch.write(indexed, "met")
-    tried = met.filter("kind = 1").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
+    tried = met.filter("part IS NULL").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
     classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
-    links = _verified(docs, classes, scratch.write(_thinned(classes, tried, percent), "near"), n, percent, scratch, "first")
+    near = scratch.write(_thinned(classes, tried, percent), "near").select("a", "b")
+    links = _verified(docs, classes, near, n, percent, scratch, "first")
     roots = components(links, scratch, "first")
+    # Every pair of a bucket is now refuted by bitmaps, in one component, or joined by a chain of provisional links. Those are verified; where some fail,
+    # the classes that they held together are compared again without them, as one bucket, until no chain has an unverified link.
+    members, failed, turn, most = met.filter("part IS NOT NULL").select("part", F.col("x").alias("cls"), "sigs"), None, 0, 1
+    refuted = near.join(links, ["a", "b"], "left_anti")
+    while True:
+        facts = classes.select("cls", "n", "bits").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+        tried = scratch.write(_compared(members, facts, failed, most, percent, parts).distinct(), f"tried-{turn}")
+        if tried.isEmpty():
+            break
+        near = scratch.write(_thinned(classes, tried, percent), f"near-{turn}")
+        now = near.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("apart", "a"))).filter(F.col("r") <= most).select("a", "b")
+        now = scratch.write(now, f"now-{turn}")
+        good = _verified(docs, classes, now, n, percent, scratch, f"turn-{turn}")
+        groups = components(links.unionAll(tried), scratch, f"groups-{turn}").select(F.col("node").alias("cls"), F.col("root").alias("group"))
+        links = scratch.write(links.unionAll(good), f"links-{turn}")
+        roots = components(links, scratch, f"roots-{turn}")
+        refuted = refuted.unionAll(tried.join(near, ["a", "b"], "left_anti")).unionAll(now.join(good, ["a", "b"], "left_anti"))
+        refuted = scratch.write(refuted, f"refuted-{turn}")
+        members, failed = _open_groups(groups, roots, refuted, scratch, f"open-{turn}")
+        if members.isEmpty():
+            break
+        turn, most = turn + 1, most * 8
+    named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
+    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    final = scratch.write(named.join(least, "root").select("cls", "component_id"), "named")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _members(part: int, cls: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(part, x, sigs): the signatures that each class of a part has there; `cls` is sorted."""
+    edges = np.append(np.flatnonzero(np.append(True, cls[1:] != cls[:-1])), len(cls)) if len(cls) else np.zeros(1, np.int64)
+    for at in range(0, len(edges) - 1, 20_000):
+        own = edges[at : at + 20_001]
+        size = len(own) - 1
+        sigs = pa.ListArray.from_arrays(pa.array(own - own[0], pa.int32()), pa.array(sig[own[0] : own[-1]], pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(size, part)), pa.array(cls[own[:-1]]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), sigs], names=["part", "x", "y", "c", "sigs"])
+
+
+def _open_groups(groups: DataFrame, roots: DataFrame, refuted: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Members (part, cls, sigs) and refuted pairs (part, a, b) of the groups that verified links leave in several components.
+
+    A group of over BLOCK classes is dealt by hash to a grid of cells, each with the classes of two of its shares, so that no task holds more."""
+    known = groups.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = known.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).filter("x <> y")
+    mixed = mixed.select("group", F.ceil(F.col("n") / BLOCK).cast("int").alias("shares"))
+    own = known.join(mixed, "group").select("cls", "group", "shares", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("share"))
+    own = scratch.write(own, name)
+
+    def cell(x, y):
+        return F.xxhash64("group", F.least(x, y), F.greatest(x, y))
+
+    def shares(of):
+        return F.transform(F.sequence(F.lit(0), F.col("shares") - 1), of)
+
+    members = own.select(F.explode(shares(lambda o: cell(F.col("share"), o))).alias("part"), "cls").select("part", "cls", F.array("part").alias("sigs"))
+    pairs = refuted.join(own.withColumnRenamed("cls", "a"), "a").join(own.select(F.col("cls").alias("b"), F.col("share").alias("other"), F.col("group").alias("its")), "b").filter("group = its")
+    cells = F.when(F.col("share") == F.col("other"), shares(lambda o: cell(F.col("share"), o))).otherwise(F.array(cell(F.col("share"), F.col("other"))))
+    return members, pairs.select("a", "b", F.explode(cells).alias("part"))
+
 
-    members = met.filter("kind = 0").select(F.col("x").alias("sig"), F.col("y").alias("cls"), F.col("c").alias("size"))
-    facts = classes.select("cls", "bits").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "bits", F.coalesce("root", "cls").alias("root"))
+def _compared(members: DataFrame, facts: DataFrame, failed: DataFrame | None, most: int, percent: int, parts: int) -> DataFrame:
+    """Compares the classes of each signature by bitmaps: pairs (a, b), provisional links between components.
+
+    A part keeps one forest over its components, so its links are fewer than its classes, however many pairs a bucket has (`most` a class beyond the first
+    round, whose groups hold refuted links). A class travels once to each part it has signatures in. `failed` pairs are no links."""
+    rows = members.join(facts, "cls").select("part", "cls", "sigs", "n", "bits", "root")
+    if failed is not None:
+        rows = rows.unionAll(failed.select("part", F.col("a").alias("cls"), F.lit(None).cast("array<long>").alias("sigs"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"), F.col("b").alias("root")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "cls", "size", "root", "bits")] for b in batches if b.num_rows]
-        if not parts:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        sig, cls, size, root, bits = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((cls, size, sig))
-        sig, root = sig[order], root[order]
+        table = pa.Table.from_batches(held)
+        known = table.filter(pc.is_valid(table.column("sigs"))).combine_chunks()
+        if not known.num_rows:
+            return
+        lost = table.filter(pc.is_null(table.column("sigs")))
+        refuted = _pair_keys(lost.column("cls").to_numpy(), lost.column("root").to_numpy())
+        lists = known.column("sigs").combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        cls, first, who = np.unique(known.column("cls").to_numpy(), return_index=True, return_inverse=True)
+        size, root = known.column("n").to_numpy()[first], known.column("root").to_numpy()[first]
+        bits = known.column("bits").take(pa.array(first)).to_pylist()
+        sig, who = lists.flatten().to_numpy(), np.repeat(who, lengths)
+        order = np.lexsort((who, size[who], sig))
+        sig, who = sig[order], who[order]
+        names, label = np.unique(root, return_inverse=True)
+        label, parent, started = label.copy(), np.arange(len(names)), label
         new = np.append(True, sig[1:] != sig[:-1])
         bucket_of = np.cumsum(new) - 1
-        mixed = np.bincount(bucket_of, root != root[new][bucket_of]) > 0  # the others are in one component already
+        mixed = np.bincount(bucket_of, label[who] != label[who[new]][bucket_of]) > 0  # the others are in one component already
         keep = mixed[bucket_of]
-        order, sig, root = order[keep], sig[keep], root[keep]
-        cls, size, bits = cls[order], size[order], bits[order]
+        sig, who = sig[keep], who[keep]
         words = np.fromiter(map(len, bits), dtype=np.int64, count=len(bits)) // 8
         # bitmaps by length; one also stands, folded, among those of half its length, for the shorter sets it may meet
         place, maps = {}, {}
         for w in np.unique(words).tolist():
-            own, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+            same, longer = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
             place[w] = np.full(len(bits), -1, dtype=np.int32)
-            place[w][own], place[w][longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
-            far = np.frombuffer(b"".join(bits[longer]), np.uint64).reshape(-1, 2, w)
-            maps[w] = np.concatenate([np.frombuffer(b"".join(bits[own]), np.uint64).reshape(-1, w), far[:, 0] ^ far[:, 1]])
-        found, held = [], 0
+            place[w][same], place[w][longer] = np.arange(len(same)), len(same) + np.arange(len(longer))
+            far = np.frombuffer(b"".join([bits[i] for i in longer]), np.uint64).reshape(-1, 2, w)
+            maps[w] = np.concatenate([np.frombuffer(b"".join([bits[i] for i in same]), np.uint64).reshape(-1, w), far[:, 0] ^ far[:, 1]])
+        del bits, known, table, held
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        found: list[tuple[int, int]] = []
+        degree = np.zeros(len(cls), dtype=np.int64)
         k, gap = np.arange(len(sig)), 1
         while len(k):  # rows of a bucket stand by size, so a row is done at the first one that is too large or in the next bucket
             k = k[k + gap < len(sig)]
-            k = k[(sig[k] == sig[k + gap]) & _fits(size[k], size[k + gap], percent)]
-            open_ = k[root[k] != root[k + gap]]
+            k = k[(sig[k] == sig[k + gap]) & _fits(size[who[k]], size[who[k + gap]], percent)]
+            i, j = who[k], who[k + gap]
+            apart = label[i] != label[j]
+            if most > 1:
+                apart |= (started[i] != started[j]) & (degree[j] < most - 1)
+            i, j = i[apart], j[apart]
+            joined = False
             for w in maps:
-                own = open_[words[open_] == w]
-                for at in range(0, len(own), 100_000):
-                    i = own[at : at + 100_000]
-                    j = i + gap
-                    differ = np.bitwise_count(maps[w][place[w][i]] ^ maps[w][place[w][j]]).sum(axis=1, dtype=np.int64)
-                    good = within(differ, size[i].astype(np.int64) + size[j], percent) | (place[w][j] < 0)  # lengths further apart are left to the exact check
-                    found.append(np.stack([cls[i[good]], cls[j[good]]], axis=1))
-                    held += int(good.sum())
+                own = np.flatnonzero(words[i] == w)
+                for at in range(0, len(own), 50_000):
+                    x, y = i[own[at : at + 50_000]], j[own[at : at + 50_000]]
+                    differ = np.bitwise_count(maps[w][place[w][x]] ^ maps[w][place[w][y]]).sum(axis=1, dtype=np.int64)
+                    good = within(differ, size[x] + size[y], percent) | (place[w][y] < 0)  # lengths further apart are left to the exact check
+                    good[good] = ~np.isin(_pair_keys(cls[x[good]], cls[y[good]]), refuted)
+                    for p, q in zip(x[good].tolist(), y[good].tolist()):
+                        rp, rq = top(started[p]), top(started[q])
+                        if rp != rq or degree[q] < most - 1:
+                            parent[max(rp, rq)] = min(rp, rq)
+                            found.append((p, q))
+                            degree[q] += 1
+                            joined = True
+            if joined:
+                label = _tops(parent)[started]
             gap += 1
-            if held > 1_000_000 or (held and not len(k)):
-                pairs = np.unique(np.concatenate(found), axis=0)
-                found, held = [], 0
-                for at in range(0, len(pairs), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, c]) for c in (0, 1)], names=["a", "b"])
-
-    left = members.join(facts, "cls").repartition(parts, "sig").mapInArrow(compare, "a long, b long").distinct()
-    left = scratch.write(_thinned(classes, left.join(tried, ["a", "b"], "left_anti"), percent), "left-0")
-    # Most pairs fall into one component after a few links, so a round fetches sets only for each class's nearest partners in other components.
-    turn, most = 0, 1
-    while not left.isEmpty():
-        w = Window.partitionBy("b").orderBy("apart", "a")
-        now = scratch.write(left.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= most).select("a", "b", "apart"), f"now-{turn}")
-        links = scratch.write(links.unionAll(_verified(docs, classes, now, n, percent, scratch, f"turn-{turn}")), f"links-{turn}")
-        roots = components(links, scratch, f"roots-{turn}")
-        ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        open_ = left.join(now.select("a", "b"), ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-        turn, most = turn + 1, most * 8
-        left = scratch.write(open_.select("a", "b", "apart"), f"left-{turn}")
-    named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = scratch.write(named.join(least, "root").select("cls", "component_id"), "named")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        if not found:
+            return
+        pairs = np.unique(np.array(found), axis=0)
+        for at in range(0, len(pairs), 50_000):
+            x, y = cls[pairs[at : at + 50_000, 0]], cls[pairs[at : at + 50_000, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    return rows.repartition(parts, "part").mapInArrow(compare, "a long, b long")
+
+
+def _tops(parent: np.ndarray) -> np.ndarray:
+    while (parent[parent] != parent).any():
+        parent = parent[parent]
+    return parent
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(mix(a.view(np.uint64)) + b.view(np.uint64))
 
 
 def _thinned(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
