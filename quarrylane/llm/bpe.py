@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,27 +90,20 @@ class Vocabulary:
                 made_b = self.rank.get(b, -1)
 
     def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token (in byte characters). last[i] is the only token that can end the exact encoding of the first i characters."""
+        """Ids of one pre-token (in byte characters). last[i] is the only token that can end the exact encoding of the first i characters. The automaton's
+        matches come by their ends and are used at once, so a very long word takes eight bytes a character."""
         text = word + END
         n = len(text)
         if n == 2:
             return [self.ids[word + self.suffix]]
-        last: list[int] = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(text):
-            ends[end].append(found)
-        for end in range(n):
-            if end == n - 2:
-                # the last character is one symbol with its suffix, so no token ends between them
+        last, back = ([-1] * (n + 1), [0] * (n + 1)) if n < 4096 else (array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1))
+        for end, (token, size) in self.automaton.iter(text):
+            # the last character is one symbol with its suffix, so no token ends between them
+            if end == n - 2 or last[end + 1] >= 0:
                 continue
-            for token, size in ends[end]:
-                start = end + 1 - size
-                if start == 0 or (last[start] >= 0 and self.compatible(last[start], token)):
-                    if start == 0 and not self._canonical(token):
-                        continue
-                    last[end + 1], back[end + 1] = token, start
-                    break
+            start = end + 1 - size
+            if self._canonical(token) if start == 0 else last[start] >= 0 and self.compatible(last[start], token):
+                last[end + 1], back[end + 1] = token, start
         out = []
         while n:
             out.append(last[n])
@@ -139,7 +133,7 @@ class Vocabulary:
         text = self.library.normalizer.normalize_str(chunk.decode("utf-8"))
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode_chunk(self, chunk: bytes, words: dict[str, list[int]]) -> list[int]:
+    def encode_chunk(self, chunk: bytes, words: Recent) -> list[int]:
         parts = [chunk]
         if self.added_split is not None and b"<|" in chunk:
             parts = [p.encode() for p in self.added_split.split(chunk.decode("utf-8")) if p]
@@ -150,57 +144,64 @@ class Vocabulary:
                 out.append(special)
                 continue
             for word in self.pretokens(part):
-                ids = words.get(word)
-                if ids is None:
-                    ids = self.encode_word(word)
-                    if len(word) <= 64:
-                        if len(words) >= 300_000:
-                            words.clear()
-                        words[word] = ids
-                out += ids
+                out += words[word]
         return out
 
 
+class Recent(dict):
+    """make(key), kept in two generations of `room` entries each: a full one becomes the old one, from which keys that are met again come back. So what is
+    frequent stays, and memory is bounded; keys of over LONGEST characters are not kept."""
+
+    LONGEST = 64
+
+    def __init__(self, make: Callable, room: int):
+        super().__init__()
+        self.make, self.room, self.old = make, room, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+            if len(key) > self.LONGEST:
+                return found
+        if len(self) >= self.room:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def _byte_alphabet() -> dict[int, str]:
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-_LOADED: dict[str, tuple[Vocabulary, dict, dict]] = {}
+_LOADED: dict[str, tuple[Vocabulary, Recent]] = {}
 
 
-def loaded(path: str) -> tuple[Vocabulary, dict, dict]:
-    """A worker's vocabulary with its caches of words and of chunks; both are bounded and cleared when full."""
+def loaded(path: str) -> tuple[Vocabulary, Recent]:
+    """A worker's vocabulary and its cache of words."""
     if path not in _LOADED:
-        _LOADED[path] = (Vocabulary(path), {}, {})
+        vocabulary = Vocabulary(path)
+        _LOADED[path] = (vocabulary, Recent(vocabulary.encode_word, 250_000))
     return _LOADED[path]
 
 
-class Chunks(dict):
-    """chunk -> (number of ids, the ids as decimal text, the tokens' strings joined by a space)."""
-
-    def __init__(self, vocabulary: Vocabulary, room: int = 250_000):
-        super().__init__()
-        self.vocabulary, self.words, self.room = vocabulary, {}, room
-
-    def __missing__(self, chunk: bytes) -> tuple[int, str, str]:
-        ids = self.vocabulary.encode_chunk(chunk, self.words)
-        names = self.vocabulary.names
-        found = (len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids]))
-        if len(chunk) <= 64:
-            if len(self) >= self.room:
-                self.clear()
-            self[chunk] = found
-        return found
+_CHUNKS: dict[str, Recent] = {}
 
 
-_CHUNKS: dict[str, Chunks] = {}
+def chunks(path: str) -> Recent:
+    """chunk -> (number of ids, the ids as decimal text, the tokens' strings joined by a space)."""
+    if path not in _CHUNKS:
+        vocabulary, words = loaded(path)
+        names = vocabulary.names
 
+        def make(chunk: bytes) -> tuple[int, str, str]:
+            ids = vocabulary.encode_chunk(chunk, words)
+            return len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
-def chunks(path: str) -> Chunks:
-    if path not in _CHUNKS:
-        _CHUNKS[path] = Chunks(Vocabulary(path))
+        _CHUNKS[path] = Recent(make, 250_000)
     return _CHUNKS[path]
 
 
@@ -230,7 +231,7 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def encode(text: str | None, vocabulary: str | None = None) -> list[int]:
     """Ids of one text."""
     path = vocabulary or default_vocabulary()
-    v, words, _ = loaded(path)
+    v, words = loaded(path)
     out: list[int] = []
     for chunk in (text or "").encode().split():
         out += v.encode_chunk(chunk, words)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -15,51 +16,85 @@ from pyspark.sql import functions as F
 from .bpe import default_vocabulary
 from .common import Scratch, steps, text_bytes
 
+
+
 class Pieces:
     """Ids of pieces between ASCII white space. The vocabulary's pre-tokenizer drops white space and parts letters from punctuation, so a piece, and a word
-    before its final stop or comma, encode apart. Repeated ones are looked up; new words go to the library in batches. Both look-ups begin anew when full."""
+    before its final stop or comma, encode apart. Repeated ones are looked up; new words go to the library in batches.
+
+    Both look-ups hold two generations of at most `room` entries (and a step's words): a full one becomes the old one, from which words that are met again
+    come back, so frequent words are never encoded twice."""
 
-    def __init__(self, path: str, room: int = 500_000):
+    def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library, self.room = Tokenizer.from_file(path), room
         self.library.no_padding()
         self.library.no_truncation()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        names = self.library.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(names.values()) + 1, dtype=bool)  # ids that end a pre-token
+        if suffix:
+            self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.old_known: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
         self.tails = {mark: self.encode([mark])[0] for mark in (b".", b",")} | {b"": b""}
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         batch = self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in batch]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        if len(self.words) + len(pieces) > self.room:
-            self.words.clear()
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """As `encode`. Words of letters alone have one pre-token each at least, so where a text of them has as many ends as words, each has one, and its ids end there."""
+        texts = [w.decode("utf-8") for w in words]
+        plain = [k for k, t in enumerate(texts) if t.isalpha()]
+        done: dict[int, bytes] = {}
+        for a in range(0, len(plain), 2000):
+            part = plain[a : a + 2000]
+            ids = np.array(self.library.encode(" ".join([texts[k] for k in part]), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                blob, at = ids.tobytes(), 0
+                for k, end in zip(part, (4 * ends).tolist()):
+                    done[k] = blob[at:end]
+                    at = end
+        rest = [k for k in range(len(words)) if k not in done]
+        done.update(zip(rest, self.encode([words[k] for k in rest])))
+        return [done[k] for k in range(len(words))]
+
+    def learn(self, pieces: set[bytes]) -> None:
         split = []
         for p in pieces:
             tail = p[-1:] if p[-1:] in self.tails and p[-2:-1].isalpha() else b""
             word = p[:-1] if tail else p
             # special tokens are matched by case, before the library lowers a text
             split.append((p, word.lower() if word.isascii() and b"<|" not in word else word, tail))
-        new = list({word for _, word, _ in split if word not in self.words})
+        wanted = {word for _, word, _ in split}
+        new = wanted.difference(self.words)
+        if len(self.words) + len(new) > self.room:
+            self.old_words, self.words, new = self.words, {}, wanted
+        back = new & self.old_words.keys()
+        self.words.update([(w, self.old_words[w]) for w in back])
+        new = list(new - back)
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
-            self.words.update(zip(part, self.encode(part)))
-        self.known.update([(p, self.words[word] + self.tails[tail]) for p, word, tail in split])
+            self.words.update(zip(part, self.encode_words(part)))
+        self.known.update([(p, self.words[word] + self.tails[tail] if tail else self.words[word]) for p, word, tail in split])
 
     def of(self, texts: list[bytes]) -> list[bytes]:
         pieces = [t.split() for t in texts]
-        try:
-            return [b"".join(map(self.known.__getitem__, t)) for t in pieces]
-        except KeyError:
-            wanted = set().union(*pieces)
-        new = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(new) > self.room:
-            self.known.clear()
-            new = list(wanted)
-        self.learn(new)
+        wanted = set().union(*pieces)
+        new = wanted.difference(self.known)
+        if new:
+            if len(self.known) + len(new) > self.room:
+                self.old_known, self.known, new = self.known, {}, wanted
+            back = new & self.old_known.keys()
+            self.known.update([(p, self.old_known[p]) for p in back])
+            self.learn(new - back)
         return [b"".join(map(self.known.__getitem__, t)) for t in pieces]
 
 
