@@ -8,10 +8,11 @@ import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import steps, text_bytes
+from .common import WORD_STEP, Words, steps
 
 END = "\x00"  # stands for the end-of-word suffix inside the automaton
 #: Printable ASCII needs no Unicode tables: the pre-tokenizer's rule restated for it.
@@ -192,14 +193,14 @@ _CHUNKS: dict[str, Recent] = {}
 
 
 def chunks(path: str) -> Recent:
-    """chunk -> (number of ids, the ids as decimal text, the tokens' strings joined by a space)."""
+    """chunk -> (number of ids, the ids as decimal text, the tokens' strings in UTF-8), a space before each id and string."""
     if path not in _CHUNKS:
         vocabulary, words = loaded(path)
         names = vocabulary.names
 
-        def make(chunk: bytes) -> tuple[int, str, str]:
+        def make(chunk: bytes) -> tuple[int, bytes, bytes]:
             ids = vocabulary.encode_chunk(chunk, words)
-            return len(ids), " ".join(map(str, ids)), " ".join([names[i] for i in ids])
+            return len(ids), "".join([f" {i}" for i in ids]).encode(), "".join([f" {names[i]}" for i in ids]).encode()
 
         _CHUNKS[path] = Recent(make, 250_000)
     return _CHUNKS[path]
@@ -214,16 +215,16 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = chunks(path)
-        sha = hashlib.sha256
-        for batch in steps(batches, text_col):
-            counts, ids, decoded = [], [], []
-            for text in text_bytes(batch.column(text_col)):
-                parts = [known[c] for c in text.split()]
-                parts = [p for p in parts if p[0]]
-                counts.append(sum([p[0] for p in parts]))
-                ids.append(sha(" ".join([p[1] for p in parts]).encode()).hexdigest())
-                decoded.append(sha(" ".join([p[2] for p in parts]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in steps(batches, text_col, WORD_STEP):
+            words = Words(batch.column(text_col))
+            found = [known[c] for c in words.distinct]
+            counts = np.append(0, np.cumsum(np.array([f[0] for f in found], dtype=np.int64)[words.codes.to_numpy()]))[words.bounds]
+            digests = []
+            for k in (1, 2):
+                blob, at = words.joined([f[k] for f in found])
+                at = at.tolist()
+                digests.append(pa.array([hashlib.sha256(blob[a + 1 : b] if b > a else b"").hexdigest() for a, b in zip(at, at[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(counts)), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

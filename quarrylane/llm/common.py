@@ -16,6 +16,8 @@ U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy step works on at a time; arrays of a step stay near ten times this.
 STEP_BYTES = 2_000_000
+#: As many for steps that look up distinct words.
+WORD_STEP = 12_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -66,6 +68,22 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             yield batch.slice(a, b - a)
 
 
+class Words:
+    """The runs without ASCII white space of a text column, as codes of the distinct ones; the empty run that stands at a border is one of them."""
+
+    def __init__(self, column: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+        coded = lists.flatten().dictionary_encode()
+        self.codes, self.bounds = coded.indices, lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        self.distinct: list[bytes] = coded.dictionary.cast(pa.binary()).to_pylist()
+
+    def joined(self, values: list[bytes]) -> tuple[memoryview, np.ndarray]:
+        """The distinct runs' values put in place of the runs: all texts' bytes one after another, and where each text begins and the last one ends."""
+        out = pa.array(values, pa.large_binary()).take(self.codes)
+        offsets = np.frombuffer(out.buffers()[1], np.int64)[: len(out) + 1]
+        return memoryview(out.buffers()[2] or b""), offsets[self.bounds]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the output."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -14,16 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
-from .common import Scratch, steps, text_bytes
+from .common import WORD_STEP, Scratch, Words, steps
+
 
 
 
 class Pieces:
-    """Ids of pieces between ASCII white space. The vocabulary's pre-tokenizer drops white space and parts letters from punctuation, so a piece, and a word
-    before its final stop or comma, encode apart. Repeated ones are looked up; new words go to the library in batches.
+    """Ids of pieces between ASCII white space; the vocabulary's pre-tokenizer drops white space, so pieces encode apart. Repeated ones are looked up; new ones
+    go to the library in batches.
 
-    Both look-ups hold two generations of at most `room` entries (and a step's words): a full one becomes the old one, from which words that are met again
-    come back, so frequent words are never encoded twice."""
+    The look-up holds two generations of at most `room` pieces (and a step's): a full one becomes the old one, from which pieces that are met again come
+    back, so frequent ones are never encoded twice."""
 
     def __init__(self, path: str, room: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,90 +40,85 @@ class Pieces:
         if suffix:
             self.last[[i for name, i in names.items() if name.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.old_known: dict[bytes, bytes] = {}
-        self.old_words: dict[bytes, bytes] = {}
-        self.tails = {mark: self.encode([mark])[0] for mark in (b".", b",")} | {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         batch = self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)
         return [np.array(x.ids, dtype="<u4").tobytes() for x in batch]
 
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """As `encode`. Words of letters alone have one pre-token each at least, so where a text of them has as many ends as words, each has one, and its ids end there."""
-        texts = [w.decode("utf-8") for w in words]
-        plain = [k for k, t in enumerate(texts) if t.isalpha()]
-        done: dict[int, bytes] = {}
+    def learn(self, pieces: list[bytes]) -> None:
+        """A piece of letters has one pre-token at least, and one more with a final stop or comma. Where a text of such pieces has as many ends of pre-tokens as
+        these make, none has more, so its ids are cut there; other pieces are encoded one by one."""
+        plain, ends, rest = [], [], []
+        for p in pieces:
+            t = p.decode("utf-8")
+            if t.isalpha():
+                plain.append(t)
+                ends.append(1)
+            elif t[-1:] in (".", ",") and t[:-1].isalpha():
+                plain.append(t)
+                ends.append(2)
+            else:
+                rest.append(p)
         for a in range(0, len(plain), 2000):
             part = plain[a : a + 2000]
-            ids = np.array(self.library.encode(" ".join([texts[k] for k in part]), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                blob, at = ids.tobytes(), 0
-                for k, end in zip(part, (4 * ends).tolist()):
-                    done[k] = blob[at:end]
-                    at = end
-        rest = [k for k in range(len(words)) if k not in done]
-        done.update(zip(rest, self.encode([words[k] for k in rest])))
-        return [done[k] for k in range(len(words))]
-
-    def learn(self, pieces: set[bytes]) -> None:
-        split = []
-        for p in pieces:
-            tail = p[-1:] if p[-1:] in self.tails and p[-2:-1].isalpha() else b""
-            word = p[:-1] if tail else p
-            # special tokens are matched by case, before the library lowers a text
-            split.append((p, word.lower() if word.isascii() and b"<|" not in word else word, tail))
-        wanted = {word for _, word, _ in split}
-        new = wanted.difference(self.words)
-        if len(self.words) + len(new) > self.room:
-            self.old_words, self.words, new = self.words, {}, wanted
-        back = new & self.old_words.keys()
-        self.words.update([(w, self.old_words[w]) for w in back])
-        new = list(new - back)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            self.words.update(zip(part, self.encode_words(part)))
-        self.known.update([(p, self.words[word] + self.tails[tail] if tail else self.words[word]) for p, word, tail in split])
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
-        pieces = [t.split() for t in texts]
-        wanted = set().union(*pieces)
-        new = wanted.difference(self.known)
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            at = np.flatnonzero(self.last[np.minimum(ids, len(self.last) - 1)]) + 1
+            cuts = np.cumsum(ends[a : a + 2000])
+            part = [t.encode() for t in part]
+            if len(at) == cuts[-1] and at[-1] == len(ids):
+                blob, cuts = ids.tobytes(), [0, *(4 * at[cuts - 1]).tolist()]
+                self.known.update(zip(part, [blob[x:y] for x, y in zip(cuts, cuts[1:])]))
+            else:
+                rest += part
+        for a in range(0, len(rest), 20_000):
+            part = rest[a : a + 20_000]
+            self.known.update(zip(part, self.encode(part)))
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text column's rows one after another, and where each row's begin and the last one's end."""
+        words = Words(column)
+        new = [w for w in words.distinct if w not in self.known]
+        if len(self.known) + len(new) > self.room:
+            self.old, self.known, new = self.known, {}, words.distinct
         if new:
-            if len(self.known) + len(new) > self.room:
-                self.old_known, self.known, new = self.known, {}, wanted
-            back = new & self.old_known.keys()
-            self.known.update([(p, self.old_known[p]) for p in back])
-            self.learn(new - back)
-        return [b"".join(map(self.known.__getitem__, t)) for t in pieces]
+            back = self.old.get
+            self.known.update([(w, ids) for w in new if (ids := back(w)) is not None])
+            self.learn([w for w in new if w not in self.known])
+        blob, at = words.joined([self.known[w] for w in words.distinct])
+        return np.frombuffer(blob, "<u4"), at // 4
 
 
 _KNOWN: dict[str, Pieces] = {}
 
 
-def _ids(path: str, texts: list[bytes]) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text."""
+def pieces(path: str) -> Pieces:
     if path not in _KNOWN:
         _KNOWN[path] = Pieces(path)
-    return _KNOWN[path].of(texts)
+    return _KNOWN[path]
+
+
+def _binary(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of bytes from numbers that stand one after another."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * flat.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
 
 
 def tokenised(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id: int) -> DataFrame:
     """First pass: per document its ids (16 bits each where they fit), the partition that met it, and the tokens before it there."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        for batch in steps(batches, text_col):
-            ids = [x + end for x in _ids(vocabulary, text_bytes(batch.column(text_col)))]
-            counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        for batch in steps(batches, text_col, WORD_STEP):
+            ids, bounds = pieces(vocabulary).of(batch.column(text_col))
+            ids = np.insert(ids, bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            counts = np.diff(bounds).astype(np.int64)
             starts = before + np.cumsum(counts) - counts
             before += int(counts.sum())
-            short = [a.astype("<u2").tobytes() if not len(a) or a.max() < 65536 else b"" for a in (np.frombuffer(x, "<u4") for x in ids)]
-            wide = [b"" if s else x for s, x in zip(short, ids)]
+            blobs, none = _binary(ids.astype("<u2") if ids.max() < 65536 else ids.astype("<u4"), bounds), pa.nulls(batch.num_rows, pa.binary())
+            short, wide = (blobs, none) if ids.max() < 65536 else (none, blobs)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.int64()), pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(starts), pa.array(counts), pa.array(short, pa.binary()), pa.array(wide, pa.binary())],
+                [batch.column(id_col).cast(pa.int64()), pa.array(np.full(batch.num_rows, part, dtype=np.int64)), pa.array(starts), pa.array(counts), short, wide],
                 names=["doc_id", "part", "before", "n", "ids16", "ids32"],
             )
 
