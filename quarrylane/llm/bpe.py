@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD_STEP, Words, steps
+from .common import WORD_STEP, Words, steps, tidy
 
 END = "\x00"  # stands for the end-of-word suffix inside the automaton
 #: Printable ASCII needs no Unicode tables: the pre-tokenizer's rule restated for it.
@@ -226,7 +226,7 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 digests.append(pa.array([hashlib.sha256(blob[a + 1 : b] if b > a else b"").hexdigest() for a, b in zip(at, at[1:])], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(np.diff(counts)), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(text: str | None, vocabulary: str | None = None) -> list[int]:

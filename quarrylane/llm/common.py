@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ MULT = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that one numpy step works on at a time; arrays of a step stay near ten times this.
 STEP_BYTES = 2_000_000
 #: As many for steps that look up distinct words.
-WORD_STEP = 12_000_000
+WORD_STEP = 6_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +57,21 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tidy(work: Callable) -> Callable:
+    """The same work on Arrow batches; memory it has freed goes back to the system at its end, not with the worker, which Spark keeps for later tasks."""
+
+    def run(*batches):
+        try:
+            yield from work(*batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches by rows so that a step holds about `limit` bytes of text (one row at least)."""
     for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, Scratch, mix, n_grams, partitions_for, steps, text_bytes, word_hashes
+from .common import U64, Scratch, mix, n_grams, partitions_for, steps, text_bytes, tidy, word_hashes
 from .components import components
 
 SLOTS = 18  # log2 of the counters that part rare from frequent shingles
@@ -155,7 +155,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             parts = [p.astype("<i4").tobytes() for p in np.split(counters, SLICES)]
             yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    first = scratch.write(docs.mapInArrow(measure, "doc_id long, own long, n long, cls long, bits binary, wide binary, slice int, counts binary"), "measured")
+    first = scratch.write(docs.mapInArrow(tidy(measure), "doc_id long, own long, n long, cls long, bits binary, wide binary, slice int, counts binary"), "measured")
     rows = first.filter("slice < 0").select("doc_id", "own", "n", "cls", "bits", "wide")
 
     def add_up(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -212,7 +212,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     fields = ["part", "x", "y", "c", "sigs"]
     parts = partitions_for(spark)
-    indexed = docs.mapInArrow(index, "sig long, cls long, size int").repartition(parts, "sig").mapInArrow(bucket, "part long, x long, y long, c long, sigs array<long>")
+    indexed = docs.mapInArrow(tidy(index), "sig long, cls long, size int").repartition(parts, "sig").mapInArrow(tidy(bucket), "part long, x long, y long, c long, sigs array<long>")
     met = scratch.write(indexed, "met")
     tried = met.filter("part IS NULL").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
@@ -366,7 +366,7 @@ def _compared(members: DataFrame, facts: DataFrame, failed: DataFrame | None, mo
             x, y = cls[pairs[at : at + 50_000, 0]], cls[pairs[at : at + 50_000, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    return rows.repartition(parts, "part").mapInArrow(compare, "a long, b long")
+    return rows.repartition(parts, "part").mapInArrow(tidy(compare), "a long, b long")
 
 
 def _tops(parent: np.ndarray) -> np.ndarray:
@@ -395,7 +395,7 @@ def _thinned(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     x = classes.select(F.col("cls").alias("a"), F.col("n").alias("nx"), F.col("wide").alias("x"))
     y = classes.select(F.col("cls").alias("b"), F.col("n").alias("ny"), F.col("wide").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y").mapInArrow(thin, "a long, b long, apart double")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", (F.col("nx") + F.col("ny")).alias("n"), "x", "y").mapInArrow(tidy(thin), "a long, b long, apart double")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -423,7 +423,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
                     good.append((left.column("cls")[0].as_py(), b))
         return pa.table([pa.array([g[k] for g in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    sets = scratch.write(docs.join(wanted, "own").mapInArrow(make, "cls long, items binary").dropDuplicates(["cls"]), f"{name}-sets")
+    sets = scratch.write(docs.join(wanted, "own").mapInArrow(tidy(make), "cls long, items binary").dropDuplicates(["cls"]), f"{name}-sets")
     # the second class of a pair travels to the first; a first class with very many partners is parted by hash
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
     second = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("items").alias("other")), "b").select(F.col("a").alias("first"), salt.alias("part"), "b", "other")

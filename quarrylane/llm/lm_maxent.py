@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, mix, steps, text_bytes, word_hashes
+from .common import U64, Scratch, mix, steps, text_bytes, tidy, word_hashes
 
 HEAD = 65_536  # words the softmax models one by one; all others share a class, whose members go by their exact counts
 CLUSTERS, BINS = 8, 15
@@ -139,7 +139,7 @@ def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["chunk", "doc_id", "held_out", "sizes", "texts"])
 
-    return scratch.write(docs.mapInArrow(cut, "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary"), "chunks")
+    return scratch.write(docs.mapInArrow(tidy(cut), "chunk long, doc_id array<long>, held_out array<boolean>, sizes array<long>, texts binary"), "chunks")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -182,7 +182,7 @@ def n_grams_met(chunks: DataFrame, total: int) -> DataFrame:
         columns = [[*table.column("chunk").to_pylist(), -1], [key[0].as_py()] * (n + 1), [*own, b""], [0] * n + [int(single[0])], [0] * n + [int(single[1])]]
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["chunk", "slice", "counts", "pairs", "skips"])
 
-    met = chunks.mapInArrow(gather, "chunk long, slice int, keys binary, times binary")
+    met = chunks.mapInArrow(tidy(gather), "chunk long, slice int, keys binary, times binary")
     return met.groupBy("slice").applyInArrow(add, "chunk long, slice int, counts binary, pairs long, skips long")
 
 
@@ -210,7 +210,7 @@ def _clusters(docs: DataFrame, hashes: np.ndarray, counts: np.ndarray) -> np.nda
             yield _blobs(0, total, 16)
 
     x = np.zeros((HEAD, contexts))
-    for r in _summed(docs.mapInArrow(count, "which int, slice int, blob binary")).collect():
+    for r in _summed(docs.mapInArrow(tidy(count), "which int, slice int, blob binary")).collect():
         x.reshape(16, -1)[r["slice"]] = np.frombuffer(zlib.decompress(r.blob), np.int64)
     x = np.sqrt(x[: len(hashes)])
     norm = np.linalg.norm(x, axis=1)
@@ -266,7 +266,7 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
             yield _blobs(0, classes, SLICES)
             yield _blobs(1, words, SLICES)
 
-    table = scratch.write(_summed(docs.mapInArrow(count, "which int, slice int, blob binary")), "features")
+    table = scratch.write(_summed(docs.mapInArrow(tidy(count), "which int, slice int, blob binary")), "features")
     near_rows = NEAR // SLICES
     bias, near, skip = np.zeros(CLASSES), np.zeros((NEAR, CLASSES)), np.zeros((SKIP, CLASSES))
     for step in range(rounds + 1):
@@ -284,7 +284,7 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
 
         seen1, p1 = np.zeros((NEAR, CLASSES)), np.zeros((NEAR, CLASSES))
         seen2, p2 = np.zeros((SKIP, CLASSES)), np.zeros((SKIP, CLASSES))
-        for r in table.filter("which = 0").mapInArrow(gradient, "slice int, g binary").collect():
+        for r in table.filter("which = 0").mapInArrow(tidy(gradient), "slice int, g binary").collect():
             g, size = np.frombuffer(r.g), near_rows * CLASSES
             rows = slice(r["slice"] * near_rows, (r["slice"] + 1) * near_rows)
             seen1[rows], p1[rows] = g[:size].reshape(-1, CLASSES), g[size : 2 * size].reshape(-1, CLASSES)
@@ -330,7 +330,7 @@ def train(docs: DataFrame, scratch: Scratch, s: Structure, rounds: int = 10, pri
     default = np.empty(n)
     default[order] = normal(base[order])
     in_class = np.tile(default.astype(np.float32), (GROUPS, 1))
-    for r in table.filter("which = 1").mapInArrow(members, "slice int, g binary").collect():
+    for r in table.filter("which = 1").mapInArrow(tidy(members), "slice int, g binary").collect():
         in_class[r["slice"] * group_rows : (r["slice"] + 1) * group_rows] = np.frombuffer(zlib.decompress(r.g), np.float32).reshape(group_rows, n)
     return Model(by_class, in_class)
 
@@ -374,7 +374,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if words:
             yield from sent(*merged())
 
-    counts = scratch.write(learn.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    counts = scratch.write(learn.select("text").mapInArrow(tidy(count), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     if not total:
         spread = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long") + 1
@@ -421,4 +421,4 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return chunks.join(met, "chunk").mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.join(met, "chunk").mapInArrow(tidy(score), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

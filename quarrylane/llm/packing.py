@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary
-from .common import WORD_STEP, Scratch, Words, steps
+from .common import WORD_STEP, Scratch, Words, steps, tidy
 
 
 
@@ -26,7 +26,7 @@ class Pieces:
     The look-up holds two generations of at most `room` pieces (and a step's): a full one becomes the old one, from which pieces that are met again come
     back, so frequent ones are never encoded twice."""
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -122,7 +122,7 @@ def tokenised(df: DataFrame, id_col: str, text_col: str, vocabulary: str, end_id
                 names=["doc_id", "part", "before", "n", "ids16", "ids32"],
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, "doc_id long, part long, before long, n long, ids16 binary, ids32 binary")
+    return df.select(id_col, text_col).mapInArrow(tidy(run), "doc_id long, part long, before long, n long, ids16 binary, ids32 binary")
 
 
 def pack(df: DataFrame, window: int = 4096, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 2, with_ids: bool = False) -> DataFrame:
@@ -158,7 +158,7 @@ def pack(df: DataFrame, window: int = 4096, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == "ids32" else pa.int64()) for k, c in zip(names, out)], names=names)
 
     schema = ", ".join(f"{k} {'binary' if k == 'ids32' else 'long'}" for k in names)
-    return tokens.mapInArrow(cut, schema)
+    return tokens.mapInArrow(tidy(cut), schema)
 
 
 def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
@@ -173,4 +173,4 @@ def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFra
                 ids.append(np.concatenate([a, np.full(window - len(a), pad_id, dtype=np.int64)]).tolist())
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), pa.array([[x["doc_id"] for x in p] for p in batch.column("p").to_pylist()], pa.list_(pa.int64())), pa.array(ids, pa.list_(pa.int64()))], names=["sequence_id", "doc_ids", "ids"])
 
-    return rows.mapInArrow(join, "sequence_id long, doc_ids array<long>, ids array<long>")
+    return rows.mapInArrow(tidy(join), "sequence_id long, doc_ids array<long>, ids array<long>")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import steps, text_bytes
+from .common import steps, text_bytes, tidy
 
 #: Labelled rows to fit on at most, the first in hash order.
 SAMPLE = 40_000
@@ -87,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["fold", "y", "x"])
 
     rows = labelled(docs, labels, label_col, id_col, sample, ~held_out("_id")).select((F.crc32(F.col("_id").cast("string").cast("binary")) % 5).cast("int").alias("fold"), "y", text_col)
-    rows = rows.mapInArrow(measure, schema).repartition(PARTS).persist()
+    rows = rows.mapInArrow(tidy(measure), schema).repartition(PARTS).persist()
 
     def summed(work):
         """A matrix summed within each of PARTS partitions, then over them: what reaches the driver has a fixed size."""
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([total.shape[1]], pa.int32())], names=["m", "w"])
 
-        found = rows.mapInArrow(run, "m binary, w int").collect()
+        found = rows.mapInArrow(tidy(run), "m binary, w int").collect()
         return sum(np.frombuffer(r.m).reshape(-1, r.w) for r in found) if found else None
 
     try:
@@ -153,7 +153,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None, id_col: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(score), pa.array((score >= cut).astype(np.int32))], names=[*others, "score", "predicted"])
 
     kept = docs.select(*others)
-    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))
+    return kept.mapInArrow(tidy(run), StructType(list(kept.schema.fields)).add("score", "double").add("predicted", "integer"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch
+from .common import Scratch, tidy
 from .vectors import valid_vectors
 
 EXACT = 2.0**53
@@ -74,7 +74,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([capped(r)[:keep] for r in rows.values()], pa.list_(pa.int64())), pa.array([sorted(i for i in r if i % every == 0) for r in rows.values()], pa.list_(pa.int64()))], names=["v", "ids", "asked"])
 
     scratch = Scratch(spark, "voronoi")
-    local = df.select(id_col, vec_col).mapInArrow(classes, "v binary, ids array<long>, asked array<long>")
+    local = df.select(id_col, vec_col).mapInArrow(tidy(classes), "v binary, ids array<long>, asked array<long>")
     # ids of a class: at most 2 * k from each input batch, so no list grows with a class's copies; `asked` ids are explode-joined by class below
     merged = local.groupBy("v").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"), F.max(F.size("asked") > 0).alias("is_query"))
     merged = merged.withColumn("ids", F.slice(F.filter("ids", lambda x, n: (n < k) | (F.get(F.col("ids"), n - k) != x)), 1, keep))
@@ -111,7 +111,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                 out.append((v, len(x), at * parts + xxhash.xxh3_64_intdigest(v) % parts, float(np.sqrt(gap[at])), bound))
             yield pa.RecordBatch.from_pylist([dict(zip(("v", "d", "cell", "gap", "bound"), r)) for r in out], schema=pa.schema([("v", pa.binary()), ("d", pa.int32()), ("cell", pa.int64()), ("gap", pa.float64()), ("bound", pa.float64())]))
 
-    queries = scratch.write(data.filter("is_query").select("v").mapInArrow(assign, "v binary, d int, cell long, gap double, bound double"), "queries")
+    queries = scratch.write(data.filter("is_query").select("v").mapInArrow(tidy(assign), "v binary, d int, cell long, gap double, bound double"), "queries")
     summary = queries.groupBy("d", "cell").agg(F.max("gap").alias("radius"), F.min("bound").alias("bound")).collect()
     cells = {d: [r for r in summary if r.d == d] for d in {r.d for r in summary}}
     shared = spark.sparkContext.broadcast(
@@ -138,7 +138,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                         rows_of, cells_of = at[a : a + 4096], cell[to[a : a + 4096]]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows_of), d), pa.int32()), pa.array(cells_of), pa.array([part[r][0] for r in rows_of], pa.binary()), pa.array([part[r][1] for r in rows_of], pa.list_(pa.int64()))], names=["d", "cell", "v", "ids"])
 
-    sent = data.select("v", "ids").mapInArrow(replicate, "d int, cell long, v binary, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)))
+    sent = data.select("v", "ids").mapInArrow(tidy(replicate), "d int, cell long, v binary, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)))
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         qv, xv, ids = left.column("v").to_pylist(), right.column("v").to_pylist(), right.column("ids").to_pylist()

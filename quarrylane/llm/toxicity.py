@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import steps, text_bytes
+from .common import steps, text_bytes, tidy
 from .quality import held_out, labelled
 
 #: Labelled rows to fit on at most, the first in hash order; and terms kept as features.
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         items = [(w, ones[w], c) for w, c in all_.items()] + [(b"", n1, n)]
         yield pa.RecordBatch.from_arrays([pa.array([i[k] for i in items], pa.binary() if not k else pa.int64()) for k in range(3)], names=["term", "n1", "n"])
 
-    counts = rows.mapInArrow(count, "term binary, n1 long, n long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "term binary, n1 long, n long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     total = counts.filter(F.length("term") == 0).first()
     if total is None or total.n1 in (0, total.n):
         return None
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [blank.sparse(t) for t in text_bytes(batch.column(text_col))]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["y", "at", "x"])
 
-    taken = rows.mapInArrow(vectors, "y int, at array<int>, x array<float>").collect()  # `sample` rows of at most `terms` features
+    taken = rows.mapInArrow(tidy(vectors), "y int, at array<int>, x array<float>").collect()  # `sample` rows of at most `terms` features
     hits = np.array([sum(np.expm1(x) for i, x in zip(r["at"], r.x) if i in marked) for r in taken])
     label = np.array([r.y for r in taken])
     bounds = np.quantile(hits[label == 1], [1 / 3, 2 / 3])
@@ -134,7 +134,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(beyond.sum(axis=1)), pa.array(beyond[:, 0].copy()), pa.array(beyond[:, 0] >= cut)], names=[*others, *added])
 
     kept = docs.select(*others)
-    return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("severity", "double").add("p_toxic", "double").add("toxic", "boolean"))
+    return kept.mapInArrow(tidy(run), StructType(list(kept.schema.fields)).add("severity", "double").add("p_toxic", "double").add("toxic", "boolean"))
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
