@@ -7,12 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, n_grams, partitions_for, sliding, steps, text_bytes, word_hashes
+from .common import Scratch, n_grams, partitions_for, sliding, steps, text_bytes, tidy, word_hashes
 
 ANCHOR = 8  # words of the run whose least hash names the block of a window
+HOT = 1000  # texts with one anchor from which its windows are dealt one by one, each to a block of its own hash
+ROOM = 100_000_000  # bytes of phrases that a task holds to meet their repeats before they are sent
 
 
 def phrases(text: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +44,7 @@ class _Local(dict):
         if old is None:
             self[key] = (*holder, blob)
             return None
-        if old[:3] == holder:
+        if old[:4] == holder:
             return None
         if old[:2] <= holder[:2]:
             return holder
@@ -49,12 +52,23 @@ class _Local(dict):
         return old
 
 
-def factors(repeat: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Word spans that runs of repeated windows cover. A run is a greedy factor; a window across two factors' border that is repeated too keeps the run whole."""
-    if not repeat.any():
-        return []
-    step = np.diff(np.concatenate(([0], repeat.astype(np.int8), [0])))
-    return [(int(a), int(b) - 1 + window) for a, b in zip(np.flatnonzero(step > 0), np.flatnonzero(step < 0))]
+def factors(own: np.ndarray, first: int, source: np.ndarray, reference: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy relative Lempel-Ziv parse of one phrase, in windows: (start, length, place in the reference) of each factor; windows without a source are literals.
+
+    `own` are the phrase's windows, which stand at `first` in the block's `reference`; source[i] is the earliest place there of window i, stops[i] where the phrase
+    of that place ends. A factor takes its source's windows as long as they go on alike. The window after it spans its border, and is looked up anew, so a
+    passage that two factors make up together is whole."""
+    out, late = [], np.flatnonzero(source != first + np.arange(len(own)))
+    at = 0
+    while True:
+        at += int(np.searchsorted(late[at:], out[-1][0] + out[-1][1])) if out else 0
+        if at >= len(late):
+            return out
+        i = int(late[at])
+        j = int(source[i])
+        room = min(len(own) - i, int(stops[i]) - j)
+        differ = own[i : i + room] != reference[j : j + room]
+        out.append((i, int(differ.argmax()) if differ.any() else room, j))
 
 
 def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -64,9 +78,11 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
     1. Each distinct text is judged once, as the row with its smallest id; other rows of it repeat it wholly.
     2. Anchors met in one place alone are dropped by a count; they can't belong to a repeated window.
     3. The phrases of the other anchors go to the reference block of their anchor, which so holds every earlier phrase a window could repeat. The block's
-       index gives each window hash's earliest place; documents are factored against it, and factors of a window or more are the spans to remove.
+       index gives each window's earliest place; phrases are parsed greedily against it, and factors, which are a window long at least, are the spans to
+       remove. Windows of an anchor that over HOT texts share go to blocks by their own hash.
     Null and empty texts have no words. Rows with one id and one text are judged alike; with one id and other texts, only by start. Null ids come first.
-    An empty table gives no rows. Words and windows are compared by 64-bit hashes."""
+    An empty table gives no rows. Words are compared by 64-bit hashes, windows by two of these (a window's own and
+    its anchor's)."""
     spark = df.sparkSession
     scratch, parts = Scratch(spark, "repeats"), partitions_for(spark)
     names = [c for c in df.columns if c not in ("n_words", "n_removed", "kept_sha256")]
@@ -91,74 +107,83 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(key)), pa.array(np.concatenate(many))], names=["a", "key", "many"])
 
-    met = scratch.write(rows.select("_key", "_text").mapInArrow(anchors, "a long, key long, many boolean"), "anchors")
-    again = met.groupBy("a").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("many").alias("many")).filter("x <> y OR many").select("a")
-    kept = met.join(again, "a", "left_semi").groupBy("key").agg(F.collect_set("a").alias("wanted"))
+    met = scratch.write(rows.select("_key", "_text").mapInArrow(tidy(anchors), "a long, key long, many boolean"), "anchors")
+    again = met.groupBy("a").agg(F.min("key").alias("x"), F.max("key").alias("y"), F.max("many").alias("many"), F.count(F.lit(1)).alias("n")).filter("x <> y OR many")
+    kept = met.join(again.select("a", (F.col("n") > HOT).alias("hot")), "a").groupBy("key").agg(F.collect_set("a").alias("wanted"), F.collect_set(F.when(F.col("hot"), F.col("a"))).alias("hot"))
     first = rows.groupBy("_key").agg(F.min("_id").alias("rep"))  # one row a text from each task
-    wanted = scratch.write(kept.join(first.withColumnRenamed("_key", "key"), "key").select("key", "rep", "wanted"), "wanted")
+    wanted = scratch.write(kept.join(first.withColumnRenamed("_key", "key"), "key").select("key", "rep", "wanted", "hot"), "wanted")
     scratch.drop("anchors")
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, room = _Local(), 0
-        fields = ["kind", "a", "key", "rep", "start", "stop", "windows"]
+        fields = ["kind", "block", "a", "key", "rep", "start", "stop", "windows"]
 
         def pack(items: list[tuple]) -> pa.RecordBatch:
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            types = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([i[k] for i in items], t) for k, t in enumerate(types)], names=fields)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            items = [(0, k[0], v[2], v[0], v[1], v[1] + len(v[3]) // 8, v[3]) for k, v in local.items()]
+            items = [(0, v[3], k[0], v[2], v[0], v[1], v[1] + len(v[4]) // 8, v[4]) for k, v in local.items()]
             local.clear()
             for at in range(0, len(items), 20_000):
                 yield pack(items[at : at + 20_000])
 
         for batch in steps(batches, "_text"):
             spans = []
-            for key, rep, text, want in zip(batch.column("_key").to_pylist(), batch.column("rep").to_pylist(), text_bytes(batch.column("_text")), batch.column("wanted").to_pylist()):
+            for key, rep, text, want, hot in zip(batch.column("_key").to_pylist(), batch.column("rep").to_pylist(), text_bytes(batch.column("_text")), batch.column("wanted").to_pylist(), batch.column("hot").to_pylist()):
                 edges, anchor, windows, _ = phrases(text, window)
-                signed = anchor.view(np.int64)
+                signed, common = anchor.view(np.int64), set(hot)
                 for p in np.flatnonzero(np.isin(signed, np.array(want, dtype=np.int64))).tolist():
-                    start, blob = int(edges[p]), windows[edges[p] : edges[p + 1]].tobytes()
-                    late = local.meet(int(signed[p]), blob, (rep, start, key))
-                    room += len(blob) + 150
-                    if late is not None:
-                        spans.append((1, 0, late[2], late[0], late[1], late[1] + len(blob) // 8, b""))
+                    a, first, last = int(signed[p]), int(edges[p]), int(edges[p + 1])
+                    for start, stop in [(k, k + 1) for k in range(first, last)] if a in common else [(first, last)]:
+                        blob = windows[start:stop].tobytes()
+                        late = local.meet(a, blob, (rep, start, key, int(windows[start].view(np.int64)) if a in common else a))
+                        room += len(blob) + 250
+                        if late is not None:
+                            spans.append((1, 0, 0, late[2], late[0], late[1], late[1] + len(blob) // 8, b""))
             if spans:
                 yield pack(spans)
-            if room > 150_000_000:
+            if room > ROOM:
                 yield from flush()
                 room = 0
         yield from flush()
 
-    holders = rows.join(wanted.select(F.col("rep").alias("_id"), F.col("key").alias("_key"), "rep", "wanted").hint("shuffle_hash"), ["_id", "_key"])
-    holders = holders.select("_key", "rep", "_text", "wanted")
-    routed = scratch.write(holders.mapInArrow(route, "kind int, a long, key long, rep long, start long, stop long, windows binary"), "routed")
+    holders = rows.join(wanted.select(F.col("rep").alias("_id"), F.col("key").alias("_key"), "rep", "wanted", "hot").hint("shuffle_hash"), ["_id", "_key"])
+    holders = holders.select("_key", "rep", "_text", "wanted", "hot")
+    routed = scratch.write(holders.mapInArrow(tidy(route), "kind int, block long, a long, key long, rep long, start long, stop long, windows binary"), "routed")
 
     def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema=pa.schema([("key", pa.int64()), ("rep", pa.int64()), ("start", pa.int64()), ("windows", pa.binary())]))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        key, rep, start = (table.column(c).to_numpy() for c in ("key", "rep", "start"))
-        blobs = table.column("windows").to_pylist()
-        sizes = np.array([len(b) // 8 for b in blobs])
-        windows = np.frombuffer(b"".join(blobs), np.uint64)
+        table = pa.Table.from_batches(held)
+        key, rep, start, anchor = (table.column(c).to_numpy() for c in ("key", "rep", "start", "a"))
+        blobs = table.column("windows").combine_chunks()
+        blobs = blobs.chunk(0) if isinstance(blobs, pa.ChunkedArray) else blobs
+        windows = np.frombuffer(b"".join(b.as_buffer() for b in blobs), np.uint64)
+        sizes = pc.binary_length(blobs).to_numpy().astype(np.int64) // 8
+        del held, table, blobs
+        ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(windows)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + start[owner]
-        order = np.lexsort((place, rep[owner], windows))  # the block's index: windows by hash, the earliest place first
-        h, r, p = windows[order], rep[owner][order], place[order]
-        head = np.concatenate(([True], h[1:] != h[:-1]))
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-        late = np.zeros(len(h), dtype=bool)
-        late[order] = (r != r[lead]) | (p != p[lead])
+        place = np.arange(len(windows)) - np.repeat(ends - sizes, sizes) + start[owner]
+        order = np.lexsort((place, rep[owner], anchor[owner], windows))  # the block's index: windows by hash and anchor, the earliest place first
+        h, a = windows[order], anchor[owner[order]]
+        head = np.concatenate(([True], (h[1:] != h[:-1]) | (a[1:] != a[:-1])))
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
+        same = (rep[owner[order]] == rep[owner[lead]]) & (place[order] == place[lead])  # a place that stands twice is no source of itself
+        source = np.empty(len(order), dtype=np.int64)
+        source[order] = np.where(same, order, lead)
+        del order, head, lead, same, h, a
+        some = np.flatnonzero(np.bincount(owner, source != np.arange(len(source)), len(sizes)) > 0)
         out = []
-        at = 0
-        for i, n in enumerate(sizes.tolist()):
-            out += [(int(key[i]), int(rep[i]), int(start[i]) + a, int(start[i]) + b - window + 1) for a, b in factors(late[at : at + n], window)]
-            at += n
+        for i in some.tolist():
+            first, last = int(ends[i] - sizes[i]), int(ends[i])
+            for f, n, _ in factors(windows[first:last], first, source[first:last], windows, ends[owner[source[first:last]]]):
+                out.append((int(key[i]), int(rep[i]), int(start[i]) + f, int(start[i]) + f + n))
         for k in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out[k : k + 50_000]], pa.int64()) for c in range(4)], names=["key", "rep", "start", "stop"])
 
-    found = routed.filter("kind = 0").select("key", "rep", "a", "start", "windows").repartition(parts, "a").drop("a").mapInArrow(factor, "key long, rep long, start long, stop long")
+    found = routed.filter("kind = 0").select("key", "rep", "block", "a", "start", "windows").repartition(parts, "block").drop("block").mapInArrow(tidy(factor), "key long, rep long, start long, stop long")
     spans = found.unionByName(routed.filter("kind = 1").select("key", "rep", "start", "stop")).groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     judged = first.select(F.col("_key").alias("key"), "rep").join(spans, "key", "left")
     judged = scratch.write(judged, "judged")
@@ -192,7 +217,7 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
     source = df.select(*kept_names, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     joined = source.join(judged.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left").drop("_key")
     schema = StructType([f for f in df.schema.fields if f.name in kept_names] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
-    return joined.mapInArrow(keep, schema)
+    return joined.mapInArrow(tidy(keep), schema)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
