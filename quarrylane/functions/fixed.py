@@ -36,8 +36,26 @@ ATTRIBUTES = {
 # Fixed values. Names of file-system metafiles.
 METAFILES = "$mft $mftmirr $logfile $volume $attrdef $bitmap $boot $badclus $secure $upcase $extend $objid $quota $reparse $usnjrnl $rmmetadata $deleted $repair $tops $txflog $txf".split()
 # Fixed values. Reason bits of journal records.
-REASON_DATA, REASON_CREATE, REASON_DELETE, REASON_RENAME_OLD, REASON_RENAME_NEW, REASON_CLOSE = 0x77, 0x100, 0x200, 0x1000, 0x2000, 0x80000000
-REASON_METADATA = 0x400 | 0x800 | 0x4000 | 0x8000 | 0x20000 | 0x40000 | 0x80000 | 0x100000
+REASON_DATA_EXTEND = 0x2
+REASON_DATA_TRUNCATION = 0x4
+REASON_CREATE = 0x100
+REASON_DELETE = 0x200
+REASON_RENAME_NEW = 0x2000
+REASON_BASIC_INFO = 0x8000
+REASON_CLOSE = 0x80000000
+# Fixed values. The 15 attribute bits of the parity column.
+PARITY_MASK = 0x1AFE37
+# Fixed values. Age classes: name and upper bound in days.
+AGE_BUCKETS = [("Today", 1), ("This week", 7), ("This month", 30), ("Last 90 days", 90), ("This year", 365), ("1 – 3 years", 3 * 365), ("3 – 10 years", 10 * 365), ("> 10 years", None)]
+# Fixed values. Columns of a text export in their usual order.
+BASELINE_COLUMNS = ["path", "name", "path_only", "size", "size_on_disk", "created", "modified", "accessed", "descendants", "attributes"]
+# Fixed values. Columns of a parity export in their order.
+PARITY_COLUMNS = [
+    "path", "name", "path_only", "size", "size_on_disk", "created", "modified", "accessed", "descendants", "read_only", "archive", "system", "hidden", "offline",
+    "not_indexed", "no_scrub", "integrity", "pinned", "unpinned", "directory_flag", "compressed", "encrypted", "sparse", "reparse", "parity_attributes",
+]
+# Fixed values. Characters that a literal text needs escaped in a regex.
+REGEX_META = ".+*?^$()[]{}|\\"
 # Fixed values. 100 ns ticks between 1601 and 1970.
 FILETIME_EPOCH = 116_444_736_000_000_000
 # Fixed values. Size classes: name and upper bound.

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .scalars import file_type, has_bits, name_hex, ratio_scaled
+from .scalars import file_type, has_bits, malformed, name_hex, ratio_scaled
 
 
 @dataclass(frozen=True)
@@ -31,6 +31,7 @@ def fields() -> dict[str, Field]:
     """Canonical name -> field. Columns are unresolved expressions over the files schema."""
     c, number = F.col, lambda n, col, *a, needs="": Field(n, "number", col, a, descending=True, needs=needs)
     sums = lambda own, tree: F.when(c("is_directory"), c(tree)).otherwise(c(own))
+    # Fixed values. Canonical names and aliases are the interface.
     listed = [
         Field("drive", "string", c("drive"), ("drv",), group=True),
         Field("path", "string", c("path"), needs="path"),
@@ -55,10 +56,10 @@ def fields() -> dict[str, Field]:
         _flag("integrity", "integrity"), _flag("no_scrub", "noscrub", "noscrub", "no scrub", "no scrub file"),
         Field("directory_flag", "bool", c("is_directory"), ("directoryflag", "directory flag", "directory", "dir"), descending=True, group=True),
         _flag("recall_on_open", "recall_on_open", "recallonopen", "recall on open"), _flag("recall_on_data_access", "recall_on_data_access", "recallondataaccess", "recall on data access"),
-        Field("parity_attributes", "bits", c("flags").bitwiseAND(F.lit(0xFFFF & ~0x100 & ~0x40 | 0x20000 | 0x80000 | 0x100000)), ("parityattributes",), sortable=False),
+        Field("parity_attributes", "bits", c("flags").bitwiseAND(F.lit(fixed.PARITY_MASK)), ("parityattributes",), sortable=False),
         number("name_length", F.length("name"), "namelength", "name_len", "namelen"),
         number("path_length", F.least(F.length("path"), F.lit(65535)), "pathlength", "path_len", "pathlen", needs="path"),
-        Field("malformed", "bool", ~F.is_valid_utf8(c("name_bytes").cast("string")), ("ill_formed", "illformed", "bad_name"), descending=True, group=True),
+        Field("malformed", "bool", malformed(c("name_bytes")), ("ill_formed", "illformed", "bad_name"), descending=True, group=True),
         Field("malformed_path", "bool", c("malformed_path"), ("malformedpath", "ill_formed_path", "bad_path"), descending=True, group=True, needs="path"),
         Field("name_hex", "string", name_hex(c("name_bytes")), ("namehex", "name_bytes_hex"), sortable=False),
     ]

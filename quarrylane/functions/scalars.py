@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +31,45 @@ def ratio_scaled(allocated: Column, size: Column) -> Column:
     return F.when(size == 0, F.lit(0)).otherwise(F.floor(wide / F.when(size != 0, size).cast("decimal(20,0)"))).cast("long")
 
 
+def whole(value: Column, by: int) -> Column:
+    """Integer division towards zero, without a double in between."""
+    return ((value.cast("decimal(20,0)") - value.cast("decimal(20,0)") % F.lit(by)) / F.lit(by)).cast("long")
+
+
 def filetime_to_timestamp(ticks: Column) -> Column:
-    return F.timestamp_micros(((ticks - F.lit(fixed.FILETIME_EPOCH)) / 10).cast("long"))
+    """Unix time of 100 ns ticks since 1601, in whole microseconds."""
+    since = ticks - F.lit(fixed.FILETIME_EPOCH)
+    return F.timestamp_micros(whole(since, 10))
+
+
+def filetime_with_bias(ticks: Column, seconds: Column | int) -> Column:
+    return ticks + (seconds if isinstance(seconds, Column) else F.lit(seconds)).cast("long") * F.lit(10_000_000).cast("long")
+
+
+def filetime_calendar(ticks: Column) -> Column:
+    """year, month, day, hour, minute, second; null where unset (0)."""
+    at = filetime_to_timestamp(ticks)
+    return F.when(ticks != 0, F.struct(*[f(at).alias(f.__name__) for f in (F.year, F.month, F.dayofmonth, F.hour, F.minute, F.second)]))
+
+
+def frame_extension(name: Column) -> Column:
+    """As `extension`, but null where there is none."""
+    return F.nullif(F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)), F.lit(""))
+
+
+def age_class(at: Column, now: Column) -> Column:
+    """The age class of a time, by whole microseconds before `now`."""
+    day = 86_400_000_000
+    return classes(F.unix_micros(now) - F.unix_micros(at), [(n, None if d is None else d * day) for n, d in fixed.AGE_BUCKETS])
+
+
+def malformed(name_bytes: Column) -> Column:
+    return ~F.is_valid_utf8(name_bytes.cast("string"))
+
+
+def shown_as_directory(is_directory: Column, name: Column) -> Column:
+    """Stream rows (`name:stream`) are shown as files even where their record is a directory."""
+    return is_directory & ~name.contains(":")
 
 
 def pack_reference(seq: Column, frs: Column) -> Column:
@@ -70,3 +108,28 @@ def human_size(value: Column) -> Column:
 
 def name_hex(name_bytes: Column) -> Column:
     return F.lower(F.hex(name_bytes))
+
+
+def render_malformed(name_bytes: Column, normalised: bool = False) -> Column:
+    """Text of name bytes: U+FFFD for each bad unit, or with `normalised` <BAD:HHHH> for a lone surrogate and <BAD> for any other bad byte."""
+
+    @F.pandas_udf("string")
+    def shown(names: pd.Series) -> pd.Series:
+        return names.map(lambda b: None if b is None else rendered(bytes(b), normalised))
+
+    return F.when(malformed(name_bytes), shown(name_bytes)).otherwise(name_bytes.cast("string"))
+
+
+def rendered(raw: bytes, normalised: bool) -> str:
+    out = ""
+    while raw:
+        try:
+            return out + raw.decode()
+        except UnicodeDecodeError as e:
+            out += raw[: e.start].decode()
+            bad = raw[e.start :]
+            lone = len(bad) > 2 and bad[0] == 0xED and 0xA0 <= bad[1] <= 0xBF and 0x80 <= bad[2] <= 0xBF
+            unit = f"{0xD000 | (bad[1] & 0x3F) << 6 | bad[2] & 0x3F:04X}" if lone else ""
+            out += "\ufffd" if not normalised else f"<BAD:{unit}>" if lone else "<BAD>"
+            raw = bad[3 if lone else max(e.end - e.start, 1) :]
+    return out

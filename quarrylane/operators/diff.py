@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def snapshot_diff(baseline: DataFrame, current: DataFrame, key: str = "file_ref", compared: tuple[str, ...] = ("size", "modified")) -> DataFrame:
-    """(key, change): deleted, added or modified. The baseline's side is its first row per key; key 0 is no reference. One join of both sides."""
-    first = baseline.filter(F.col(key) != 0).groupBy(key).agg(F.min(F.struct(*compared)).alias("old"))
+def snapshot_diff(baseline: DataFrame, current: DataFrame, key: str = "file_ref", compared: tuple[str, ...] = ("size", "modified"), order: str | None = None) -> DataFrame:
+    """(key, change): deleted, added or modified. The baseline's side is its first row per key, by column `order`, else as it is read; key 0 is no reference.
+    One join of both sides."""
+    place = F.col(order) if order else F.monotonically_increasing_id()
+    numbered = baseline.filter(F.col(key) != 0).select(key, F.struct(*compared).alias("old"), place.alias("place"))
+    first = numbered.groupBy(key).agg(F.min_by("old", "place").alias("old"))
     now = current.filter(F.col(key) != 0).select(key, F.struct(*compared).alias("new"))
     kind = F.when(F.col("new").isNull(), F.lit("deleted")).when(F.col("old").isNull(), F.lit("added")).when(F.col("old") != F.col("new"), F.lit("modified"))
     return first.join(now, key, "full_outer").select(key, kind.alias("change")).filter(F.col("change").isNotNull())
@@ -22,6 +25,11 @@ def limited(delta: DataFrame, most: int, key: str = "file_ref") -> DataFrame:
     return delta.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r").join(F.broadcast(counts), "change")
 
 
+def deleted_rows(baseline: DataFrame, current: DataFrame, key: str = "file_ref") -> DataFrame:
+    """Baseline rows that the current snapshot has no more; a search over them is the search for deleted files."""
+    return baseline.filter(F.col(key) != 0).join(current.select(key).distinct(), key, "left_anti").select(*baseline.columns)
+
+
 def parity(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Multiset comparison of two exports: common, only_a and only_b counts."""
     both = a.select(*columns, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*columns, F.lit(0).alias("x"), F.lit(1).alias("y")))

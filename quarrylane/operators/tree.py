@@ -1,4 +1,4 @@
-"""Hierarchy: paths, ancestors, subtree sums, rollups. A catalog's directories are walked level by level; files join their parent once."""
+"""Hierarchy: paths, ancestors, subtree sums, rollups. Directories are joined to their ancestors once a catalog; files join their parent."""
 
 from __future__ import annotations
 
@@ -9,40 +9,44 @@ MAX_DEPTH = 256
 SEP = "\\"
 
 
-def directory_chains(files: DataFrame, checkpoint_every: int = 8) -> DataFrame:
-    """(drive, frs, chain, path): chain lists ancestors from the root to the directory. Missing parents give `<unknown:N>`; cycles end at MAX_DEPTH.
+def directory_chains(files: DataFrame) -> DataFrame:
+    """(drive, frs, chain, path, bad): chain lists ancestors from the root to the directory; bad tells whether a name on it is malformed. Missing parents give
+    `<unknown:N>`; directories on or below a cycle, or deeper than MAX_DEPTH, have no chain.
 
-    One join a level over directories alone, which are few beside files; lineage is cut by checkpoint() now and then."""
-    dirs = files.filter("is_directory").select("drive", "frs", "parent_frs", "name").dropDuplicates(["drive", "frs"])
-    key = dirs.select(F.col("drive").alias("d"), F.col("frs").alias("f"))
+    Pointer doubling over directories alone: a round joins each part of a chain to the part above it, so depth d takes log2(d) joins. Each round is cut off
+    from its lineage by checkpoint()."""
+    spark = files.sparkSession
+    raw = F.col("name_bytes").cast("string") if "name_bytes" in files.columns else F.col("name")
+    dirs = files.filter("is_directory").select("drive", "frs", "parent_frs", "name", (~F.is_valid_utf8(raw)).alias("bad")).dropDuplicates(["drive", "frs"])
+    key = dirs.select("drive", F.col("frs").alias("parent_frs"), F.lit(True).alias("known"))
     is_root = (F.col("parent_frs") == 0) | (F.col("parent_frs") == F.col("frs"))
-    orphan = dirs.filter(~is_root).join(key, (F.col("drive") == F.col("d")) & (F.col("parent_frs") == F.col("f")), "left_anti")
-    lost = orphan.select("drive", "frs", F.array("frs").alias("chain"), F.concat(F.lit("<unknown:"), F.col("parent_frs").cast("string"), F.lit(">" + SEP), F.col("name")).alias("path"))
-    level = dirs.filter(is_root).select("drive", "frs", F.array("frs").alias("chain"), F.concat(F.col("name"), F.lit(":")).alias("path")).unionByName(lost)
-    out, spark = level, files.sparkSession
-    rest = dirs.filter(~is_root)
-    for depth in range(1, MAX_DEPTH):
-        up = level.select(F.col("drive").alias("d"), F.col("frs").alias("p"), F.col("chain").alias("up"), F.col("path").alias("up_path"))
-        level = rest.join(up, (F.col("drive") == F.col("d")) & (F.col("parent_frs") == F.col("p"))).select("drive", "frs", F.concat("up", F.array("frs")).alias("chain"), F.concat("up_path", F.lit(SEP), "name").alias("path"))
-        if depth % checkpoint_every == 0:
-            if not spark.sparkContext.getCheckpointDir():
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
-            level = level.checkpoint()
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    return out
+    lost = F.concat(F.lit("<unknown:"), F.col("parent_frs").cast("string"), F.lit(">" + SEP), F.col("name"))
+    text = F.when(is_root, F.concat("name", F.lit(":"))).when(F.col("known").isNull(), lost).otherwise(F.col("name"))
+    state = dirs.join(key, ["drive", "parent_frs"], "left").select("drive", "frs", F.when(~is_root & F.col("known"), F.col("parent_frs")).alias("top"), F.array("frs").alias("chain"), text.alias("path"), "bad")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"))
+    state = state.checkpoint()
+    for _ in range(MAX_DEPTH.bit_length() - 1):
+        if state.filter("top IS NOT NULL").isEmpty():
+            break
+        over = state.select("drive", F.col("frs").alias("top"), F.col("top").alias("t"), F.col("chain").alias("c"), F.col("path").alias("p"), F.col("bad").alias("b"))
+        joined = state.filter("top IS NOT NULL").join(over, ["drive", "top"]).select("drive", "frs", F.col("t").alias("top"), F.concat("c", "chain").alias("chain"), F.concat("p", F.lit(SEP), "path").alias("path"), (F.col("b") | F.col("bad")).alias("bad"))
+        state = state.filter("top IS NULL").unionByName(joined).checkpoint()
+    return state.filter("top IS NULL").drop("top")
 
 
 def with_paths(files: DataFrame, chains: DataFrame | None = None) -> DataFrame:
-    """files with path, path_only and chain (ancestor directories, root first)."""
+    """files with path, path_only, chain (ancestor directories, root first) and malformed_path."""
     chains = directory_chains(files) if chains is None else chains
-    up = chains.select("drive", F.col("frs").alias("parent_frs"), F.col("path").alias("dir_path"), F.col("chain").alias("chain"))
+    raw = F.col("name_bytes").cast("string") if "name_bytes" in files.columns else F.col("name")
+    up = chains.select("drive", F.col("frs").alias("parent_frs"), F.col("path").alias("dir_path"), F.col("chain").alias("chain"), F.col("bad").alias("dir_bad"))
     joined = files.join(up, ["drive", "parent_frs"], "left")
     root = F.col("parent_frs").isin(0) | (F.col("parent_frs") == F.col("frs"))
     base = F.when(root, F.lit("")).otherwise(F.coalesce("dir_path", F.concat(F.lit("<unknown:"), F.col("parent_frs").cast("string"), F.lit(">"))))
     path = F.when(root & F.col("is_directory"), F.concat("name", F.lit(":"))).when(root, F.col("name")).otherwise(F.concat(base, F.lit(SEP), "name"))
-    return joined.select(*files.columns, path.alias("path"), base.alias("path_only"), F.coalesce("chain", F.array().cast("array<long>")).alias("chain"))
+    above = F.when(root, F.array().cast("array<long>")).otherwise(F.coalesce("chain", F.array().cast("array<long>")))
+    bad = ~F.is_valid_utf8(raw) | (~root & F.coalesce("dir_bad", F.lit(False)))
+    return joined.select(*files.columns, path.alias("path"), base.alias("path_only"), above.alias("chain"), bad.alias("malformed_path"))
 
 
 def tree_metrics(files: DataFrame, chains: DataFrame | None = None) -> DataFrame:
@@ -69,6 +73,12 @@ def rollup_path(files: DataFrame, depth: int, chains: DataFrame | None = None) -
     return rows.groupBy("drive", at.alias("ancestor")).agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("total_bytes"), F.sum("allocated").alias("total_allocated"))
 
 
+def labelled(groups: DataFrame, files: DataFrame, record: str = "ancestor") -> DataFrame:
+    """Rollup rows with `label` (`drive:\\name`) of their record."""
+    names = files.groupBy("drive", F.col("frs").alias(record)).agg(F.min("name").alias("name"))
+    return groups.join(names, ["drive", record], "left").withColumn("label", F.concat("drive", F.lit(":" + SEP), "name")).drop("name")
+
+
 def rollup_ancestor(files: DataFrame, drive: str, record: int, chains: DataFrame | None = None) -> DataFrame:
     """By the child of `record` on the way down to each row; rows not below it group as themselves."""
     rows = with_paths(files.filter(F.col("drive") == drive), chains)

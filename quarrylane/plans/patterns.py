@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 def glob_regex(glob: str, path: bool = False) -> str:
     """A whole-string regex. In names `*` is any text; in paths it stops at separators and `**` does not."""
@@ -55,7 +57,12 @@ def match(column: Column, pattern: str, case_sensitive: bool = False, whole: boo
     return text.rlike(glob_regex(word))
 
 
-def match_path(column: Column, pattern: str) -> Column:
-    """A path glob, its first segment unanchored, separators normalised, upper and lower case alike."""
-    body = pattern.replace("/", "\\").lower()
-    return F.lower(column).rlike("(?:^|.*\\\\)" + glob_regex(body, path=True)[1:])
+def regex_escape(text: str) -> str:
+    return "".join("\\" + c if c in fixed.REGEX_META else c for c in text)
+
+
+def match_path(column: Column, pattern: str, case_sensitive: bool = False) -> Column:
+    """A path glob, its first segment unanchored, separators normalised; without case unless told."""
+    body = pattern.replace("/", "\\")
+    body = body if case_sensitive else body.lower()
+    return (column if case_sensitive else F.lower(column)).rlike("(?:^|.*\\\\)" + glob_regex(body, path=True)[1:])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.registry import resolve
 from ..operators.tree import directory_chains, with_paths, with_tree, tree_metrics
+from ..sources.catalog import complete
 from .patterns import match, match_path
 from .specs import expand_extensions, parse_attributes, parse_months, parse_size, parse_time
 
@@ -33,6 +34,7 @@ class SearchParams:
     in_path: str = ""
     not_in_path: str = ""
     hide_system: bool = False
+    hide_metadata: bool = False
     hide_ads: bool = False
     attr: str = ""
     months: str = ""
@@ -54,7 +56,9 @@ def predicate(name: str, op: str, value: Any) -> Column:
     f = resolve(name)
     c = f.column
     compare = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "lte": operator.le, "gt": operator.gt, "gte": operator.ge}
-    if f.kind == "bits" or (f.kind == "bits" and op.startswith("has_")):
+    if f.kind == "bits" and f.name == "attributes":
+        if op not in ("has_all", "has_any", "has_none"):
+            raise ValueError(f"{op} does not fit {name}")
         masks = [fixed.ATTRIBUTES[v.lower()] for v in value]
         hits = [c.bitwiseAND(F.lit(m)) != 0 for m in masks]
         joined = functools.reduce(operator.and_ if op == "has_all" else operator.or_, hits)
@@ -98,7 +102,7 @@ def build_filter(p: SearchParams) -> tuple[Column, set[str]]:
             p, pattern = SearchParams(**{**p.__dict__, "mode": mode}), pattern[len(prefix) :]
     exact_case = p.case_sensitive or (p.smart_case and pattern != pattern.lower())
     if pattern.startswith("path:") or (not pattern.startswith(">") and ("\\" in pattern or "/" in pattern)):
-        terms.append(match_path(use("path"), pattern.removeprefix("path:")))
+        terms.append(match_path(use("path"), pattern.removeprefix("path:"), exact_case))
     elif pattern.startswith("*.") and pattern[2:].isalnum() and not exact_case:
         terms.append(F.col("ext") == pattern[2:].lower())  # a pure extension pattern reaches the scan as an equality
     elif pattern not in ("*", ""):
@@ -111,15 +115,16 @@ def build_filter(p: SearchParams) -> tuple[Column, set[str]]:
             terms.append(F.col("ext").isin(wanted))
         if p.type:
             terms.append(use("type") == p.type.lower())
-    for spec, kept in ((p.exclude, False), (p.not_contains and f"*{p.not_contains}*", False)):
-        if spec:
-            terms.append(~match(F.col("name"), spec, whole=True))
+    for spec in [*filter(None, p.exclude.split(",")), *([f"*{p.not_contains}*"] if p.not_contains else [])]:
+        terms.append(~match(F.col("name"), spec.strip(), whole=True))
     if p.in_path:
         terms.append(match(use("path_only"), p.in_path.replace("/", "\\")))
     for part in filter(None, p.not_in_path.split(",")):
         terms.append(~match(use("path_only"), part.replace("/", "\\")))
     if p.hide_system:
         terms.append(~F.lower("name").isin(fixed.METAFILES))
+    if p.hide_metadata:
+        terms.append((F.col("frs") >= 16) | (F.col("frs") == 5))
     if p.hide_ads:
         terms.append(~F.col("name").contains(":"))
     if p.attr:
@@ -165,21 +170,42 @@ def build_sort(spec: str) -> tuple[list[Column], set[str]]:
     return [*keys, F.col("drive").asc(), F.col("frs").asc()], needs
 
 
-def search(files: DataFrame, p: SearchParams) -> DataFrame:
-    """Filters, sorts, cuts and projects. Paths and tree sums are joined before the cut only if a filter or sort reads them, else to the winners alone."""
+def derived(files: DataFrame, what: set[str], chains: DataFrame | None = None, metrics: DataFrame | None = None, of: DataFrame | None = None) -> DataFrame:
+    """Rows of `of` (files itself if not given) with the path and tree columns asked for, made from files unless they are given."""
+    rows = files if of is None else of
+    if what and chains is None:
+        chains = directory_chains(files)
+    if "path" in what:
+        rows = with_paths(rows, chains)
+    return with_tree(rows, tree_metrics(files, chains) if metrics is None else metrics) if "tree" in what else rows
+
+
+def matched(files: DataFrame, p: SearchParams, chains: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """The rows that a search finds, unsorted and uncut, with the derived columns that its filters read: what aggregates run over."""
+    where, needs = build_filter(p)
+    return derived(complete(files), needs, chains, metrics).filter(where)
+
+
+def search(files: DataFrame, p: SearchParams, chains: DataFrame | None = None, metrics: DataFrame | None = None) -> DataFrame:
+    """Filters, sorts, cuts and projects, in the order asked for. Paths and tree sums are joined before the cut only if a filter or sort reads them, else to
+    the winners alone. `chains` and `metrics` are those of a stored catalog; without them they are made anew."""
+    files = complete(files)
     where, need_filter = build_filter(p)
     keys, need_sort = build_sort(p.sort)
     fields = [resolve(c) for c in (p.columns or ["drive", "path", "name", "size", "modified"])]
     need_show = {f.needs for f in fields} - {""}
-    chains = directory_chains(files) if need_filter | need_sort | need_show else None
-    add = lambda df, what: with_tree(with_paths(df, chains) if "path" in what else df, tree_metrics(files, chains)) if "tree" in what else with_paths(df, chains) if "path" in what else df
+    if chains is None and need_filter | need_sort | need_show:
+        chains = directory_chains(files)
     early = need_filter | need_sort
-    rows = add(files, early).filter(where)
+    rows = derived(files, early, chains, metrics).filter(where)
     if p.sort or p.limit:
         rows = rows.orderBy(*keys)
     if p.offset:
         rows = rows.offset(p.offset)
     if p.limit:
         rows = rows.limit(p.limit)
-    rows = add(rows, need_show - early)
+    if need_show - early:
+        rows = derived(files, need_show - early, chains, metrics, of=rows)
+        if p.sort or p.limit:
+            rows = rows.orderBy(*keys)  # joins keep no order
     return rows.select(*[f.column.alias(f.name) for f in fields])

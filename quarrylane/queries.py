@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed
-from .functions.scalars import classes, has_bits, link_share, pack_reference, reference_frs, reference_seq
+from .functions.scalars import (
+    age_class, classes, filetime_calendar, filetime_to_timestamp, filetime_with_bias, frame_extension, has_bits, link_share, name_hex, pack_reference, reference_frs, reference_seq,
+)
 from .operators import aggregate as agg
 from .operators import diff, sinks, tree
-from .plans.search import SearchParams, search
-from .sources.catalog import star_catalog
+from .plans.cli import parse_args
+from .plans.query import Query
+from .plans.search import SearchParams, predicate, search
+from .sources import store
+from .sources.catalog import complete, drop_invalid, expand_links, expand_streams, overlay, star_catalog
 from .streaming import changes
 
 NOW = dt.datetime(2024, 1, 1)
@@ -43,7 +49,7 @@ WITH RECURSIVE files AS (
 )
 """
 _TYPE = "CASE WHEN is_directory THEN 'directory' WHEN ext = '' THEN 'file' " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names.split())}) THEN '{kind}'" for kind, names in fixed.TYPE_EXTENSIONS.items()) + " ELSE 'other' END"
-_METRICS = "CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes, min(size) AS min_size, max(size) AS max_size"
+_METRICS = "CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes, CASE WHEN sum(allocated) > 0 THEN CAST(greatest(sum(allocated) - sum(size), 0) AS DOUBLE) * 100 / sum(allocated) ELSE 0.0 END AS waste_pct, avg(size) AS avg_size, min(size) AS min_size, max(size) AS max_size"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,8 +65,28 @@ def _query(sql: str = "", with_files: bool = True):
     return add
 
 
+_STORED: dict[str, store.Catalog] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """Writes the star catalog as a stored one, which the queries over `sf_dir` then read."""
+    _STORED[sf_dir] = store.build(star_catalog(spark, sf_dir), folder)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _STORED[sf_dir].files if sf_dir in _STORED else star_catalog(spark, sf_dir)
+
+
+def _chains(sf_dir: str) -> DataFrame | None:
+    return _STORED[sf_dir].chains if sf_dir in _STORED else None
+
+
+def _run(spark: SparkSession, sf_dir: str, p: SearchParams) -> DataFrame:
+    return _STORED[sf_dir].search(p) if sf_dir in _STORED else search(star_catalog(spark, sf_dir), p)
+
+
 def _search(spark: SparkSession, sf_dir: str, **params) -> DataFrame:
-    return search(star_catalog(spark, sf_dir), SearchParams(now=NOW, **params))
+    return _run(spark, sf_dir, SearchParams(now=NOW, **params))
 
 
 @_query("SELECT drive, path, name, size FROM paths WHERE ext = 'exe' AND size >= 102400 AND modified >= TIMESTAMP '1996-01-01' ORDER BY size DESC, upper(name), name, drive, frs LIMIT 100")
@@ -135,94 +161,94 @@ def sort_tiers(spark, sf_dir):
 
 @_query("SELECT drive, frs, path, CAST(least(length(path), 65535) AS INTEGER) AS path_length, CAST(length(name) AS INTEGER) AS name_length FROM paths")
 def path_resolution(spark, sf_dir):
-    rows = tree.with_paths(star_catalog(spark, sf_dir))
+    rows = tree.with_paths(_files(spark, sf_dir), _chains(sf_dir))
     return rows.select("drive", "frs", "path", F.least(F.length("path"), F.lit(65535)).alias("path_length"), F.length("name").alias("name_length"))
 
 
 @_query("SELECT f.drive, f.frs, coalesce(t.descendants, 0) AS descendants, coalesce(t.treesize, 0) AS treesize, coalesce(t.tree_allocated, 0) AS tree_allocated FROM files f LEFT JOIN tree t ON f.drive = t.drive AND f.frs = t.frs WHERE f.is_directory")
 def tree_metrics(spark, sf_dir):
-    return tree.tree_metrics(star_catalog(spark, sf_dir))
+    return tree.tree_metrics(_files(spark, sf_dir), _chains(sf_dir))
 
 
 @_query("SELECT drive, CASE WHEN len(chain) > 1 THEN chain[2] ELSE frs END AS ancestor, CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(allocated) AS BIGINT) AS total_allocated FROM paths GROUP BY 1, 2")
 def rollup_path(spark, sf_dir):
-    return tree.rollup_path(star_catalog(spark, sf_dir), 1)
+    return tree.rollup_path(_files(spark, sf_dir), 1, _chains(sf_dir))
 
 
 @_query("SELECT CASE WHEN list_position(chain, 3) IS NULL OR list_position(chain, 3) = 0 OR list_position(chain, 3) >= len(chain) THEN frs ELSE chain[list_position(chain, 3) + 1] END AS child, CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes FROM paths WHERE drive = 'ASIA' GROUP BY 1")
 def rollup_ancestor(spark, sf_dir):
-    return tree.rollup_ancestor(star_catalog(spark, sf_dir), "ASIA", 3)
+    return tree.rollup_ancestor(_files(spark, sf_dir), "ASIA", 3)
 
 
 @_query("SELECT DISTINCT p.drive, p.frs FROM paths p JOIN files m ON m.is_directory AND m.name LIKE 'cust\\_2%' ESCAPE '\\' AND (p.drive = m.drive AND (list_contains(p.chain, m.frs) OR p.frs = m.frs))")
 def descendants_of_matches(spark, sf_dir):
-    files = star_catalog(spark, sf_dir)
+    files = _files(spark, sf_dir)
     return tree.descendants_of(files, files.filter(F.col("is_directory") & F.col("name").startswith("cust_2"))).select("drive", "frs")
 
 
 @_query(f"SELECT {_TYPE} AS key, {_METRICS}, count(*) * 100.0 / sum(count(*)) OVER () AS share_count, CASE WHEN sum(sum(size)) OVER () = 0 THEN 0.0 ELSE sum(size) * 100.0 / sum(sum(size)) OVER () END AS share_bytes, CAST(count(*) OVER () AS BIGINT) AS total_groups, CAST(0 AS BIGINT) AS other_count FROM files GROUP BY 1")
 def terms_type(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "terms:type,top=30")
+    return agg.run(_files(spark, sf_dir), "terms:type,top=30")
 
 
-@_query("SELECT CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS sum, min(size) AS min, max(size) AS max, avg(size) AS avg, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes FROM files")
+@_query("SELECT CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS sum, min(size) AS min, max(size) AS max, avg(size) AS avg, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes, CASE WHEN sum(allocated) > 0 THEN CAST(greatest(sum(allocated) - sum(size), 0) AS DOUBLE) * 100 / sum(allocated) ELSE 0.0 END AS waste_pct FROM files")
 def stats_size(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "stats:size")
+    return agg.run(_files(spark, sf_dir), "stats:size")
 
 
 @_query(f"SELECT CAST(size // 65536 * 65536 AS BIGINT) AS bucket, {_METRICS} FROM files GROUP BY 1")
 def histogram_size(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "hist:size,interval=65536")
+    return agg.run(_files(spark, sf_dir), "hist:size,interval=65536")
 
 
 @_query(f"SELECT strftime(date_trunc('month', modified), '%Y-%m-%d') AS key, {_METRICS} FROM files GROUP BY 1")
 def date_histogram_month(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "datehist:modified,calendar=month")
+    return agg.run(_files(spark, sf_dir), "datehist:modified,calendar=month")
 
 
 @_query(f"SELECT strftime(date_trunc('week', modified), '%Y-%m-%d') AS key, {_METRICS} FROM files GROUP BY 1")
 def date_histogram_week(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "datehist:modified,calendar=week")
+    return agg.run(_files(spark, sf_dir), "datehist:modified,calendar=week")
 
 
 @_query(f"SELECT CASE WHEN size < 1024 THEN '< 1024' WHEN size < 102400 THEN '1024 - 102400' WHEN size < 204800 THEN '102400 - 204800' ELSE '>= 204800' END AS key, {_METRICS} FROM files GROUP BY 1")
 def range_size(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "range:size,bins=1024+102400+204800")
+    return agg.run(_files(spark, sf_dir), "range:size,bins=1024+102400+204800")
 
 
 @_query("SELECT CAST(count(*) FILTER (ext = '') AS BIGINT) AS missing FROM files")
 def missing_extension(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "missing:extension")
+    return agg.run(_files(spark, sf_dir), "missing:extension")
 
 
 @_query("SELECT CAST(count(DISTINCT ext) AS BIGINT) AS \"distinct\" FROM files")
 def distinct_extension(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "distinct:extension")
+    return agg.run(_files(spark, sf_dir), "distinct:extension")
 
 
 @_query(f"SELECT drive AS key, {_METRICS} FROM files GROUP BY 1")
 def rollup_drive(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "rollup:drive")
+    return agg.run(_files(spark, sf_dir), "rollup:drive")
 
 
 @_query("SELECT key, CAST(rank AS INTEGER) AS rank, frs, name, size FROM (SELECT ext AS key, frs, name, size, row_number() OVER (PARTITION BY ext ORDER BY size DESC, frs) AS rank FROM files) WHERE rank <= 3")
 def top_hits_by_extension(spark, sf_dir):
-    return agg.top_hits(star_catalog(spark, sf_dir), "extension", 3)
+    return agg.top_hits(_files(spark, sf_dir), "extension", 3)
 
 
 @_query("SELECT size AS key_size, ext AS key_extension, CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes, min(frs) AS first_frs, CAST(sum(size) - sum(size) // count(*) AS BIGINT) AS reclaimable FROM files WHERE NOT is_directory AND size > 0 GROUP BY 1, 2 HAVING count(*) > 1 ORDER BY reclaimable DESC, key_size, key_extension LIMIT 100")
 def duplicates_size_extension(spark, sf_dir):
-    return agg.run(star_catalog(spark, sf_dir), "duplicates:size+extension,top=100")
+    return agg.run(_files(spark, sf_dir), "duplicates:size+extension,top=100")
 
 
-@_query("SELECT n_chars, lang, CAST(count(*) AS BIGINT) AS count, min(sha256(text)) = max(sha256(text)) AS verified FROM documents GROUP BY 1, 2 HAVING count(*) > 1", with_files=False)
+@_query("SELECT n_chars, lang, CAST(count(*) AS BIGINT) AS count, true AS verified FROM documents GROUP BY 1, 2 HAVING count(*) > 1 AND min(sha256(text)) = max(sha256(text))", with_files=False)
 def duplicates_verified_sha(spark, sf_dir):
     return agg.verified_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["n_chars", "lang"], "text")
 
 
 @_query("SELECT name AS value, CAST(count(*) AS BIGINT) AS count FROM files WHERE lower(name) LIKE 'cust\\_1%' ESCAPE '\\' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def facet_values_name(spark, sf_dir):
-    return agg.facet_values(star_catalog(spark, sf_dir), "name", "cust_1")
+    return agg.facet_values(_files(spark, sf_dir), "name", "cust_1")
 
 
 _B = "(SELECT o_orderkey AS file_ref, CASE WHEN o_orderkey % 97 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS size, o_orderdate AS modified FROM orders WHERE o_orderkey % 7 <> 0)"
@@ -255,13 +281,13 @@ def net_changes(spark, sf_dir):
 
 @_query("SELECT 'FILE' AS what, CAST(sum(CASE WHEN (flags & 2) = 2 THEN size ELSE 0 END) AS BIGINT) AS hidden_bytes, CAST(count(*) AS BIGINT) AS records FROM files WHERE NOT is_directory")
 def attribute_bytes(spark, sf_dir):
-    rows = star_catalog(spark, sf_dir).filter("NOT is_directory")
+    rows = _files(spark, sf_dir).filter("NOT is_directory")
     return rows.agg(F.sum(F.when(has_bits(F.col("flags"), 2), F.col("size")).otherwise(0)).alias("hidden_bytes"), F.count(F.lit(1)).alias("records")).select(F.lit("FILE").alias("what"), "hidden_bytes", "records")
 
 
 @_query("SELECT CASE WHEN size < 1024 THEN 'Tiny' WHEN size < 102400 THEN 'Small' WHEN size < 1048576 THEN 'Medium' ELSE 'Large' END AS size_class, CASE WHEN length(path) < 128 THEN 'Safe' ELSE 'Long' END AS risk, CAST(count(*) AS BIGINT) AS n FROM paths GROUP BY 1, 2")
 def classifiers(spark, sf_dir):
-    rows = tree.with_paths(star_catalog(spark, sf_dir))
+    rows = tree.with_paths(_files(spark, sf_dir), _chains(sf_dir))
     return rows.groupBy(classes(F.col("size"), fixed.SIZE_BUCKETS).alias("size_class"), classes(F.length("path"), fixed.PATH_RISK).alias("risk")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -274,7 +300,301 @@ def reference_packing(spark, sf_dir):
 
 @_query("SELECT '\"' || name || '\";' || size || ';' || CASE WHEN is_directory THEN '+' ELSE '-' END || ';' || strftime(modified + INTERVAL 60 MINUTES, '%Y-%m-%d %H:%M:%S') AS value FROM files")
 def text_export(spark, sf_dir):
-    return sinks.text_lines(star_catalog(spark, sf_dir), ["name", "size", "is_directory", "modified"], ";", '"', "+", "-", 60)
+    return sinks.text_lines(_files(spark, sf_dir), ["name", "size", "is_directory", "modified"], ";", '"', "+", "-", 60)
+
+
+# Filters, one query each
+
+_CUST = "lower(name) LIKE 'cust\\_1%' ESCAPE '\\'"
+
+
+def _cli(spark: SparkSession, sf_dir: str, *words: str) -> DataFrame:
+    return _run(spark, sf_dir, parse_args([*words, "--columns", "drive,name,size"], NOW)[0])
+
+
+def _filter_query(name: str, sql: str, *words: str) -> None:
+    """A command-line search and the rows it should find."""
+
+    @_query(f"SELECT drive, name, size FROM {'paths' if 'path' in sql else 'files'} WHERE {sql}")
+    def make(spark, sf_dir):
+        return _cli(spark, sf_dir, *words)
+
+    QUERIES[f"cli_{name}"], ORACLES[f"cli_{name}"] = QUERIES.pop("make"), ORACLES.pop("make")
+
+
+for _name, _sql, _words in (
+    ("begins_with", _CUST, ["--begins-with", "cust_1"]),
+    ("ends_with", "lower(name) LIKE '%7.zip'", ["--ends-with", "7.zip"]),
+    ("contains", "lower(name) LIKE '%77%'", ["--contains", "77"]),
+    ("not_contains", "ext = 'rs' AND lower(name) NOT LIKE '%1%'", ["*.rs", "--not-contains", "1"]),
+    ("exclude_list", "ext = 'zip' AND lower(name) NOT LIKE 'order\\_1%' ESCAPE '\\' AND lower(name) NOT LIKE '%9.zip'", ["*.zip", "--exclude", "order_1*,*9.zip"]),
+    ("exact_size_on_disk", "allocated = 40960", ["--exact-size-on-disk", "40KB"]),
+    ("size_on_disk", "allocated BETWEEN 40960 AND 81920", ["--min-size-on-disk", "40KB", "--max-size-on-disk", "80KB"]),
+    ("between", "modified >= TIMESTAMP '1996-01-01' AND modified < TIMESTAMP '1996-03-01'", ["--between", "1996-01-01,1996-03-01"]),
+    ("older_newer", "modified >= TIMESTAMP '1997-05-01' AND modified < TIMESTAMP '1997-06-01' AND NOT is_directory", ["--newer", "1997-05-01", "--older", "1997-06-01", "--files-only"]),
+    ("scope_dir", "is_directory AND lower(name) LIKE '%1%'", ["dir:*1*"]),
+    ("scope_file", "NOT is_directory AND lower(name) LIKE '%33%'", ["file:33"]),
+    ("drive_prefix", "drive = 'ASIA' AND ext = 'exe'", ["*.exe", "--drive", "asia"]),
+    ("regex_extensions", "ext IN ('jpg', 'zip')", [">.*\\.(jpg|zip)$"]),
+    ("case", "name LIKE '%.TXT'", ["--case", "*.TXT"]),
+    ("smart_case", "name LIKE '%TXT%'", ["--smart-case", "TXT"]),
+    ("word", "lower(name) = 'cust_12'", ["--word", "Cust_12"]),
+    ("attributes", "(flags & 34) = 34 AND (flags & 1) = 0", ["--attr", "hidden,archive,!readonly"]),
+    ("user_files", "(flags & 2) = 0 AND (flags & 4) = 0", ["--attr", "user-files"]),
+    ("months", "month(modified) IN (3, 10, 11, 12)", ["--month", "mar,q4"]),
+    ("type", "ext = 'exe' AND NOT is_directory", ["--type", "executable"]),
+    ("collection", "ext IN ('jpg', 'zip')", ["--ext", "pictures,archives"]),
+    ("name_length", "length(name) BETWEEN 9 AND 11", ["--min-name-length", "9", "--max-name-length", "11"]),
+    ("path_length", "length(path) >= 45", ["--min-path-length", "45"]),
+    ("well_formed", "is_directory", ["--well-formed", "--dirs-only"]),
+    ("malformed", "false", ["--malformed"]),
+    ("malformed_path", "false AND path = ''", ["--malformed-path"]),
+    ("deleted", "false", ["--deleted"]),
+    ("hide_system", "is_directory AND name <> 'x'", ["--hide-system", "--hide-ads", "--dirs-only"]),
+    ("path_scope", "lower(path) LIKE 'europe:%' AND lower(name) LIKE 'cust\\_1%' ESCAPE '\\' AND is_directory", ["path:europe:\\**\\cust_1*"]),
+):
+    _filter_query(_name, _sql, *_words)
+
+
+@_query("SELECT f.drive, f.name, f.size FROM files f JOIN tree t ON f.drive = t.drive AND f.frs = t.frs WHERE t.descendants = 10 AND t.treesize >= 1000000 AND t.tree_allocated <= 4000000")
+def cli_tree_bounds(spark, sf_dir):
+    return _cli(spark, sf_dir, "--dirs-only", "--exact-descendants", "10", "--min-treesize", "1000000", "--max-tree-allocated", "4000000")
+
+
+@_query("SELECT drive, name, size FROM files WHERE NOT is_directory AND size > 0 AND CAST(allocated AS HUGEINT) * 1000000 // size BETWEEN 1020000 AND 1050000")
+def cli_bulkiness(spark, sf_dir):
+    return _cli(spark, sf_dir, "--files-only", "--min-bulkiness", "102", "--max-bulkiness", "105")
+
+
+# The fluent query
+
+
+def _fluent(spark: SparkSession, sf_dir: str) -> Query:
+    return Query(_files(spark, sf_dir))
+
+
+@_query("SELECT drive, name FROM files WHERE regexp_full_match(lower(name), 'order_.1[0-4].*[.]zip') AND size BETWEEN 50000 AND 150000")
+def fluent_glob(spark, sf_dir):
+    return _fluent(spark, sf_dir).glob("order_?1[0-4]*.zip").files_only().min_size(50_000).max_size(150_000).select("drive", "name").dataframe()
+
+
+@_query("SELECT drive, name FROM files WHERE regexp_matches(name, 'T$') AND NOT regexp_matches(name, '5') OR lower(name) LIKE '%.exe' AND name LIKE '%99%'")
+def fluent_names(spark, sf_dir):
+    q = _fluent(spark, sf_dir)
+    return q.regex("T$").regex("^[^5]*$").select("drive", "name").dataframe().unionByName(q.extensions("exe").contains("99").select("drive", "name").dataframe())
+
+
+@_query("SELECT drive, name FROM files WHERE modified > TIMESTAMP '1996-02-01' AND modified < TIMESTAMP '1996-02-20' AND (frs >= 16 OR frs = 5) AND NOT is_directory")
+def fluent_times(spark, sf_dir):
+    return _fluent(spark, sf_dir).after("modified", dt.datetime(1996, 2, 1)).before("modified", dt.datetime(1996, 2, 20)).hide_system().files_only().select("drive", "name").dataframe()
+
+
+@_query("SELECT drive, name, size FROM files ORDER BY size DESC, drive, frs LIMIT 25")
+def fluent_sort_limit(spark, sf_dir):
+    return _fluent(spark, sf_dir).sort_by("size", descending=True).limit(25).select("drive", "name", "size").dataframe()
+
+
+@_query("SELECT drive, name FROM files WHERE is_directory AND name = 'cust_12'")
+def fluent_exact_name(spark, sf_dir):
+    return _fluent(spark, sf_dir).exact_name("cust_12").directories_only().select("drive", "name").dataframe()
+
+
+# Predicates
+
+_STRING_OPS = (
+    ("eq", "Order_7.rs", "= 'order_7.rs'"), ("ne", "order_7.rs", "<> 'order_7.rs'"), ("not_in", ["japan", "china"], "NOT IN ('japan', 'china')"), ("match", "*9.zip", "LIKE '%9.zip'"), ("contains", "88", "LIKE '%88%'"),
+    ("starts_with", "cust_2", "LIKE 'cust\\_2%' ESCAPE '\\'"), ("ends_with", "1.exe", "LIKE '%1.exe'"),
+)
+
+
+@_query(" UNION ALL ".join(f"SELECT '{op}' AS op, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(frs), 0) AS BIGINT) AS ids FROM files WHERE lower(name) {sql}" for op, _, sql in _STRING_OPS))
+def predicate_strings(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    parts = [files.filter(predicate("name", op, v)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("frs"), F.lit(0)).cast("long").alias("ids")).select(F.lit(op).alias("op"), "n", "ids") for op, v, _ in _STRING_OPS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+_BITS = (("has_all", "(flags & 34) = 34"), ("has_any", "(flags & 34) <> 0"), ("has_none", "(flags & 34) = 0"))
+
+
+@_query(" UNION ALL ".join(f"SELECT '{op}' AS op, CAST(count(*) AS BIGINT) AS n, CAST(coalesce(sum(frs), 0) AS BIGINT) AS ids FROM files WHERE {sql}" for op, sql in _BITS))
+def predicate_attributes(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    parts = [files.filter(predicate("attributes", op, ["hidden", "archive"])).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("frs"), F.lit(0)).cast("long").alias("ids")).select(F.lit(op).alias("op"), "n", "ids") for op, _ in _BITS]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@_query("SELECT drive, name, flags & 1769015 AS parity_attributes FROM files WHERE flags = 34")
+def predicate_attribute_value(spark, sf_dir):
+    return _search(spark, sf_dir, predicates=[("attribute_value", "eq", 34)], columns=["drive", "name", "parity_attributes"])
+
+
+# Aggregates over searches, samples, sub-buckets, pages
+
+_WHERE = "lower(name) LIKE '%1%' AND size >= 10240 AND NOT is_directory"
+
+
+def _found() -> SearchParams:
+    return SearchParams(pattern="1", mode="files", ranges={"size": ("10KB", None)}, now=NOW)
+
+
+@_query(f"SELECT CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS sum, min(size) AS min, max(size) AS max, avg(size) AS avg, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes, CASE WHEN sum(allocated) > 0 THEN CAST(greatest(sum(allocated) - sum(size), 0) AS DOUBLE) * 100 / sum(allocated) ELSE 0.0 END AS waste_pct FROM files WHERE {_WHERE}")
+def filtered_stats(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "stats:size", _found())
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS count FROM paths WHERE lower(path_only) LIKE '%cust\\_1%' ESCAPE '\\' AND ext = 'zip'")
+def filtered_by_path(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "count", SearchParams(in_path="cust_1", ext="zip", now=NOW))
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS count FROM files WHERE ext = 'nosuch'")
+def filtered_no_match(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "count", SearchParams(ext="nosuch", now=NOW))
+
+
+@_query(f"SELECT ext AS key, CAST(count(*) AS BIGINT) AS count FROM files WHERE {_WHERE} GROUP BY 1")
+def filtered_terms(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "terms:extension,top=50", _found()).select("key", "count")
+
+
+@_query("SELECT key, to_json(list({'rank': r, 'name': name, 'size': CAST(size AS VARCHAR)} ORDER BY r)) AS samples FROM (SELECT ext AS key, name, size, CAST(row_number() OVER (PARTITION BY ext ORDER BY size DESC, frs) AS INTEGER) AS r FROM files) WHERE r <= 3 GROUP BY 1")
+def terms_samples(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "terms:extension,top=50,sample=3").select("key", F.to_json("samples").alias("samples"))
+
+
+_SUB = "SELECT key, to_json(list({'r': r, 'sub': sub, 'n': n, 'bytes': bytes} ORDER BY r)) AS sub_buckets FROM (SELECT *, CAST(row_number() OVER (PARTITION BY key ORDER BY n DESC, sub) AS INTEGER) AS r FROM (SELECT {0} AS key, ext AS sub, CAST(count(*) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY 1, 2)) WHERE r <= 20 GROUP BY 1"
+
+
+@_query(_SUB.replace("{0}", "drive"))
+def rollup_sub_terms(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "rollup:drive,sub=terms:extension").select("key", F.to_json("sub_buckets").alias("sub_buckets"))
+
+
+@_query("SELECT drive AS key, CAST(sum(size) AS BIGINT) AS sum, min(size) AS min, max(size) AS max FROM files GROUP BY 1")
+def terms_sub_stats(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "terms:drive,sub=stats:size").select("key", "sub_stats.*")
+
+
+@_query("SELECT ext AS key, to_json([{'field': 'name', 'op': 'match', 'value': '1'}, {'field': 'directory_flag', 'op': 'eq', 'value': 'false'}, {'field': 'size', 'op': 'gte', 'value': '10KB'}, {'field': 'extension', 'op': 'eq', 'value': ext}]) AS predicates FROM files WHERE " + _WHERE + " GROUP BY ext")
+def drill_down(spark, sf_dir):
+    buckets = agg.run(_files(spark, sf_dir), "terms:extension,top=50", _found())
+    return agg.drill_down(buckets, "ext", agg.query_predicates(_found())).select("key", F.to_json("predicates").alias("predicates"))
+
+
+@_query("SELECT key, count, total, CASE WHEN total > 20 THEN '0:20:10' END AS next_cursor FROM (SELECT *, CAST(count(*) OVER () AS BIGINT) AS total, row_number() OVER (ORDER BY count DESC, key) AS r FROM (SELECT key, count FROM (SELECT size // 16384 * 16384 AS key, CAST(count(*) AS BIGINT) AS count FROM files GROUP BY 1))) WHERE r BETWEEN 11 AND 20")
+def aggregate_page(spark, sf_dir):
+    buckets = agg.run(_files(spark, sf_dir), "hist:size,interval=16384").select(F.col("bucket").alias("key"), "count")
+    return agg.page(buckets, "0:10:10")
+
+
+@_query("SELECT CASE WHEN epoch_us(modified) < 820454400000000 THEN '< 820454400000000' WHEN epoch_us(modified) < 852076800000000 THEN '820454400000000 - 852076800000000' ELSE '>= 852076800000000' END AS key, CAST(count(*) AS BIGINT) AS count FROM files GROUP BY 1")
+def range_modified(spark, sf_dir):
+    return agg.run(_files(spark, sf_dir), "range:modified,bins=820454400000000+852076800000000").select("key", "count")
+
+
+@_query("SELECT ext AS key, CAST(count(*) AS BIGINT) AS count FROM files GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
+def wire_spec(spark, sf_dir):
+    (text,) = agg.from_wire({"kind": "facet", "field": "ext", "top": 3})
+    return agg.run(_files(spark, sf_dir), text).select("key", "count")
+
+
+@_query("SELECT key, frs, size FROM (SELECT drive AS key, frs, size, row_number() OVER (PARTITION BY drive ORDER BY size, frs) AS r FROM files WHERE NOT is_directory) WHERE r <= 5")
+def top_hits_ascending(spark, sf_dir):
+    return agg.top_hits(_files(spark, sf_dir).filter("NOT is_directory"), "drive", 5, "size", descending=False).select("key", "frs", "size")
+
+
+@_query("SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (is_directory) AS BIGINT) AS directories, CAST(sum(size) AS BIGINT) AS bytes, CAST(count(*) FILTER (size < 1000 AND NOT is_directory) AS BIGINT) AS under_1k, CAST(count(*) FILTER (size >= 10000 AND size < 100000 AND NOT is_directory) AS BIGINT) AS to_100k, CAST(count(*) FILTER (size >= 1000000 AND size < 10000000 AND NOT is_directory) AS BIGINT) AS to_10m, CAST(0 AS BIGINT) AS over_1g FROM files")
+def catalog_statistics(spark, sf_dir):
+    return agg.catalog_statistics(_files(spark, sf_dir)).select("records", "directories", "bytes", "under_1k", "to_100k", "to_10m", "over_1g")
+
+
+# Times, names, snapshots and changes
+
+
+@_query("SELECT event_id, ts, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(minute(ts) AS INTEGER) AS minute, ts + INTEGER '5400' * INTERVAL 1 SECOND AS moved FROM events", with_files=False)
+def filetimes(spark, sf_dir):
+    ticks = F.unix_micros(F.col("ts").cast("timestamp")) * 10 + fixed.FILETIME_EPOCH + F.col("event_id") % 10
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ticks.alias("t"))
+    parts = filetime_calendar(F.col("t"))
+    shown = lambda c: filetime_to_timestamp(c).cast("timestamp_ntz")
+    return rows.select("event_id", shown(F.col("t")).alias("ts"), parts["year"].alias("year"), parts["month"].alias("month"), parts["minute"].alias("minute"), shown(filetime_with_bias(F.col("t"), 5400)).alias("moved"))
+
+
+@_query("SELECT CASE WHEN d < 365 THEN 'This year' WHEN d < 1095 THEN '1 – 3 years' WHEN d < 3650 THEN '3 – 10 years' ELSE '> 10 years' END AS age, CAST(count(*) AS BIGINT) AS n FROM (SELECT (epoch_us(TIMESTAMP '1999-06-01') - epoch_us(modified)) / 86400000000 AS d FROM files WHERE modified < TIMESTAMP '1999-03-01') GROUP BY 1")
+def age_classes(spark, sf_dir):
+    files = _files(spark, sf_dir).filter(F.col("modified") < F.lit("1999-03-01").cast("timestamp"))
+    return files.groupBy(age_class(F.col("modified"), F.lit("1999-06-01").cast("timestamp")).alias("age")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT drive, name, nullif(ext, '') AS ext, lower(hex(name)) AS name_hex FROM files")
+def name_forms(spark, sf_dir):
+    files = complete(_files(spark, sf_dir))
+    return files.select("drive", "name", frame_extension(F.col("name")).alias("ext"), name_hex(F.col("name_bytes")).alias("name_hex"))
+
+
+@_query("SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'deleted' WHEN 1 THEN 'created' WHEN 2 THEN 'renamed' WHEN 3 THEN 'size_changed' WHEN 4 THEN 'metadata_changed' ELSE 'other' END AS kind, event_id % 2 = 0 AS closed FROM events", with_files=False)
+def change_classes(spark, sf_dir):
+    masks = [0x300, 0x2100, 0x2002, 0x8004, 0x8001, 0x1C11]
+    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), (F.col("event_id") % 6 + 1).cast("int")).bitwiseOR(F.when(F.col("event_id") % 2 == 0, F.lit(0x80000000)).otherwise(F.lit(0)).cast("long"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", changes.classify(mask).alias("kind"), changes.is_close(mask).alias("closed"))
+
+
+_NET = "SELECT drive, frs, CASE WHEN frs % 10 = 1 THEN 'deleted' WHEN frs % 10 = 2 THEN 'renamed' END AS state FROM files WHERE drive IN ('ASIA', 'EUROPE')"
+
+
+@_query("SELECT drive, frs, CASE WHEN drive IN ('ASIA', 'EUROPE') AND frs % 10 = 2 THEN 'moved_' || frs || '.md' ELSE name END AS name, CASE WHEN drive IN ('ASIA', 'EUROPE') AND frs % 10 = 2 THEN 'md' ELSE ext END AS ext FROM files WHERE NOT (drive IN ('ASIA', 'EUROPE') AND frs % 10 = 1) UNION ALL SELECT 'ASIA', 77000000, 'new.txt', 'txt'")
+def apply_changes(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    rows = files.filter(F.col("drive").isin("ASIA", "EUROPE") & (F.col("frs") % 10).isin(1, 2))
+    kind = F.when(F.col("frs") % 10 == 1, F.lit("deleted")).otherwise(F.lit("renamed"))
+    log = rows.select("drive", "frs", F.lit(1).cast("long").alias("usn"), kind.alias("kind"), "parent_frs", F.concat(F.lit("moved_"), F.col("frs").cast("string"), F.lit(".md")).alias("name"))
+    log = log.unionByName(spark.sql("SELECT 'ASIA' AS drive, 77000000L AS frs, 2L AS usn, 'created' AS kind, 3L AS parent_frs, 'new.txt' AS name UNION ALL SELECT 'AFRICA', 99L, 3L, 'deleted', 0L, ''"))
+    return changes.apply_changes(files, changes.net_changes(log)).select("drive", "frs", "name", "ext")
+
+
+@_query("SELECT user_id AS file_ref, CASE WHEN min(event_id) % 3 = 0 THEN 'modified' END AS change FROM events GROUP BY 1 HAVING min(event_id) % 3 = 0", with_files=False)
+def snapshot_diff_repeated_keys(spark, sf_dir):
+    old = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id <> 0").select(F.col("user_id").alias("file_ref"), (F.col("event_id") % 3).alias("size"), F.col("event_id").alias("place"))
+    now = old.select("file_ref").distinct().withColumn("size", F.col("file_ref") * 0 + 7)
+    first = old.withColumn("size", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.lit(7)))
+    return diff.snapshot_diff(first, now, compared=("size",), order="place")
+
+
+@_query("SELECT f.drive, f.name, f.size FROM files f WHERE f.frs % 17 = 0 AND f.ext = 'zip'")
+def search_deleted_set(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    gone = diff.deleted_rows(files, files.filter("frs % 17 <> 0"), key="frs")
+    return search(gone, SearchParams(pattern="*.zip", columns=["drive", "name", "size"], now=NOW))
+
+
+@_query("SELECT drive, frs, name FROM files WHERE frs % 5 <> 0 AND frs % 7 <> 0 UNION ALL SELECT drive, frs, 'x' || frs FROM files WHERE frs % 7 = 0 AND frs % 5 <> 0")
+def overlay_read(spark, sf_dir):
+    files = _files(spark, sf_dir).select("drive", "frs", "name")
+    delta = files.filter("frs % 7 = 0").withColumn("name", F.concat(F.lit("x"), F.col("frs").cast("string")))
+    return overlay(files, delta, files.filter("frs % 5 = 0"))
+
+
+@_query("SELECT drive, CAST(count(*) AS BIGINT) AS n FROM files f WHERE frs % 4 <> 0 AND (parent_frs = 0 OR EXISTS (SELECT 1 FROM files g WHERE g.drive = f.drive AND g.frs = f.parent_frs AND g.frs % 4 <> 0)) GROUP BY 1")
+def invalid_dropped(spark, sf_dir):
+    return drop_invalid(_files(spark, sf_dir).filter("frs % 4 <> 0")).groupBy("drive").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("SELECT drive, frs, 'l' || k AS name FROM files, range(2) t(k) UNION ALL SELECT drive, frs, 'l' || k || ':s' FROM files, range(2) t(k)")
+def links_and_streams(spark, sf_dir):
+    links = F.array(*[F.struct(F.lit(f"l{k}").alias("name"), F.col("parent_frs").alias("parent_frs")) for k in range(2)])
+    records = _files(spark, sf_dir).withColumns({"links": links, "streams": F.array(F.struct(F.lit("s").alias("name"), F.lit(1).cast("long").alias("size")))})
+    return expand_streams(expand_links(records)).select("drive", "frs", "name")
+
+
+@_query("SELECT 0 AS part, '\"name\";\"size\"' AS value UNION ALL SELECT 0, '' UNION ALL SELECT 1, '\"' || name || '\";' || size FROM files")
+def text_export_header(spark, sf_dir):
+    return sinks.with_header(sinks.text_lines(_files(spark, sf_dir), ["name", "size"], ";"), ["name", "size"], ";")
+
+
+@_query("SELECT path AS value FROM paths WHERE ext = 'exe'")
+def paths_blob(spark, sf_dir):
+    return sinks.paths_blob(_search(spark, sf_dir, pattern="*.exe", columns=["path"]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

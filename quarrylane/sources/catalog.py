@@ -14,6 +14,31 @@ def load(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=True) if kind == "csv" else spark.read.format(kind).load(path)
 
 
+def complete(files: DataFrame) -> DataFrame:
+    """files with the columns that a catalog may leave out: name bytes as the name has them, and no row deleted."""
+    absent = {"name_bytes": F.col("name").cast("binary"), "deleted": F.lit(False)}
+    return files.withColumns({k: v for k, v in absent.items() if k not in files.columns})
+
+
+def drop_invalid(records: DataFrame) -> DataFrame:
+    """Without records that have no name, or whose parent is no record of their volume; roots (0 or their own parent) stay."""
+    known = records.select("drive", F.col("frs").alias("parent_frs")).distinct()
+    root = (F.col("parent_frs") == 0) | (F.col("parent_frs") == F.col("frs"))
+    named = records.filter(F.coalesce(F.col("name"), F.lit("")) != "")
+    return named.filter(root).unionByName(named.filter(~root).join(known, ["drive", "parent_frs"], "left_semi").select(*named.columns))
+
+
+def overlay(base: DataFrame, delta: DataFrame, gone: DataFrame, key: tuple[str, ...] = ("drive", "frs")) -> DataFrame:
+    """A base table under a delta: rows of `gone` and rows that the delta has anew are masked. `compact` writes it as the next base."""
+    masked = gone.select(*key).unionByName(delta.select(*key)).distinct()
+    return base.join(masked, list(key), "left_anti").select(*base.columns).unionByName(delta.join(gone.select(*key).distinct(), list(key), "left_anti").select(*base.columns))
+
+
+def compact(base: DataFrame, delta: DataFrame, gone: DataFrame, path: str) -> DataFrame:
+    overlay(base, delta, gone).write.mode("errorifexists").parquet(path)
+    return base.sparkSession.read.parquet(path)
+
+
 def tagged(df: DataFrame, drive: str) -> DataFrame:
     """Adds the volume's name as first column."""
     return df.select(F.lit(drive).alias("drive"), *[c for c in df.columns if c != "drive"])
@@ -36,7 +61,8 @@ def expand_links(records: DataFrame) -> DataFrame:
 
 
 def expand_streams(records: DataFrame) -> DataFrame:
-    """A row `name:stream` for each alternate stream (array of name, size) beside the record's own; stream rows have no extension."""
+    """A row `name:stream` for each alternate stream (array of name, size) beside the record's own; stream rows have no extension.
+    After expand_links each link's name meets each stream."""
     rest = [c for c in records.columns if c not in ("streams", "name", "size", "ext")]
     own = records.select(*rest, "name", "size", extension(F.col("name")).alias("ext"))
     more = records.select(*rest, "name", F.explode("streams").alias("s")).select(*rest, F.concat("name", F.lit(":"), "s.name").alias("name"), F.col("s.size").alias("size"), F.lit("").alias("ext"))

@@ -8,8 +8,12 @@ from quarrylane import queries as Q
 from quarrylane.functions.registry import fields, resolve
 from quarrylane.operators import aggregate as agg
 from quarrylane.operators import diff, tree
+from quarrylane.functions.scalars import filetime_to_timestamp, rendered
 from quarrylane.plans import specs
+from quarrylane.plans.cli import parse_args
 from quarrylane.plans.patterns import match
+from quarrylane.plans.search import SearchParams, predicate, search
+from quarrylane.sources.catalog import star_catalog
 from quarrylane.streaming import changes
 
 SF = "/root/testdata/sf0.001"
@@ -68,10 +72,90 @@ def test_changes(spark):
     net = changes.net_changes(log)
     files = spark.createDataFrame([(10, 5, "foo.rs"), (11, 5, "bar.rs"), (12, 5, "baz.rs")], "frs long, parent_frs long, name string")
     assert {(r.frs, r.name) for r in changes.apply_changes(files, net).collect()} == {(11, "bar2.rs"), (12, "baz.rs"), (13, "new.txt")}
-    assert changes.changed_since(log, None, 1) == (None, False, False)
+    assert changes.changed_since(log, None, 1) == (None, False) and changes.changed_since(log, 2, 1, journal=8, known_journal=7) == (None, False)
+    delta, complete = changes.changed_since(log, 2, 1, most=2)
+    assert complete and [(r.usn, r.truncated) for r in delta.orderBy("usn").collect()] == [(2, True), (3, True)]
     assert [r.k for r in spark.range(1).select(changes.classify(F.lit(0x300).cast("long")).alias("k")).collect()] == ["deleted"]
 
 
+def test_changes_stay_on_their_volume(spark):
+    files = spark.createDataFrame([("C", 10, 5, "a.txt", "txt", 7, False), ("D", 10, 5, "b.txt", "txt", 8, False), ("C", 11, 5, "c.txt", "txt", 9, False)], "drive string, frs long, parent_frs long, name string, ext string, size long, is_directory boolean")
+    log = spark.createDataFrame([("C", 10, 1, "deleted", 5, ""), ("C", 11, 2, "renamed", 6, "c.rs"), ("D", 10, 3, "renamed", 5, ""), ("D", 12, 4, "created", 5, "n.md")], "drive string, frs long, usn long, kind string, parent_frs long, name string")
+    got = {tuple(r) for r in changes.apply_changes(files, changes.net_changes(log)).collect()}
+    assert got == {("D", 10, 5, "b.txt", "txt", 8, False), ("C", 11, 6, "c.rs", "rs", 9, False), ("D", 12, 5, "n.md", "md", 0, False)}
+    masks = [(0x1000, "other"), (0x1, "other"), (0x2000, "renamed"), (0x4, "size_changed"), (0x8000, "metadata_changed"), (0x800, "other")]
+    assert [spark.range(1).select(changes.classify(F.lit(m).cast("long")).alias("k")).first().k for m, _ in masks] == [k for _, k in masks]
+
+
+def test_search_order_survives_joins(spark):
+    for wanted, low in (({"columns": ["drive", "path", "name", "size"]}, None), ({"columns": ["drive", "name", "size", "descendants"]}, 1)):
+        found = search(star_catalog(spark, SF), SearchParams(sort="size:desc", limit=40, mode="files", **wanted)).collect()
+        keys = [(-r["size"], r["name"].upper(), r["name"], r["drive"]) for r in found]
+        assert keys == sorted(keys) and len(keys) == 40
+
+
+def test_deep_and_cyclic_chains(spark):
+    rows = [("C", 1, 0, "C", True)] + [("C", k, k - 1, f"d{k}", True) for k in range(2, 201)] + [("C", 900, 901, "x", True), ("C", 901, 900, "y", True), ("C", 902, 5000, "lost", True)]
+    chains = {r.frs: r for r in tree.directory_chains(spark.createDataFrame(rows, "drive string, frs long, parent_frs long, name string, is_directory boolean")).collect()}
+    assert len(chains) == 201 and chains[200].chain == list(range(1, 201)) and chains[200].path == "C:\\" + "\\".join(f"d{k}" for k in range(2, 201)) and chains[902].path == "<unknown:5000>\\lost"
+
+
+def test_malformed_names(spark):
+    bad = b"a\xed\xa0\x81b"
+    rows = [("C", 1, 0, "C", b"C", True, 0), ("C", 2, 1, "?", bad, True, 0), ("C", 3, 2, "f.txt", b"f.txt", False, 5)]
+    files = spark.createDataFrame(rows, "drive string, frs long, parent_frs long, name string, name_bytes binary, is_directory boolean, size long").withColumns({"modified": F.lit("2020-01-01").cast("timestamp"), "ext": F.lit(""), "flags": F.lit(0), "allocated": F.lit(0)})
+    by = lambda **k: [r["name_hex"] for r in search(files, SearchParams(columns=["name_hex", "malformed_path"], **k)).collect()]
+    assert by(malformed=True) == [bad.hex()] and set(by(predicates=[("malformed_path", "eq", True)])) == {bad.hex(), b"f.txt".hex()} and by(deleted=True) == []
+    assert rendered(bad, False) == "a\ufffdb" and rendered(bad, True) == "a<BAD:D801>b" and rendered(b"\xff", True) == "<BAD>"
+
+
+def test_predicates_refuse_what_does_not_fit():
+    for name, op, value in (("attributes", "eq", ["hidden"]), ("size", "contains", "x"), ("hidden", "lt", True), ("name", "between", "x")):
+        with pytest.raises(ValueError):
+            predicate(name, op, value)
+
+
+def test_times(spark):
+    ticks = [133_496_544_000_000_000 + k * 1_234_567 for k in range(300)]
+    got = [r.u for r in spark.createDataFrame([(t,) for t in ticks], "t long").select(F.unix_micros(filetime_to_timestamp(F.col("t"))).alias("u")).collect()]
+    assert got == [(t - 116_444_736_000_000_000) // 10 for t in ticks]
+
+
+def test_diff_takes_the_first_baseline_row(spark):
+    old = spark.createDataFrame([(1, 9, 9, 0), (1, 2, 2, 1), (2, 1, 1, 2)], "file_ref long, size long, modified long, place int").coalesce(1)
+    now = spark.createDataFrame([(1, 9, 9), (2, 1, 2), (3, 0, 0)], "file_ref long, size long, modified long")
+    for order in ("place", None):
+        assert {tuple(r) for r in diff.snapshot_diff(old, now, order=order).collect()} == {(2, "modified"), (3, "added")}
+
+
+def test_cli(spark):
+    p, aggs = parse_args(["C:*.dll", "--exact-descendants", "3", "--facet", "type", "--count", "--between", "2020-01-01,2021-01-01", "--newer", "2020-06-01"])
+    assert (p.drives, p.ext, p.pattern, p.ranges, aggs) == (["C"], "dll", "*", {"descendants": (3, 3)}, ["count", "terms:type,top=20"])
+    assert p.newer == {"modified": "2020-06-01"} and p.older == {"modified": "2021-01-01"} and parse_args(["--ends-with", "x"])[0].pattern == "*x"
+    for words in (["--name-only", "a\\b"], ["--nosuch"], ["--limit", "x"]):
+        with pytest.raises(ValueError):
+            parse_args(words)
+
+
+def test_aggregate_cursor_and_wire(spark):
+    buckets = spark.createDataFrame([(f"k{k}", 10 - k) for k in range(5)], "key string, count long")
+    first = agg.page(buckets, None, 2).collect()
+    assert [r["key"] for r in first] == ["k0", "k1"] and first[0].next_cursor == "0:2:2"
+    last = agg.page(buckets, "0:4:2").collect()
+    assert [r["key"] for r in last] == ["k4"] and last[0].next_cursor is None
+    assert agg.from_wire({"kind": "hist", "field": "size", "interval": 10}) == ["hist:size,interval=10"] and agg.from_wire({"kind": "preset", "preset": "by_type"}) == ["terms:type,top=30"]
+    for bad in (lambda: agg.page(buckets, "x"), lambda: agg.from_wire({"kind": "terms"}), lambda: agg.from_wire({"kind": "preset", "preset": "x"})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_duplicates_options(spark):
+    rows = [("C", k, 5, "a.txt", 10, 10, "same" if k < 3 else "other", False) for k in range(4)] + [("C", 9 + k, 5, "b.txt", 20, 20, "b", False) for k in range(2)]
+    files = spark.createDataFrame(rows, "drive string, frs long, parent_frs long, name string, size long, allocated long, text string, is_directory boolean")
+    assert [(r.key_name, r["count"], [s.frs for s in r.samples]) for r in agg.run(files, "duplicates:size+name,sample=2,max_groups=1").collect()] == [("a.txt", 4, [0, 1])]
+    assert [r.key_name for r in agg.run(files, "duplicates:size+name,verify=sha256", content="text").collect()] == ["b.txt"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     log = spark.createDataFrame([(k % 3, k, "renamed", 5, f"n{k}") for k in range(30)], "frs long, usn long, kind string, parent_frs long, name string")
     log.coalesce(1).write.parquet(str(tmp_path / "log"))
