@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,23 +15,13 @@ from .common import Scratch, tidy
 from .vectors import valid_vectors
 
 EXACT = 2.0**53
-
-
-def _whole(x: np.ndarray, scale: float) -> np.ndarray:
-    """floor(scale * x) as int64 (as Python integers where that can't hold it)."""
-    y = np.floor(x * scale)
-    return y.astype(np.int64) if np.abs(y).max(initial=0) < 2**62 else np.array([[int(v) for v in row] for row in y], dtype=object)
+LONGEST = 2.0**31  # norm of a scaled vector from which inner products may not fit a long
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T without rounding: in float64 while sums stay below 2^53, else in integers of enough width."""
-    if a.dtype != object and b.dtype != object:
-        top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-        if top < EXACT:
-            return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-        if top < 2.0**62:
-            return a @ b.T
-    return a.astype(object) @ b.astype(object).T
+    """a @ b.T without rounding: in float64 while sums stay below 2^53, else in int64, which holds every score (see LONGEST)."""
+    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64) if top < EXACT else a @ b.T
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -46,19 +37,48 @@ def _pack(x: np.ndarray) -> bytes:
     return x.astype("<i8").tobytes()
 
 
-def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 256, cell_queries: int = 1024, chunk_rows: int = 8192) -> DataFrame:
+class _Summary:
+    """Of one dimension: pivots, radii and sizes of data cells, pivots, radii and bounds of query groups, and which cells a group needs."""
+
+    def __init__(self, cells: list, groups: list, centres: np.ndarray | None, d: int, cell_rows: int):
+        place = lambda r, at: centres[at] if centres is not None and at >= 0 else np.zeros(d)
+        self.cells, self.groups = [r.cell for r in cells], [r.grp for r in groups]
+        self.row_of, self.group_of = {c: i for i, c in enumerate(self.cells)}, {g: i for i, g in enumerate(self.groups)}
+        self.pivots_of_cells = np.array([place(r, r.cell) for r in cells], dtype=np.float64).reshape(-1, d)
+        self.pivots_of_groups = np.array([place(r, r.grp) for r in groups], dtype=np.float64).reshape(-1, d)
+        self.radius, self.far = np.array([r.radius for r in cells]), np.array([r.radius for r in groups])
+        self.bounds, self.shares = np.array([r.bound for r in groups]), np.array([-(-r.n // cell_rows) for r in cells])
+        with np.errstate(invalid="ignore"):
+            c, p = np.linalg.norm(self.pivots_of_cells, axis=1)[:, None], np.linalg.norm(self.pivots_of_groups, axis=1)[None, :]
+            most = self.pivots_of_cells @ self.pivots_of_groups.T + p * self.radius[:, None] + self.far[None, :] * c + self.far[None, :] * self.radius[:, None]
+            self.needed = most + _slack(most) >= self.bounds[None, :]
+
+
+def _slack(x: np.ndarray) -> np.ndarray:
+    """Float rounding must not drop a row; where a bound is unknown, nothing is dropped."""
+    return np.where(np.isfinite(x), 1e-9 * np.abs(x) + 1.0, np.inf)
+
+
+def _summaries(cells: list, groups: list, centres: dict[int, np.ndarray], cell_rows: int) -> dict[int, _Summary]:
+    return {d: _Summary([r for r in cells if r.d == d], [r for r in groups if r.d == d], centres.get(d), d, cell_rows) for d in {r.d for r in groups}}
+
+
+def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, k: int = 5, scale: float = 256.0, pivots: int = 1024, cell_rows: int = 8192, group_queries: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner products (queries: ids divisible by `every`).
 
     1. Equal vectors become one class holding its 2 * k smallest ids, an id k times at most: enough for any query, itself left out. A hot vector is so one row.
-    2. `pivots` classes, the first in hash order, bound scores from below; the first of them, one for each `cell_queries` queries (4 at least), are the
-       Voronoi centres. Query classes go to their nearest centre, hot ones parted by hash; a cell's summary is its centre, radius, and the least of its queries' k-th scores over the pivot rows, which no true
-       k-th score is below.
-    3. A data class goes to a cell only if  centre . x + radius * |x|  reaches that bound (Cauchy-Schwarz: no query of the cell scores x above the left side).
-    4. Cells are solved by themselves, against chunks of about `chunk_rows` data classes; classes are expanded to ids, ranked, and cut to k.
-
-    Driver and broadcast hold pivots and cell summaries: the number of cells is bounded by pivots + queries / cell_queries. Null ids, null, empty or
-    non-finite vectors take no part; vectors of other dimensions are no candidates of a query; repeated (id, vector) rows count as separate candidates
-    by id, and a query that stands m times meets each candidate m times among its k rows, as in the SQL; ties go to the smaller id; an empty table gives no rows; other columns are ignored. Components are taken to fit 62 bits after scaling."""
+    2. The first `pivots` classes in hash order are Voronoi pivots. Data classes are grouped by the nearest of the first of them (one for each `cell_rows`
+       rows), queries by the nearest of the first few (one for each `group_queries`). A data cell's summary is its pivot and radius R, a query group's its
+       pivot p, radius r and the least of its queries' bounds; a query's bound is its k-th score over all pivots, which its true k-th score is not below.
+    3. No query of a group scores a row x of a cell with pivot c above  p.c + |p| R + r |c| + r R  (Cauchy-Schwarz). Cells that stay below a group's bound are
+       not sent to it; of a cell that is, only the rows with  p.x + r |x|  at the bound or above go, and only to it go the queries with  q.c + |q| R  there.
+    4. A group and a share of a cell (large ones are split by hash) are solved by themselves; classes are expanded to ids, ranked, and cut to k.
+
+    Driver and broadcast hold pivots and summaries, at most `pivots` of each kind and dimension. Null ids, null, empty or non-finite vectors take no part,
+    nor do vectors whose scaled norm is LONGEST or more, as a long may not hold their scores; vectors of other dimensions are no candidates of a query;
+    repeated (id, vector) rows count as separate candidates by id, and a query that stands m times meets each candidate m times among its k rows, as in the
+    SQL; ties go to the smaller id; an empty table gives no rows; other columns are ignored. Where data has no clusters no bound can part them: every cell then
+    goes to every group, and the work is that of all pairs."""
     spark, keep = df.sparkSession, 2 * k
 
     def capped(ids: list[int]) -> list[int]:
@@ -69,7 +89,10 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
         for batch in batches:
             for d, (ids, x) in valid_vectors(batch, id_col, vec_col, keep_zero=True).items():
                 rows: dict[bytes, list[int]] = {}
-                for i, v in zip(ids.tolist(), _whole(x, scale)):
+                with np.errstate(over="ignore"):
+                    x = np.floor(x * scale)
+                    good = np.linalg.norm(x, axis=1) < LONGEST
+                for i, v in zip(ids[good].tolist(), x[good]):
                     rows.setdefault(_pack(v), []).append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([capped(r)[:keep] for r in rows.values()], pa.list_(pa.int64())), pa.array([sorted(i for i in r if i % every == 0) for r in rows.values()], pa.list_(pa.int64()))], names=["v", "ids", "asked"])
 
@@ -87,58 +110,66 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
     dims = {len(r.v) // 8 for r in centre_rows}
     centres = {d: np.array([np.frombuffer(r.v, "<i8") for r in centre_rows if len(r.v) == 8 * d]) for d in dims}
     n_rows, n_queries = data.agg(F.count(F.lit(1)), F.count_if("is_query")).first()
-    n_cells = min(pivots, max(4, n_queries // cell_queries))
-    heads = {d: c[:n_cells] for d, c in centres.items()}
-    parts, chunks = max(1, 2 * n_queries // (n_cells * cell_queries)), max(1, -(-n_rows // chunk_rows))
+    n_cells, n_groups = (min(pivots, -(-n // size)) or 1 for n, size in ((n_rows, cell_rows), (n_queries, group_queries)))
+    splits = -(-n_queries // (n_groups * group_queries)) or 1  # of a group beyond what pivots allow, by hash
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    def nearest(x: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        gap = (x * x).sum(axis=1)[:, None] - 2 * (x @ heads.T) + (heads * heads).sum(axis=1)
+        at = gap.argmin(axis=1)
+        return at, np.linalg.norm(x - heads[at], axis=1)
 
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for v in batch.column("v").to_pylist():
-                x = np.frombuffer(v, "<i8")
-                c = centres.get(len(x))
-                if c is None:  # no pivot has this dimension: one cell that takes all rows of it
-                    out.append((v, len(x), -1, 0.0, -np.inf))
-                    continue
-                gap = ((heads[len(x)] - x).astype(np.float64) ** 2).sum(axis=1)
-                scores = _products(x[None, :], c)[0]
-                # the query's own row may be among the pivots: its place is left out
-                scores = np.delete(scores, np.flatnonzero((c == x).all(axis=1)))
-                bound = float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
-                at = int(np.argmin(gap))
-                out.append((v, len(x), at * parts + xxhash.xxh3_64_intdigest(v) % parts, float(np.sqrt(gap[at])), bound))
-            yield pa.RecordBatch.from_pylist([dict(zip(("v", "d", "cell", "gap", "bound"), r)) for r in out], schema=pa.schema([("v", pa.binary()), ("d", pa.int32()), ("cell", pa.int64()), ("gap", pa.float64()), ("bound", pa.float64())]))
-
-    queries = scratch.write(data.filter("is_query").select("v").mapInArrow(tidy(assign), "v binary, d int, cell long, gap double, bound double"), "queries")
-    summary = queries.groupBy("d", "cell").agg(F.max("gap").alias("radius"), F.min("bound").alias("bound")).collect()
-    cells = {d: [r for r in summary if r.d == d] for d in {r.d for r in summary}}
-    shared = spark.sparkContext.broadcast(
-        {d: (np.array([r.cell for r in c]), np.array([centres[d][r.cell // parts] if r.cell >= 0 else np.zeros(d) for r in c], dtype=np.float64), np.array([r.radius if r.cell >= 0 else np.inf for r in c]), np.array([r.bound for r in c])) for d, c in cells.items()}
-    )
-
-    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vs = np.array(batch.column("v").to_pylist(), dtype=object)
+            sizes = np.array([len(v) // 8 for v in vs])
+            for d in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == d)
+                for part in np.split(own, range(1024, len(own), 1024)):
+                    whole, c = np.array([np.frombuffer(v, "<i8") for v in vs[part]]), centres.get(d)
+                    x, asks = whole.astype(np.float64), batch.column("is_query").to_numpy(zero_copy_only=False)[part]
+                    cell, group, gap, far, bound = np.full(len(x), -1), np.full(len(x), -1), np.full(len(x), np.inf), np.full(len(x), np.inf), np.full(len(x), -np.inf)
+                    if c is not None:
+                        cell, gap = nearest(x, c[:n_cells].astype(np.float64))
+                        group, far = nearest(x, c[:n_groups].astype(np.float64))
+                        if len(c) > k and asks.any():
+                            scores = _products(whole[asks], c).astype(np.float64)
+                            for row, v in zip(scores, whole[asks]):  # the query's own class is no candidate
+                                row[(c == v).all(axis=1)] = -np.inf
+                            bound[asks] = np.partition(scores, len(c) - k, axis=1)[:, len(c) - k]
+                    columns = [pa.array(np.full(len(x), d), pa.int32()), pa.array(cell, pa.int64()), pa.array(gap), pa.array(group, pa.int64()), pa.array(far), pa.array(bound)]
+                    kept = batch.select(["v", "ids", "is_query"]).take(pa.array(part))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *columns], names=["v", "ids", "is_query", "d", "cell", "gap", "grp", "far", "bound"])
+
+    placed = scratch.write(data.mapInArrow(tidy(assign), "v binary, ids array<long>, is_query boolean, d int, cell long, gap double, grp long, far double, bound double"), "placed")
+    cells = placed.groupBy("d", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).collect()
+    groups = placed.filter("is_query").groupBy("d", "grp").agg(F.max("far").alias("radius"), F.min("bound").alias("bound")).collect()
+    shared = spark.sparkContext.broadcast(_summaries(cells, groups, centres, cell_rows))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of `side` 0 to the groups that need them, queries (side 1) to the cells that they need."""
+        names = ["side", "d", "cell", "share", "grp", "split", "v", "ids"]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
         for batch in batches:
-            vs, idss = batch.column("v").to_pylist(), batch.column("ids").to_pylist()
-            for d in {len(v) // 8 for v in vs}:
+            out: list[tuple] = []
+            for v, ids, asks, d, cell, grp, bound in zip(*(batch.column(c).to_pylist() for c in ("v", "ids", "is_query", "d", "cell", "grp", "bound"))):
                 if d not in shared.value:
                     continue
-                cell, centre, radius, bound = shared.value[d]
-                rows = [(v, i) for v, i in zip(vs, idss) if len(v) == 8 * d]
-                for first in range(0, len(rows), 256):
-                    part = rows[first : first + 256]
-                    x = np.array([np.frombuffer(v, "<i8") for v, _ in part]).astype(np.float64)
-                    with np.errstate(invalid="ignore"):
-                        most = x @ centre.T + radius[None, :] * np.linalg.norm(x, axis=1)[:, None]
-                    most = np.where(np.isnan(most), np.inf, most)
-                    slack = 1e-9 * np.abs(most) + 1.0  # float rounding must not drop a row
-                    at, to = np.nonzero(most + slack >= bound[None, :])
-                    for a in range(0, len(at), 4096):
-                        rows_of, cells_of = at[a : a + 4096], cell[to[a : a + 4096]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows_of), d), pa.int32()), pa.array(cells_of), pa.array([part[r][0] for r in rows_of], pa.binary()), pa.array([part[r][1] for r in rows_of], pa.list_(pa.int64()))], names=["d", "cell", "v", "ids"])
-
-    sent = data.select("v", "ids").mapInArrow(tidy(replicate), "d int, cell long, v binary, ids array<long>").withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)))
+                s, x, h = shared.value[d], np.frombuffer(v, "<i8").astype(np.float64), xxhash.xxh3_64_intdigest(v)
+                norm, at = np.linalg.norm(x), s.row_of[cell]
+                most = s.pivots_of_groups @ x + s.far * norm
+                for g in np.flatnonzero(s.needed[at] & (most + _slack(most) >= s.bounds)).tolist():
+                    out += [(0, d, cell, h % int(s.shares[at]), int(s.groups[g]), split, v, ids) for split in range(splits)]
+                if asks:
+                    most = s.pivots_of_cells @ x + s.radius * norm
+                    for c in np.flatnonzero(s.needed[:, s.group_of[grp]] & (most + _slack(most) >= bound)).tolist():
+                        out += [(1, d, int(s.cells[c]), share, grp, h % splits, v, None) for share in range(int(s.shares[c]))]
+                if len(out) > 4096:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
+
+    sent = scratch.write(placed.mapInArrow(tidy(send), "side int, d int, cell long, share long, grp long, split long, v binary, ids array<long>"), "sent")
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         qv, xv, ids = left.column("v").to_pylist(), right.column("v").to_pylist(), right.column("ids").to_pylist()
@@ -155,8 +186,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                     out += [(v, i, -s) for s, i in found]
         return pa.Table.from_pylist([dict(zip(("v", "vec_id", "score"), r)) for r in out], schema=pa.schema([("v", pa.binary()), ("vec_id", pa.int64()), ("score", pa.int64())]))
 
-    asking = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    solved = asking.groupBy("d", "cell", "chunk").cogroup(sent.groupBy("d", "cell", "chunk")).applyInArrow(solve, "v binary, vec_id long, score long")
+    at = ["d", "cell", "share", "grp", "split"]
+    solved = sent.filter("side = 1").groupBy(*at).cogroup(sent.filter("side = 0").groupBy(*at)).applyInArrow(solve, "v binary, vec_id long, score long")
     best = Window.partitionBy("v").orderBy(F.desc("score"), "vec_id")  # rank <= 2 * k is cut before the shuffle
     solved = solved.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= keep)
     lists = solved.groupBy("v").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("top"))

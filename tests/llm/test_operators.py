@@ -239,6 +239,29 @@ def test_searches(spark):
     assert top_k(empty).count() == 0 and nearest(empty).count() == 0
 
 
+def test_voronoi_prunes_clusters_and_keeps_answers(spark):
+    from quarrylane.llm import topk_voronoi
+
+    rng = np.random.default_rng(3)
+    heads = rng.normal(size=(8, 16)) * 20
+    x = (heads[rng.integers(0, 8, 1500)] + rng.normal(size=(1500, 16)) * 0.1).astype(np.float32)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, [1e308] * 16), (5050, [1e12] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    kept, summaries = [], topk_voronoi._summaries
+    topk_voronoi._summaries = lambda *a: kept.append(summaries(*a)) or kept[-1]
+    try:
+        got = topk_voronoi.top_k(df, cell_rows=100, group_queries=4).collect()
+    finally:
+        topk_voronoi._summaries = summaries
+    m, found = np.floor(256 * x.astype(np.float64)), {}
+    for r in got:
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 1500, 50):
+        best = sorted((-int(s), c) for c, s in enumerate(m @ m[q]) if c != q)[:5]
+        assert sorted(found[q]) == [(n + 1, c, -v) for n, (v, c) in enumerate(best)]
+    assert set(found) == set(range(0, 1500, 50)) and kept[0][16].needed.mean() < 0.5
+
+
 def test_searches_with_repeated_queries(spark):
     from quarrylane.llm.ann_blocks import nearest
     from quarrylane.llm.topk_voronoi import top_k
