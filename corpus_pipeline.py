@@ -1,7 +1,8 @@
 """A training corpus from raw documents: each stage's decisions take effect on what the stage before it kept.
 
 Every stage but the last returns the columns of `documents`. Stages take empty tables, null texts and ids, and repeated rows as their operators define;
-rows without an id pass the near-duplicate stage, as none can stand for another there."""
+rows without an id pass the near-duplicate stage, as none can stand for another there. An empty table gives no rows at every stage, and stages keep the
+other columns of documents, whatever they are called."""
 
 from __future__ import annotations
 
@@ -29,10 +30,15 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates: sets of 5-word shingles with a Jaccard similarity of 0.8 or more."""
+    """Keeps the document with the smallest id of each group of near duplicates: sets of 5-word shingles with a Jaccard similarity of 0.8 or more.
+
+    Of repeated rows (one id, one text) one stays. An id with several texts goes if any of them is a copy of a document with a smaller id."""
     groups = jaccard.jaccard_components(docs, n=5, percent=80)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    seen = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("doc_id") != F.col("component_id")).alias("_gone"), (F.count(F.lit(1)) > 1).alias("_again"))
+    seen = Scratch(spark, "near").write(seen.filter("_gone OR _again"), "seen")
+    kept = docs.join(seen.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.join(seen.filter("NOT _gone").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(repeated)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

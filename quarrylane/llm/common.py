@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,15 +21,9 @@ WORD_STEP = 6_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else the warehouse, else (local master only) a temporary folder."""
+    """The folder all executors share: spark.checkpoint.dir, else one beside the warehouse's tables."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    made = tempfile.mkdtemp(prefix="quarrylane-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 class Scratch:

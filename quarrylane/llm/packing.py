@@ -162,7 +162,7 @@ def pack(df: DataFrame, window: int = 4096, id_col: str = "doc_id", text_col: st
 
 
 def sequences(pieces: DataFrame, window: int = 4096, pad_id: int = 0) -> DataFrame:
-    """sequence_id, doc_ids, ids (padded to `window`) from pieces with ids; boundary records are the pieces at a window's ends, joined here by sequence."""
+    """sequence_id, doc_ids, ids (padded to `window`) from pieces with ids; null ids of documents stay null, no pieces give no rows; boundary records are the pieces at a window's ends, joined here by sequence."""
     rows = pieces.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids32"))).alias("p"))  # at most `window` pieces each
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import steps, text_bytes, tidy
+from .common import Scratch, steps, text_bytes, tidy
 
 #: Labelled rows to fit on at most, the first in hash order.
 SAMPLE = 40_000
@@ -70,24 +70,26 @@ class QualityModel:
         return np.clip(0.998 * np.interp(raw, self.knots, self.values) + 0.002 / (1 + np.exp(-np.clip(4 * raw, -50, 50))), 0, 1)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, sample: int, wanted: Column) -> DataFrame:
-    """Documents with a 0/1 label `y`: at most `sample` labels in hash order, so the broadcast side has a fixed bound. A document labelled twice takes the larger label."""
+def labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, sample: int, wanted: Column) -> DataFrame:
+    """(_id, y, text) of documents with a 0/1 label: at most `sample` labels in hash order, so the broadcast side has a fixed bound. A document labelled twice
+    takes the larger label; a repeated document has a row each time, which callers fold by _id."""
     few = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter(wanted)
     few = few.groupBy("_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    return docs.join(F.broadcast(few), docs[id_col] == F.col("_id"))
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", waves: int = 384, ridge: float = 1e-3, sample: int = SAMPLE) -> QualityModel | None:
     """Fits on labels outside the held-out fold: ridge on three folds of five, isotonic calibration on the fourth. None if no labelled document exists or all have one label."""
-    schema = "fold int, y int, x binary"
+    schema = "_id long, fold int, y int, x binary"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
-            x = statistics(text_bytes(batch.column(text_col)))
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["fold", "y", "x"])
+        for batch in steps(batches):
+            x = statistics(text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("fold"), batch.column("y"), pa.array([r.tobytes() for r in x], pa.binary())], names=["_id", "fold", "y", "x"])
 
-    rows = labelled(docs, labels, label_col, id_col, sample, ~held_out("_id")).select((F.crc32(F.col("_id").cast("string").cast("binary")) % 5).cast("int").alias("fold"), "y", text_col)
-    rows = rows.mapInArrow(tidy(measure), schema).repartition(PARTS).persist()
+    rows = labelled(docs, labels, label_col, id_col, text_col, sample, ~held_out("_id")).select("_id", (F.crc32(F.col("_id").cast("string").cast("binary")) % 5).cast("int").alias("fold"), "y", "text")
+    rows = rows.mapInArrow(tidy(measure), schema).groupBy("_id").agg(F.min(F.struct("fold", "y", "x")).alias("r")).select("r.*")  # a repeated document counts once
+    rows = Scratch(docs.sparkSession, "quality").write(rows.repartition(PARTS), "rows")
 
     def summed(work):
         """A matrix summed within each of PARTS partitions, then over them: what reaches the driver has a fixed size."""
@@ -105,41 +107,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         found = rows.mapInArrow(tidy(run), "m binary, w int").collect()
         return sum(np.frombuffer(r.m).reshape(-1, r.w) for r in found) if found else None
 
-    try:
-        moments = summed(lambda fold, y, x: np.vstack([x.sum(axis=0), (x * x).sum(axis=0), np.full(x.shape[1], len(x)), np.full(x.shape[1], y.sum())]))
-        if moments is None or moments[3, 0] in (0, moments[2, 0]):
-            return None
-        n, centre = moments[2, 0], moments[0] / moments[2, 0]
-        spread = np.sqrt(np.maximum(moments[1] / n - centre**2, 1e-6))
-        rng = np.random.default_rng(7)
-        model = QualityModel(centre, spread, rng.normal(0, 1 / np.sqrt(len(centre)), (len(centre), waves)), rng.uniform(0, 2 * np.pi, waves), None, None, None)
-        rare = np.clip(0.5 * n / np.array([n - moments[3, 0], moments[3, 0]]), 0.5, 4)  # balances the two labels' weights
-
-        def normal(fold, y, x):
-            use = fold != 4
-            z, t = model.features(x[use]), y[use]
-            zw = z * np.where(t > 0, rare[1], rare[0])[:, None]
-            return np.hstack([z.T @ zw, (zw.T @ t)[:, None]])
-
-        system = summed(normal)
-        model.weights = np.linalg.solve(system[:, :-1] + ridge * n * np.eye(len(system)), system[:, -1])
-        edges = np.linspace(-1.5, 2.5, 2001)
-
-        def binned(fold, y, x):
-            use = fold == 4
-            raw = model.raw(x[use])
-            at = np.clip(np.searchsorted(edges, raw), 0, len(edges))
-            return np.vstack([np.bincount(at, w, len(edges) + 1) for w in (None, raw, y[use])])
-
-        count, raw, ones = summed(binned)
-        some = count > 0
-        if some.any():
-            model.knots, model.values = isotonic(raw[some] / count[some], ones[some] / count[some], count[some])
-        else:
-            model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
-        return model
-    finally:
-        rows.unpersist()
+    moments = summed(lambda fold, y, x: np.vstack([x.sum(axis=0), (x * x).sum(axis=0), np.full(x.shape[1], len(x)), np.full(x.shape[1], y.sum())]))
+    if moments is None or moments[3, 0] in (0, moments[2, 0]):
+        return None
+    n, centre = moments[2, 0], moments[0] / moments[2, 0]
+    spread = np.sqrt(np.maximum(moments[1] / n - centre**2, 1e-6))
+    rng = np.random.default_rng(7)
+    model = QualityModel(centre, spread, rng.normal(0, 1 / np.sqrt(len(centre)), (len(centre), waves)), rng.uniform(0, 2 * np.pi, waves), None, None, None)
+    rare = np.clip(0.5 * n / np.array([n - moments[3, 0], moments[3, 0]]), 0.5, 4)  # balances the two labels' weights
+
+    def normal(fold, y, x):
+        use = fold != 4
+        z, t = model.features(x[use]), y[use]
+        zw = z * np.where(t > 0, rare[1], rare[0])[:, None]
+        return np.hstack([z.T @ zw, (zw.T @ t)[:, None]])
+
+    system = summed(normal)
+    model.weights = np.linalg.solve(system[:, :-1] + ridge * n * np.eye(len(system)), system[:, -1])
+    edges = np.linspace(-1.5, 2.5, 2001)
+
+    def binned(fold, y, x):
+        use = fold == 4
+        raw = model.raw(x[use])
+        at = np.clip(np.searchsorted(edges, raw), 0, len(edges))
+        return np.vstack([np.bincount(at, w, len(edges) + 1) for w in (None, raw, y[use])])
+
+    count, raw, ones = summed(binned)
+    some = count > 0
+    if some.any():
+        model.knots, model.values = isotonic(raw[some] / count[some], ones[some] / count[some], count[some])
+    else:
+        model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    return model
 
 
 def score_documents(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
@@ -157,6 +156,7 @@ def score_documents(docs: DataFrame, model: QualityModel | None, id_col: str = "
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every document. Labels, lang, source and ids are no inputs of a score; repeated rows are scored each."""
+    """doc_id, held_out, score, predicted for every document. Labels, lang, source and ids are no inputs of a score; null and empty texts are scored as any
+    other, repeated rows each; a null id is not held out; an empty table gives no rows; other columns are ignored."""
     scored = score_documents(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")

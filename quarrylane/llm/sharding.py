@@ -99,11 +99,12 @@ def assign_shards(df: DataFrame, size: Column, key: Column, id_col: str, shards:
     """df with `shard` (0 to shards - 1) and `slot` (gapless from 0 in its shard); sizes near equal by bytes.
 
     Rows are ordered by `key`, then id, so copies of one text lie together and a shard boundary cuts a group only where its bytes demand it.
-    Null ids sort first and are kept; repeated rows get slots of their own; an empty table gives no rows. A clash of column names with
-    `size key id bucket first` is the caller's to avoid. Rows are exchanged once, by (shard, bucket); the narrow (key, id, size) table is probed before."""
-    keys = df.select(size.alias("size"), key.alias("key"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"))
+    Null sizes count 0; null ids sort first and are kept; repeated rows get slots of their own; an empty table gives no rows. Columns `shard` and
+    `slot` of df are replaced; others keep their names and values, whatever they are called. Repeated rows of one id and key lie in one shard. Rows are exchanged once, by (shard, bucket); the narrow (key, id, size) table is probed before."""
+    keys = df.select(F.coalesce(size, F.lit(0)).alias("size"), key.alias("key"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"))
     cuts = splitters(keys, shards, tolerance)
-    placed = df.withColumns({"key": key, "id": F.coalesce(F.col(id_col), F.lit(-(2**63)))})
+    names = [c for c in df.columns if c not in ("shard", "slot")]
+    placed = df.select(F.struct(*names).alias("row"), key.alias("key"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("id"))
     shard = F.lit(0)
     for cut in cuts:
         shard = shard + _not_before(cut).cast("int")
@@ -112,7 +113,7 @@ def assign_shards(df: DataFrame, size: Column, key: Column, id_col: str, shards:
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("key", "id"))
-    return placed.withColumn("within", within).join(F.broadcast(first), ["shard", "bucket"]).withColumn("slot", (F.col("first") + F.col("within") - 1).cast("long")).drop("key", "id", "bucket", "within", "first")
+    return placed.withColumn("within", within).join(F.broadcast(first), ["shard", "bucket"]).select("row.*", "shard", (F.col("first") + F.col("within") - 1).cast("long").alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
@@ -123,7 +124,8 @@ def write_shards(df: DataFrame, path: str) -> None:
 def shard_documents(df: DataFrame, shards: int = 24, tolerance: float = 0.002) -> DataFrame:
     """Digest rows of sharded documents: doc_id, size (UTF-8 bytes + 8; null text: 8), text_crc32, law, shard, slot, grown_shard (null).
 
-    Law: `bytes`. Copies of one text sort together; a hot group is cut by doc_id."""
+    Law: `bytes`. Copies of one text sort together; a hot group is cut by doc_id. Null ids and repeated rows get slots of their own; an empty table gives no
+    rows; other columns are ignored."""
     spark, text = df.sparkSession, F.coalesce(F.col("text"), F.lit(""))
     narrow = df.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -208,17 +208,19 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
                 digest.append(hashlib.sha256(whole).hexdigest())
                 if with_text:
                     texts.append(text if not n_removed[-1] else whole)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if with_text and c == text_col else batch.column(c) for c in kept_names]
+            own = batch.column("row").flatten()
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if with_text and c == text_col else own[k] for k, c in enumerate(kept_names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest)], names=[*kept_names, "n_words", "n_removed", "kept_sha256"])
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     kept_names = names if with_text else [c for c in names if c != text_col]
-    source = df.select(*kept_names, F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
+    source = df.select(F.struct(*kept_names).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).withColumn("_key", F.xxhash64("_text"))
     joined = source.join(judged.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left").drop("_key")
     schema = StructType([f for f in df.schema.fields if f.name in kept_names] + [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())])
     return joined.mapInArrow(tidy(keep), schema)
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row, as `remove_repeats` says; null texts have no words, repeated rows are judged alike."""
     return remove_repeats(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")

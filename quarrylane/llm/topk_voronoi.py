@@ -51,12 +51,12 @@ class _Summary:
         with np.errstate(invalid="ignore"):
             c, p = np.linalg.norm(self.pivots_of_cells, axis=1)[:, None], np.linalg.norm(self.pivots_of_groups, axis=1)[None, :]
             most = self.pivots_of_cells @ self.pivots_of_groups.T + p * self.radius[:, None] + self.far[None, :] * c + self.far[None, :] * self.radius[:, None]
-            self.needed = most + _slack(most) >= self.bounds[None, :]
+            self.needed = _upper(most) >= self.bounds[None, :]
 
 
-def _slack(x: np.ndarray) -> np.ndarray:
-    """Float rounding must not drop a row; where a bound is unknown, nothing is dropped."""
-    return np.where(np.isfinite(x), 1e-9 * np.abs(x) + 1.0, np.inf)
+def _upper(most: np.ndarray) -> np.ndarray:
+    """An upper bound with room for float rounding; where it is unknown, nothing is dropped."""
+    return np.where(np.isfinite(most), most + 1e-9 * np.abs(most) + 1.0, np.inf)
 
 
 def _summaries(cells: list, groups: list, centres: dict[int, np.ndarray], cell_rows: int) -> dict[int, _Summary]:
@@ -157,11 +157,11 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
                 s, x, h = shared.value[d], np.frombuffer(v, "<i8").astype(np.float64), xxhash.xxh3_64_intdigest(v)
                 norm, at = np.linalg.norm(x), s.row_of[cell]
                 most = s.pivots_of_groups @ x + s.far * norm
-                for g in np.flatnonzero(s.needed[at] & (most + _slack(most) >= s.bounds)).tolist():
+                for g in np.flatnonzero(s.needed[at] & (_upper(most) >= s.bounds)).tolist():
                     out += [(0, d, cell, h % int(s.shares[at]), int(s.groups[g]), split, v, ids) for split in range(splits)]
                 if asks:
                     most = s.pivots_of_cells @ x + s.radius * norm
-                    for c in np.flatnonzero(s.needed[:, s.group_of[grp]] & (most + _slack(most) >= bound)).tolist():
+                    for c in np.flatnonzero(s.needed[:, s.group_of[grp]] & (_upper(most) >= bound)).tolist():
                         out += [(1, d, int(s.cells[c]), share, grp, h % splits, v, None) for share in range(int(s.shares[c]))]
                 if len(out) > 4096:
                     yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)

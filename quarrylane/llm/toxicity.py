@@ -70,7 +70,8 @@ def fit_ordinal(rows: list[int], columns: list[int], values: list[float], grade:
         after = np.cumsum(g_theta[::-1])[::-1]
         g = np.concatenate([g_w, [after[0]], after[1:] * gaps])
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
-        params = params - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        rate = 0.1 * max(1 - step / rounds, 0.02)  # falls, so that the last rounds settle
+        params = params - rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
     theta = params[n_features] + np.concatenate([[0], np.cumsum(np.exp(params[n_features + 1 :]))])
     return params[:n_features], theta
 
@@ -78,12 +79,12 @@ def fit_ordinal(rows: list[int], columns: list[int], values: list[float], grade:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: int = TERMS) -> OrdinalModel | None:
     """Grades: 0 for label 0; a document of label 1 gets 1 to 3 by tertiles of how many marked words it has (words that label 1 makes far likelier).
     Learns from labels outside the held-out fold. None if no labelled document exists or all have one label."""
-    rows = labelled(docs, labels, label_col, id_col, sample, ~held_out("_id")).select("y", text_col)
+    rows = labelled(docs, labels, label_col, id_col, text_col, sample, ~held_out("_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, all_, n, n1 = Counter(), Counter(), 0, 0
-        for batch in steps(batches, text_col):
-            for y, t in zip(batch.column("y").to_pylist(), text_bytes(batch.column(text_col))):
+        for batch in steps(batches):
+            for y, t in zip(batch.column("y").to_pylist(), text_bytes(batch.column("text"))):
                 seen = set(words_of(t))
                 all_.update(seen)
                 n, n1 = n + 1, n1 + y
@@ -106,11 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     blank = OrdinalModel(names, np.zeros(len(names)), np.zeros(1))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
-            found = [blank.sparse(t) for t in text_bytes(batch.column(text_col))]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["y", "at", "x"])
+        for batch in steps(batches):
+            found = [blank.sparse(t) for t in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("y"), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))], names=["_id", "y", "at", "x"])
 
-    taken = rows.mapInArrow(tidy(vectors), "y int, at array<int>, x array<float>").collect()  # `sample` rows of at most `terms` features
+    found = rows.mapInArrow(tidy(vectors), "_id long, y int, at array<int>, x array<float>")
+    once = found.groupBy("_id").agg(F.min(F.struct("y", "at", "x")).alias("r")).orderBy("_id").select("r.*")  # a repeated document counts once
+    taken = once.collect()  # at most `sample` rows of at most `terms` features
     hits = np.array([sum(np.expm1(x) for i, x in zip(r["at"], r.x) if i in marked) for r in taken])
     label = np.array([r.y for r in taken])
     bounds = np.quantile(hits[label == 1], [1 / 3, 2 / 3])
@@ -138,4 +141,7 @@ def score_documents(docs: DataFrame, model: OrdinalModel | None, text_col: str =
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, severity, p_toxic, toxic for every document. The labels are 0 and 1: grades 1 to 3 are tertiles of how many marked words a document of label 1 has.
+
+    Null and empty texts have the base rate; repeated rows are graded each, null ids too; an empty table gives no rows; other columns are ignored."""
     return score_documents(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", "severity", "p_toxic", "toxic")

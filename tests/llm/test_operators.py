@@ -320,3 +320,160 @@ def test_pipeline(spark):
     assert 0 < docs.count() < start.count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.collect()}
+
+
+CLASHES = ["y", "_id", "score", "predicted", "severity", "toxic", "_text", "_key", "rep", "spans", "row", "id", "key", "within", "bucket", "first", "part", "chunk", "sig", "cls", "own", "n"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty texts, repeated rows, ids with two texts, a long word, and columns named like internal ones."""
+    long = " ".join(f"w{k % 700}" for k in range(30_000))
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, None), (None, "q " * 30), (None, None), (3, ""), (4, long), (5, long), (5, "other text here"), (6, "x" * 200_000)]
+    return spark.createDataFrame([(*r, "en", "s", len(r[1] or ""), *range(len(CLASHES))) for r in rows], DOCS + "".join(f", {c} int" for c in CLASHES)).repartition(3)
+
+
+def test_operators_take_odd_rows_and_clashing_columns(spark, odd):
+    from pyspark.sql import functions as F
+
+    from quarrylane.llm import bpe, jaccard, lm_maxent, packing, quality, sharding, substring_dedup, toxicity
+
+    labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").withColumns({"text": F.lit("x"), "y": F.lit(9)})
+    total = odd.count()
+    for run in (
+        lambda d: quality.classify(d, labels), lambda d: toxicity.grade_documents(d, labels), substring_dedup.digest_rows, lm_maxent.score_documents, bpe.encode_digests, sharding.shard_documents, jaccard.jaccard_components,
+    ):
+        assert run(odd).count() == total and run(odd.limit(0)).count() == 0
+    assert packing.pack(odd).select("doc_id").distinct().count() == 7
+    scored = quality.score_documents(odd, quality.fit(odd, labels))
+    assert set(odd.columns) <= set(scored.columns) and scored.count() == total
+    cleaned = substring_dedup.remove_repeats(odd, with_text=True)
+    assert [r.rep for r in cleaned.collect()] == [CLASHES.index("rep")] * total and set(odd.columns) <= set(cleaned.columns)
+    placed = sharding.assign_shards(odd, F.length("text"), F.xxhash64("text"), "doc_id", 2)
+    assert {(r["id"], r["first"]) for r in placed.collect()} == {(CLASHES.index("id"), CLASHES.index("first"))}
+
+
+def test_quality_is_ridge_on_its_features(spark):
+    from quarrylane.llm import quality
+
+    r = random.Random(5)
+    rows = [(k, " ".join("".join(r.choice("abcd#&") for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 60)))) for k in range(300)]
+    label = {k: int(t.count("&") * 6 < len(t) * 0.9) for k, t in rows}
+    docs = spark.createDataFrame(rows + rows[:40], "doc_id long, text string").repartition(4)  # repeated documents count once
+    model = quality.fit(docs, spark.createDataFrame([(k, y) for k, y in label.items()], "doc_id long, quality int"))
+    fold = {k: zlib.crc32(str(k).encode()) % 5 for k in label}
+    x = quality.statistics([t.encode() for _, t in rows])
+    use = np.array([fold[k] != 0 for k, _ in rows])
+    y, own = np.array([label[k] for k, _ in rows], float), np.array([fold[k] for k, _ in rows])
+    assert np.allclose(model.centre, x[use].mean(axis=0))
+    z, n = model.features(x), use.sum()
+    w = np.where(y > 0, *reversed(np.clip(0.5 * n / np.array([n - y[use].sum(), y[use].sum()]), 0.5, 4)))
+    fit = use & (own != 4)
+    best = np.linalg.solve(z[fit].T @ (z[fit] * w[fit, None]) + 1e-3 * n * np.eye(z.shape[1]), z[fit].T @ (w[fit] * y[fit]))
+    assert np.allclose(z @ best, model.raw(x), atol=1e-6) and (np.diff(model.values) > 0).all()
+
+
+def test_ordinal_fit_is_a_maximum(spark):
+    from quarrylane.llm.toxicity import fit_ordinal
+
+    rng = np.random.default_rng(2)
+    x = (rng.random((400, 5)) < 0.4).astype(float)
+    grade = np.digitize(x @ np.array([2.0, 1, 0, -1, 0.5]) + rng.logistic(size=400), [1.0, 2.5, 4.0])
+    r, c = np.nonzero(x)
+    w, t = fit_ordinal(r.tolist(), c.tolist(), x[r, c].tolist(), grade, 5, rounds=1500)
+
+    def loss(w, t):
+        edge = np.concatenate([[-np.inf], t, [np.inf]])
+        line = x @ w
+        p = 1 / (1 + np.exp(-(edge[grade + 1] - line))) - 1 / (1 + np.exp(-(edge[grade] - line)))
+        return -np.log(p).mean() + 0.02 / 2 * (w @ w) / 5
+
+    assert (np.diff(t) > 0).all()
+    for k in range(8):
+        for step in (-0.05, 0.05):
+            v = np.concatenate([w, t])
+            v[k] += step
+            assert loss(v[:5], v[5:]) > loss(w, t) - 1e-5
+
+
+def test_shards_are_cuts_of_one_order(spark):
+    from quarrylane.llm.sharding import shard_documents
+
+    r = random.Random(9)
+    rows = [(k, r.choice(["hot " * 30, f"t{k} " * r.randint(0, 60)])) for k in range(4000)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    texts_ = dict(rows)
+    key = {x.t: x.k for x in spark.createDataFrame([(t,) for t in set(texts_.values())], "t string").selectExpr("t", "xxhash64(t) k").collect()}
+    order = sorted(got, key=lambda g: (key[texts_[g.doc_id]], g.doc_id))
+    assert [g.shard for g in order] == sorted(g.shard for g in order)
+    mean = sum(g["size"] for g in got) / 8
+    for s in range(8):
+        own = [g for g in got if g.shard == s]
+        assert abs(sum(g["size"] for g in own) - mean) < 0.02 * mean + max(g["size"] for g in own) and sorted(g.slot for g in own) == list(range(len(own)))
+
+
+def test_language_model_is_a_distribution(spark):
+    from quarrylane.llm import lm_maxent
+
+    vocabulary = [f"v{k}" for k in range(12)]
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choices(vocabulary, k=8))) for k in range(300)]
+    held = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 7 == 2][:15]
+    # every one-word text, one with an unknown word, and the empty text: their first tokens are all outcomes of one context
+    firsts = [*vocabulary, "unknown", ""]
+    rows += list(zip(held, firsts))
+    got = {d.doc_id: d for d in lm_maxent.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ends = {k: got[k].score for k in held[: len(firsts)]}
+    # P(word) >= P(word, end), and the sum over all two-token texts and the empty one is at most 1
+    total = sum(10 ** s for s in ends.values())
+    assert 0 < total <= 1 + 1e-9 and all(s < 0 for s in ends.values())
+    known = [got[k] for k in held[: len(vocabulary)]]
+    assert all(g.n_known == 2 and g.n_tokens == 2 for g in known) and got[held[12]].n_known == 1
+
+
+def test_pipeline_against_brute_force(spark, docs):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from quarrylane.llm.bpe import default_vocabulary
+
+    rows = [tuple(r) for r in docs.collect()]
+    rows += [rows[30], rows[30]]  # repeated rows
+    table = spark.createDataFrame(rows, DOCS)
+    sets = {}
+    for k, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    text = {k: t for k, t, *_ in rows if find(k) == k}
+    kept = corpus_pipeline.one_of_each_group(spark, table, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(text)
+    seen, gone = set(), {k: set() for k in text}
+    for k in sorted(text):
+        words = (text[k] or "").encode().split()
+        for i in range(len(words) - 19):
+            w = tuple(words[i : i + 20])
+            if w in seen:
+                gone[k] |= set(range(i, i + 20))
+            seen.add(w)
+    want = {k: t if not gone[k] else b" ".join(w for i, w in enumerate(t.encode().split()) if i not in gone[k]).decode() for k, t in text.items()}
+    cleaned = corpus_pipeline.drop_repeated_passages(spark, kept, "")
+    assert {r.doc_id: r.text or "" for r in cleaned.collect()} == {k: t or "" for k, t in want.items()}
+    library = Tokenizer.from_file(default_vocabulary())
+    sizes = {k: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in want.items()}
+    pieces = corpus_pipeline.pack(spark, cleaned, "").groupBy("doc_id").agg({"length": "sum"}).collect()
+    assert {r[0]: r[1] for r in pieces} == sizes
+    nothing = table.limit(0)
+    for _, stage in corpus_pipeline.STAGES[2:]:
+        assert stage(spark, nothing, "").count() == 0
