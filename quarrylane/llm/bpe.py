@@ -53,12 +53,13 @@ class Vocabulary:
             self.automaton.add_word(inner, (i, len(inner)))
         self.automaton.make_automaton()
         self.rank = {m: self.pairs[h][0] for m, h in self.halves.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.canonical: dict[int, bool] = {}
         self.byte_chars = _byte_alphabet()
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE over the joined text of two tokens gives back these two: no merge across their border comes before the border parts are built."""
-        key = (a, b)
+        key = a << 32 | b
         known = self.fits.get(key)
         if known is None:
             if len(self.fits) >= 1_000_000:
@@ -98,13 +99,26 @@ class Vocabulary:
         if n == 2:
             return [self.ids[word + self.suffix]]
         last, back = ([-1] * (n + 1), [0] * (n + 1)) if n < 4096 else (array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1))
+        fits, whole = self.fits, self.canonical
         for end, (token, size) in self.automaton.iter(text):
+            end += 1
             # the last character is one symbol with its suffix, so no token ends between them
-            if end == n - 2 or last[end + 1] >= 0:
+            if last[end] >= 0 or end == n - 1:
                 continue
-            start = end + 1 - size
-            if self._canonical(token) if start == 0 else last[start] >= 0 and self.compatible(last[start], token):
-                last[end + 1], back[end + 1] = token, start
+            start = end - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                good = fits.get(before << 32 | token)
+                if good is None:
+                    good = self.compatible(before, token)
+            else:
+                good = whole.get(token)
+                if good is None:
+                    good = self._canonical(token)
+            if good:
+                last[end], back[end] = token, start
         out = []
         while n:
             out.append(last[n])
@@ -113,11 +127,10 @@ class Vocabulary:
 
     def _canonical(self, token: int) -> bool:
         """Whether BPE over a token's own text gives the token: its halves must be compatible up to their own merge."""
-        key = (token, -1)
-        known = self.fits.get(key)
+        known = self.canonical.get(token)
         if known is None:
             half = self.halves.get(token)
-            known = self.fits[key] = half is None or (self._canonical(half[0]) and self._canonical(half[1]) and self._until(half, self.rank[token]))
+            known = self.canonical[token] = half is None or (self._canonical(half[0]) and self._canonical(half[1]) and self._until(half, self.rank[token]))
         return known
 
     def _until(self, half: tuple[int, int], rank: int) -> bool:
@@ -185,7 +198,7 @@ def loaded(path: str) -> tuple[Vocabulary, Recent]:
     """A worker's vocabulary and its cache of words."""
     if path not in _LOADED:
         vocabulary = Vocabulary(path)
-        _LOADED[path] = (vocabulary, Recent(vocabulary.encode_word, 250_000))
+        _LOADED[path] = (vocabulary, Recent(vocabulary.encode_word, 350_000))
     return _LOADED[path]
 
 
@@ -196,11 +209,12 @@ def chunks(path: str) -> Recent:
     """chunk -> (number of ids, the ids as decimal text, the tokens' strings in UTF-8), a space before each id and string."""
     if path not in _CHUNKS:
         vocabulary, words = loaded(path)
-        names = vocabulary.names
+        decimal, names = ({i: f" {t}".encode() for i, t in texts} for texts in (((i, i) for i in vocabulary.names), vocabulary.names.items()))
+        joined = b"".join
 
         def make(chunk: bytes) -> tuple[int, bytes, bytes]:
             ids = vocabulary.encode_chunk(chunk, words)
-            return len(ids), "".join([f" {i}" for i in ids]).encode(), "".join([f" {names[i]}" for i in ids]).encode()
+            return len(ids), joined(map(decimal.__getitem__, ids)), joined(map(names.__getitem__, ids))
 
         _CHUNKS[path] = Recent(make, 250_000)
     return _CHUNKS[path]
