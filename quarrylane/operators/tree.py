@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import link_share
+
 MAX_DEPTH = 256
 SEP = "\\"
 
@@ -59,6 +61,11 @@ def tree_metrics(files: DataFrame, chains: DataFrame | None = None) -> DataFrame
     return chains.select("drive", "frs").join(sums, ["drive", "frs"], "left").select("drive", "frs", *[F.coalesce(x, F.lit(0)).cast("long").alias(y) for x, y in (("n", "descendants"), ("s", "treesize"), ("a", "tree_allocated"))])
 
 
+def shared_links(files: DataFrame) -> DataFrame:
+    """Link rows (`link` of `links`, from 0) with their exact share of size and allocated, so that subtree sums count a record once however many links it has."""
+    return files.withColumns({c: link_share(F.col(c), F.col("link"), F.col("links")) for c in ("size", "allocated")})
+
+
 def with_tree(files: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     metrics = tree_metrics(files) if metrics is None else metrics
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")

@@ -587,6 +587,15 @@ def links_and_streams(spark, sf_dir):
     return expand_streams(expand_links(records)).select("drive", "frs", "name")
 
 
+@_query("SELECT f.drive, f.frs, coalesce(t.descendants, 0) * 3 - coalesce(d.n, 0) * 2 AS descendants, coalesce(t.treesize, 0) AS treesize, coalesce(t.tree_allocated, 0) AS tree_allocated FROM files f LEFT JOIN tree t ON f.drive = t.drive AND f.frs = t.frs LEFT JOIN (SELECT drive, a AS frs, count(*) AS n FROM (SELECT drive, unnest(chain) AS a FROM paths WHERE is_directory) GROUP BY 1, 2) d ON f.drive = d.drive AND f.frs = d.frs WHERE f.is_directory")
+def tree_metrics_of_links(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    many = F.when(F.col("is_directory"), F.lit(1)).otherwise(F.lit(3))
+    links = F.transform(F.sequence(F.lit(1), many), lambda k: F.struct(F.concat("name", k.cast("string")).alias("name"), F.col("parent_frs").alias("parent_frs")))
+    rows = expand_links(files.withColumns({"links": links, "n": many})).withColumnsRenamed({"n": "links"}).withColumn("name", F.expr("CASE WHEN is_directory THEN left(name, length(name) - 1) ELSE name END"))
+    return tree.tree_metrics(tree.shared_links(rows))
+
+
 @_query("SELECT 0 AS part, '\"name\";\"size\"' AS value UNION ALL SELECT 0, '' UNION ALL SELECT 1, '\"' || name || '\";' || size FROM files")
 def text_export_header(spark, sf_dir):
     return sinks.with_header(sinks.text_lines(_files(spark, sf_dir), ["name", "size"], ";"), ["name", "size"], ";")

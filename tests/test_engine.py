@@ -174,3 +174,61 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def _record(frs, parent=5, name="", flags=1, data=b"", base=0, streams=(), extra_names=(), size=None):
+    """A record as a volume holds it: header, standard information, names, data, update sequence."""
+    import struct
+
+    def resident(kind, value, label=""):
+        text = label.encode("utf-16-le")
+        head = 24 + len(text) + (-len(text) % 8)
+        total = head + len(value) + (-len(value) % 8)
+        body = struct.pack("<IIBBHHHIHH", kind, total, 0, len(label), 24, 0, 0, len(value), head, 0) + text
+        return (body.ljust(head, b"\0") + value).ljust(total, b"\0")
+
+    def file_name(text, up, space):
+        units = text if isinstance(text, bytes) else text.encode("utf-16-le")
+        return resident(0x30, struct.pack("<Q", up | 1 << 48) + bytes(56) + bytes([len(units) // 2, space]) + units)
+
+    out = resident(0x10, struct.pack("<qqqqI", *[133_496_544_000_000_010 + k for k in range(4)], 0x20) + bytes(12))
+    for text, up, space in ([(name, parent, 1)] if name else []) + list(extra_names):
+        out += file_name(text, up, space)
+    if size is not None:
+        out += struct.pack("<IIBBHHHQQHHIQQQ", 0x80, 72, 1, 0, 64, 0, 0, 0, 0, 64, 0, 0, size[1], size[0], size[0]).ljust(72, b"\0")
+    elif data:
+        out += resident(0x80, data)
+    for label, value in streams:
+        out += resident(0x80, value, label)
+    out += struct.pack("<I", 0xFFFFFFFF)
+    head = struct.pack("<4sHHQHHHHIIQHHI", b"FILE", 48, 3, 0, 7, 1, 56, flags, 56 + len(out), 1024, base, 0, 0, frs)
+    raw = bytearray((head.ljust(56, b"\0") + out).ljust(1024, b"\0"))
+    raw[48:50] = b"\xab\xcd"
+    for k in (1, 2):
+        raw[48 + 2 * k : 50 + 2 * k] = raw[512 * k - 2 : 512 * k]
+        raw[512 * k - 2 : 512 * k] = b"\xab\xcd"
+    return bytes(raw)
+
+
+def test_master_file_table(spark, tmp_path):
+    from quarrylane.sources import mft
+
+    torn = bytearray(_record(4, name="torn.txt"))
+    torn[510] ^= 1
+    lone = "a".encode("utf-16-le") + b"\x01\xd8" + "b".encode("utf-16-le")
+    records = {
+        5: _record(5, 5, ".", flags=3), 6: _record(6, 5, "docs", flags=3, data=b""), 7: _record(7, 6, "note.TXT", data=b"x" * 300, streams=[("meta", b"12345")], extra_names=[("NOTE~1.TXT", 6, 2), ("link.md", 5, 1)]),
+        8: _record(8, 6, "big.bin", base=0), 9: _record(9, base=8 | 1 << 48, extra_names=[("big2.bin", 5, 1)], size=(70_000, 73_728)), 10: _record(10, 5, "gone.log", flags=0, data=b"zz"), 11: _record(11, 5, lone),
+    }
+    (tmp_path / "mft.bin").write_bytes(b"".join(records.get(k, bytes(torn) if k == 4 else bytes(1024)) for k in range(12)))
+    status = {r.frs: r.status for r in mft.decoded(mft.raw_records(spark, str(tmp_path / "mft.bin"))).collect()}
+    assert status[4] == "corrupt" and status[0] == "empty" and all(status[k] == "ok" for k in records)
+    rows = mft.load(spark, str(tmp_path / "mft.bin"), "C", with_deleted=True)
+    got = {(r.frs, r["name"]): r for r in rows.collect()}
+    assert set(got) == {(5, "."), (6, "docs"), (7, "note.TXT"), (7, "link.md"), (7, "note.TXT:meta"), (7, "link.md:meta"), (8, "big.bin"), (8, "big2.bin"), (10, "gone.log"), (11, "a?b")}
+    assert got[7, "note.TXT"]["size"] == 300 and got[7, "note.TXT"].ext == "txt" and got[7, "link.md:meta"]["size"] == 5 and got[7, "link.md"].parent_frs == 5
+    assert (got[8, "big2.bin"]["size"], got[8, "big.bin"].allocated) == (70_000, 73_728) and got[10, "gone.log"].deleted and got[6, "docs"].is_directory and got[6, "docs"].flags == 0x30
+    paths = {r.frs: r.path for r in tree.with_paths(rows).filter("name = 'note.TXT'").collect()}
+    assert paths == {7: ".:\\docs\\note.TXT"}
+    assert [r["name_hex"] for r in search(rows, SearchParams(malformed=True, columns=["name_hex"])).collect()] == ["61eda08162"]
+    assert mft.load(spark, str(tmp_path / "mft.bin"), "C").filter("deleted").count() == 0
