@@ -2,30 +2,30 @@
 
 # Fixed values. Extension lists of file types, in the order in which the first match wins.
 TYPE_EXTENSIONS = {
-    "document": "doc docx pdf txt rtf odt xls xlsx ppt pptx csv md",
-    "picture": "jpg jpeg png gif bmp tiff tif webp svg ico raw heic",
-    "video": "mp4 avi mkv mov wmv flv webm mpeg mpg m4v 3gp",
-    "audio": "mp3 wav flac aac ogg wma m4a opus aiff",
-    "archive": "zip rar 7z tar gz bz2 xz iso",
-    "code": "rs py js ts java c cpp h hpp go rb php swift kt",
-    "executable": "exe msi bat cmd ps1 com scr",
-    "script": "sh bash zsh fish csh ksh awk sed lua pl pm tcl",
-    "web": "html htm css scss less sass jsx tsx vue svelte wasm xhtml",
-    "font": "ttf otf woff woff2 eot fon",
-    "database": "db sqlite sqlite3 mdb accdb sql ldf mdf ndf dbf",
-    "config": "ini cfg conf yaml yml toml json xml env properties reg inf plist",
-    "log": "log out err trace evt evtx",
-    "backup": "bak old orig swp tmp temp ~",
-    "disk": "vmdk vhd vhdx vdi qcow2 img wim iso dmg",
-    "data": "csv tsv parquet avro arrow ndjson jsonl dat sav hdf5",
-    "cad": "dwg dxf step stp stl obj fbx blend 3ds gltf glb",
-    "shortcut": "lnk url desktop webloc",
-    "system": "sys dll drv ocx cpl ax mui",
-    "cert": "pem crt cer der pfx p12 key csr jks",
-    "ebook": "epub mobi azw azw3 djvu cbr cbz",
+    "document": ["doc", "docx", "pdf", "txt", "rtf", "odt", "xls", "xlsx", "ppt", "pptx", "csv", "md"],
+    "picture": ["jpg", "jpeg", "png", "gif", "bmp", "tiff", "tif", "webp", "svg", "ico", "raw", "heic"],
+    "video": ["mp4", "avi", "mkv", "mov", "wmv", "flv", "webm", "mpeg", "mpg", "m4v", "3gp"],
+    "audio": ["mp3", "wav", "flac", "aac", "ogg", "wma", "m4a", "opus", "aiff"],
+    "archive": ["zip", "rar", "7z", "tar", "gz", "bz2", "xz", "iso"],
+    "code": ["rs", "py", "js", "ts", "java", "c", "cpp", "h", "hpp", "go", "rb", "php", "swift", "kt"],
+    "executable": ["exe", "msi", "bat", "cmd", "ps1", "com", "scr"],
+    "script": ["sh", "bash", "zsh", "fish", "csh", "ksh", "awk", "sed", "lua", "pl", "pm", "tcl"],
+    "web": ["html", "htm", "css", "scss", "less", "sass", "jsx", "tsx", "vue", "svelte", "wasm", "xhtml"],
+    "font": ["ttf", "otf", "woff", "woff2", "eot", "fon"],
+    "database": ["db", "sqlite", "sqlite3", "mdb", "accdb", "sql", "ldf", "mdf", "ndf", "dbf"],
+    "config": ["ini", "cfg", "conf", "yaml", "yml", "toml", "json", "xml", "env", "properties", "reg", "inf", "plist"],
+    "log": ["log", "out", "err", "trace", "evt", "evtx"],
+    "backup": ["bak", "old", "orig", "swp", "tmp", "temp", "~"],
+    "disk": ["vmdk", "vhd", "vhdx", "vdi", "qcow2", "img", "wim", "iso", "dmg"],
+    "data": ["csv", "tsv", "parquet", "avro", "arrow", "ndjson", "jsonl", "dat", "sav", "hdf5"],
+    "cad": ["dwg", "dxf", "step", "stp", "stl", "obj", "fbx", "blend", "3ds", "gltf", "glb"],
+    "shortcut": ["lnk", "url", "desktop", "webloc"],
+    "system": ["sys", "dll", "drv", "ocx", "cpl", "ax", "mui"],
+    "cert": ["pem", "crt", "cer", "der", "pfx", "p12", "key", "csr", "jks"],
+    "ebook": ["epub", "mobi", "azw", "azw3", "djvu", "cbr", "cbz"],
 }
 # Fixed values. The executables collection of extension filters is wider than the type.
-EXECUTABLE_COLLECTION = "exe msi bat cmd ps1 com scr vbs wsf dll sys"
+EXECUTABLE_COLLECTION = ["exe", "msi", "bat", "cmd", "ps1", "com", "scr", "vbs", "wsf", "dll", "sys"]
 # Fixed values. Collection names in extension filters.
 COLLECTIONS = {"pictures": "picture", "images": "picture", "documents": "document", "docs": "document", "videos": "video", "video": "video", "music": "audio", "audio": "audio", "archives": "archive", "compressed": "archive", "code": "code", "source": "code"}
 # Fixed values. Attribute bits.
@@ -34,7 +34,10 @@ ATTRIBUTES = {
     "offline": 0x1000, "notindexed": 0x2000, "encrypted": 0x4000, "integrity": 0x8000, "virtual": 0x10000, "noscrub": 0x20000, "recall_on_open": 0x40000, "pinned": 0x80000, "unpinned": 0x100000, "recall_on_data_access": 0x400000,
 }
 # Fixed values. Names of file-system metafiles.
-METAFILES = "$mft $mftmirr $logfile $volume $attrdef $bitmap $boot $badclus $secure $upcase $extend $objid $quota $reparse $usnjrnl $rmmetadata $deleted $repair $tops $txflog $txf".split()
+METAFILES = [
+    "$mft", "$mftmirr", "$logfile", "$volume", "$attrdef", "$bitmap", "$boot", "$badclus", "$secure", "$upcase", "$extend", "$objid", "$quota",
+    "$reparse", "$usnjrnl", "$rmmetadata", "$deleted", "$repair", "$tops", "$txflog", "$txf",
+]
 # Fixed values. Reason bits of journal records.
 REASON_DATA_EXTEND = 0x2
 REASON_DATA_TRUNCATION = 0x4

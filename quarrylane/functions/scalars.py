@@ -17,7 +17,7 @@ def extension(name: Column) -> Column:
 def file_type(ext: Column, is_directory: Column) -> Column:
     kinds = F.when(is_directory, F.lit("directory")).when(ext == "", F.lit("file"))
     for kind, names in fixed.TYPE_EXTENSIONS.items():
-        kinds = kinds.when(ext.isin(names.split()), F.lit(kind))
+        kinds = kinds.when(ext.isin(names), F.lit(kind))
     return kinds.otherwise(F.lit("other"))
 
 

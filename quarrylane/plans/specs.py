@@ -76,9 +76,9 @@ def expand_extensions(spec: str) -> list[str]:
     out: list[str] = []
     for token in (t.strip().lower().lstrip(".") for t in spec.split(",")):
         if token in ("executables", "exec"):
-            out += fixed.EXECUTABLE_COLLECTION.split()
+            out += fixed.EXECUTABLE_COLLECTION
         elif token in fixed.COLLECTIONS:
-            out += fixed.TYPE_EXTENSIONS[fixed.COLLECTIONS[token]].split()
+            out += fixed.TYPE_EXTENSIONS[fixed.COLLECTIONS[token]]
         elif token:
             out.append(token)
     return list(dict.fromkeys(out))

@@ -48,7 +48,7 @@ WITH RECURSIVE files AS (
   FROM (SELECT drive, size, allocated, unnest(chain) AS a FROM paths) GROUP BY 1, 2
 )
 """
-_TYPE = "CASE WHEN is_directory THEN 'directory' WHEN ext = '' THEN 'file' " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names.split())}) THEN '{kind}'" for kind, names in fixed.TYPE_EXTENSIONS.items()) + " ELSE 'other' END"
+_TYPE = "CASE WHEN is_directory THEN 'directory' WHEN ext = '' THEN 'file' " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in names)}) THEN '{kind}'" for kind, names in fixed.TYPE_EXTENSIONS.items()) + " ELSE 'other' END"
 _METRICS = "CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS total_bytes, CAST(sum(allocated) AS BIGINT) AS total_allocated, CAST(greatest(sum(allocated) - sum(size), 0) AS BIGINT) AS waste_bytes, CASE WHEN sum(allocated) > 0 THEN CAST(greatest(sum(allocated) - sum(size), 0) AS DOUBLE) * 100 / sum(allocated) ELSE 0.0 END AS waste_pct, avg(size) AS avg_size, min(size) AS min_size, max(size) AS max_size"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -591,7 +591,8 @@ def links_and_streams(spark, sf_dir):
 def tree_metrics_of_links(spark, sf_dir):
     files = _files(spark, sf_dir)
     many = F.when(F.col("is_directory"), F.lit(1)).otherwise(F.lit(3))
-    links = F.transform(F.sequence(F.lit(1), many), lambda k: F.struct(F.concat("name", k.cast("string")).alias("name"), F.col("parent_frs").alias("parent_frs")))
+    one = [F.struct(F.concat("name", F.lit(str(k))).alias("name"), F.col("parent_frs").alias("parent_frs")) for k in range(3)]
+    links = F.when(F.col("is_directory"), F.array(one[0])).otherwise(F.array(*one))
     rows = expand_links(files.withColumns({"links": links, "n": many})).withColumnsRenamed({"n": "links"}).withColumn("name", F.expr("CASE WHEN is_directory THEN left(name, length(name) - 1) ELSE name END"))
     return tree.tree_metrics(tree.shared_links(rows))
 
