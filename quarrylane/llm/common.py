@@ -36,6 +36,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        found = root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root)
+        self.drop(*[f.getPath().getName() for f in found if f.getPath().getName() not in names])
+
     def drop(self, *names: str) -> None:
         """Deletes tables that no later step reads, and lets Spark clear the shuffle files of ended jobs."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

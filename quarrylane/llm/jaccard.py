@@ -245,6 +245,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = classes.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = scratch.write(named.join(least, "root").select("cls", "component_id"), "named")
+    scratch.keep("measured", "named")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "cls").join(final, "cls", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

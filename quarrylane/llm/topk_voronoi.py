@@ -171,6 +171,8 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", eve
 
     sent = scratch.write(placed.mapInArrow(tidy(send), "side int, d int, cell long, share long, grp long, split long, v binary, ids array<long>"), "sent")
 
+    scratch.keep("sent")
+
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         qv, xv, ids = left.column("v").to_pylist(), right.column("v").to_pylist(), right.column("ids").to_pylist()
         out: list[tuple] = []
