@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,7 +21,7 @@ NARROW, MIDDLE = 512, 2048  # least bits of a parity bitmap; bits from which the
 #: A broadcast of class keys is used up to this many rows (16 bytes each); beyond, rows are shuffled.
 BROADCAST_ROWS = 400_000
 SALTS = 4
-BLOCK = 20_000  # classes of an open group that one task compares with as many others
+BLOCK = 20_000  # classes of a hot signature or an open group that one task compares with as many others
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -212,8 +212,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     fields = ["part", "x", "y", "c", "sigs"]
     parts = partitions_for(spark)
-    indexed = docs.mapInArrow(tidy(index), "sig long, cls long, size int").repartition(parts, "sig").mapInArrow(tidy(bucket), "part long, x long, y long, c long, sigs array<long>")
-    met = scratch.write(indexed, "met")
+    signed = scratch.write(docs.mapInArrow(tidy(index), "sig long, cls long, size int"), "signed")
+    met = scratch.write(_dealt(signed, scratch).repartition(parts, "sig").mapInArrow(tidy(bucket), "part long, x long, y long, c long, sigs array<long>"), "met")
+    scratch.drop("signed", "hot")
     tried = met.filter("part IS NULL").groupBy("x", "y").agg(F.sum("c").alias("c")).groupBy("y").agg(F.max_by("x", F.struct("c", "x")).alias("x"))
     tried = scratch.write(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), "tried")
     classes = scratch.write(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"), F.any_value("wide").alias("wide")), "classes")
@@ -259,6 +260,24 @@ def _members(part: int, cls: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(np.full(size, part)), pa.array(cls[own[:-1]]), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), sigs], names=["part", "x", "y", "c", "sigs"])
 
 
+def _cells(key: str, share: Column, shares: Column) -> Column:
+    """The cells of a grid that a share of a hot key lies in: one with each share, so that two rows of a key meet whatever their shares are."""
+    return F.transform(F.sequence(F.lit(0), shares - 1), lambda o: F.xxhash64(F.col(key), F.least(share, o), F.greatest(share, o)))
+
+
+def _dealt(signed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(sig, cls, size) with every signature of over BLOCK rows replaced by cells of a grid, each with the classes of two of its shares, so that no bucket is
+    larger and no two classes that share a signature are kept apart. The hot signatures are under 1 in BLOCK of the rows; Spark broadcasts their table only
+    where its written size allows."""
+    hot = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("shares"))
+    hot = scratch.write(hot, "hot")
+    if hot.isEmpty():
+        return signed
+    share = F.pmod(F.xxhash64("cls"), "shares").cast("int")
+    cells = F.when(F.col("shares").isNull(), F.array("sig")).otherwise(_cells("sig", share, F.col("shares")))
+    return signed.join(hot, "sig", "left").select(F.explode(cells).alias("sig"), "cls", "size")
+
+
 def _open_groups(groups: DataFrame, roots: DataFrame, refuted: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Members (part, cls, sigs) and refuted pairs (part, a, b) of the groups that verified links leave in several components.
 
@@ -269,16 +288,10 @@ def _open_groups(groups: DataFrame, roots: DataFrame, refuted: DataFrame, scratc
     own = known.join(mixed, "group").select("cls", "group", "shares", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("share"))
     own = scratch.write(own, name)
 
-    def cell(x, y):
-        return F.xxhash64("group", F.least(x, y), F.greatest(x, y))
-
-    def shares(of):
-        return F.transform(F.sequence(F.lit(0), F.col("shares") - 1), of)
-
-    members = own.select(F.explode(shares(lambda o: cell(F.col("share"), o))).alias("part"), "cls").select("part", "cls", F.array("part").alias("sigs"))
+    every, one = _cells("group", F.col("share"), F.col("shares")), F.xxhash64("group", F.least("share", "other"), F.greatest("share", "other"))
+    members = own.select(F.explode(every).alias("part"), "cls").select("part", "cls", F.array("part").alias("sigs"))
     pairs = refuted.join(own.withColumnRenamed("cls", "a"), "a").join(own.select(F.col("cls").alias("b"), F.col("share").alias("other"), F.col("group").alias("its")), "b").filter("group = its")
-    cells = F.when(F.col("share") == F.col("other"), shares(lambda o: cell(F.col("share"), o))).otherwise(F.array(cell(F.col("share"), F.col("other"))))
-    return members, pairs.select("a", "b", F.explode(cells).alias("part"))
+    return members, pairs.select("a", "b", F.explode(F.when(F.col("share") == F.col("other"), every).otherwise(F.array(one))).alias("part"))
 
 
 def _compared(members: DataFrame, facts: DataFrame, failed: DataFrame | None, most: int, percent: int, parts: int) -> DataFrame:

@@ -105,6 +105,42 @@ def test_jaccard_null_bridge_and_few_words(spark):
     assert [tuple(r) for r in jaccard_components(few, n=5).collect()] == [(5, 1, 5)]
 
 
+def test_jaccard_hot_signatures(spark, monkeypatch):
+    """One passage in every document, sets of several components: signatures of over BLOCK classes are dealt to a grid of cells."""
+    from quarrylane.llm import jaccard as J
+
+    r = random.Random(7)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for family in range(6):
+        base = common + [f"f{family}x{k}" for k in range(50)]
+        for copy in range(12):
+            w = list(base)
+            for _ in range(r.randrange(4)):
+                w[r.randrange(60, len(w))] = f"r{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    sets = {k: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for k, t in rows}
+    root = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a != b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in sets:  # labels spread along links
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, deal = [], J._dealt
+
+    def watched(signed, scratch):
+        out = deal(signed, scratch)
+        dealt.append((signed.count(), out.count(), out.groupBy("sig").count().agg({"count": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(J, "_dealt", watched)
+    for block in (20_000, 8):
+        monkeypatch.setattr(J, "BLOCK", block)
+        assert {d.doc_id: d.component_id for d in J.jaccard_components(df).collect()} == root
+    (rows_in, rows_out, most), (small_in, small_out, small_most) = dealt
+    assert rows_in == rows_out == small_in < small_out and small_most < most
+
+
 def test_pair_signatures_lose_nothing():
     from quarrylane.llm import jaccard as J
 
