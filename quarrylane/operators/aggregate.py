@@ -316,3 +316,23 @@ def catalog_statistics(files: DataFrame) -> DataFrame:
     edges = list(zip(names, cuts, cuts[1:]))
     c = F.col("size")
     return files.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_directory").alias("directories"), F.sum("size").alias("bytes"), F.sum(F.when(F.col("flags").bitwiseAND(F.lit(2)) != 0, c).otherwise(0)).alias("hidden_bytes"), *[F.count_if((c >= a) & ((c < b) if b else F.lit(True)) & ~F.col("is_directory")).alias(n) for n, a, b in edges])
+
+
+def drive_statistics(files: DataFrame) -> DataFrame:
+    """Totals of each volume."""
+    return files.groupBy("drive").agg(F.count(F.lit(1)).alias("records"), F.count_if(~F.col("is_directory")).alias("files"), F.count_if("is_directory").alias("directories"), F.sum("size").alias("bytes"), F.sum("allocated").alias("allocated"))
+
+
+def top_extensions(files: DataFrame, n: int, by: str = "bytes") -> DataFrame:
+    """(ext, count, bytes) of the n first extensions by `bytes` or `count`; the empty one is one of them, ties go by name."""
+    if by not in ("bytes", "count"):
+        raise ValueError(f"top extensions go by bytes or count, not {by}")
+    groups = files.groupBy("ext").agg(F.count(F.lit(1)).alias("count"), F.sum("size").alias("bytes"))
+    return groups.orderBy(F.desc(by), "ext").limit(n)
+
+
+def table_summary(files: DataFrame) -> DataFrame:
+    """One row of a stored table: its rows, directories and sizes, and rows with each attribute; records of several links where the table has `links`."""
+    marks = [F.count_if(F.col("flags").bitwiseAND(F.lit(bit)) != 0).alias(f"with_{name}") for name, bit in fixed.ATTRIBUTES.items()]
+    many = [F.count_if(F.col("links") > 1).alias("multi_link")] if "links" in files.columns else []
+    return files.agg(F.count(F.lit(1)).alias("records"), F.count_if("is_directory").alias("directories"), F.sum("size").alias("bytes"), F.sum("allocated").alias("allocated"), F.max("size").alias("largest"), *marks, *many)

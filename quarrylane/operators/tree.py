@@ -51,6 +51,16 @@ def with_paths(files: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     return joined.select(*files.columns, path.alias("path"), base.alias("path_only"), above.alias("chain"), bad.alias("malformed_path"))
 
 
+def record_info(files: DataFrame, path: str, chains: DataFrame | None = None) -> DataFrame:
+    """All columns and the path of the rows at a path, whatever its case: its directory is found among directories, its last segment among that one's children,
+    so no file's path is built. A bare volume is no record."""
+    chains = directory_chains(files) if chains is None else chains
+    above, _, leaf = path.replace("/", SEP).rstrip(SEP).rpartition(SEP)
+    up = chains.filter(F.lower("path") == F.lower(F.lit(above))).select("drive", F.col("frs").alias("parent_frs"), F.col("path").alias("_up"))
+    found = files.filter(F.lower("name") == F.lower(F.lit(leaf))).join(up, ["drive", "parent_frs"])
+    return found.select(*files.columns, F.concat("_up", F.lit(SEP), "name").alias("path"))
+
+
 def tree_metrics(files: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """(drive, frs, descendants, treesize, tree_allocated) of directories. Files sum up to their parent first, so a hot directory is pre-aggregated before
     anything is multiplied by depth; then each directory's own sum goes to all its ancestors."""

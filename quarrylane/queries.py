@@ -607,6 +607,42 @@ def paths_blob(spark, sf_dir):
     return sinks.paths_blob(_search(spark, sf_dir, pattern="*.exe", columns=["path"]))
 
 
+@_query("SELECT drive, CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (NOT is_directory) AS BIGINT) AS files, CAST(count(*) FILTER (is_directory) AS BIGINT) AS directories, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(allocated) AS BIGINT) AS allocated FROM files GROUP BY drive")
+def drive_statistics(spark, sf_dir):
+    return agg.drive_statistics(_files(spark, sf_dir))
+
+
+_EXTENSIONS = "SELECT ext, CAST(count(*) AS BIGINT) AS count, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY ext"
+
+
+@_query(f"SELECT * FROM ({_EXTENSIONS}) ORDER BY bytes DESC, ext LIMIT 4")
+def top_extensions_bytes(spark, sf_dir):
+    return agg.top_extensions(_files(spark, sf_dir), 4)
+
+
+@_query(f"SELECT * FROM ({_EXTENSIONS}) ORDER BY count DESC, ext LIMIT 4")
+def top_extensions_count(spark, sf_dir):
+    return agg.top_extensions(_files(spark, sf_dir), 4, "count")
+
+
+_MARKS = ", ".join(f"CAST(count(*) FILTER ((flags & {bit}) <> 0) AS BIGINT) AS with_{name}" for name, bit in fixed.ATTRIBUTES.items())
+
+
+@_query(f"SELECT CAST(count(*) AS BIGINT) AS records, CAST(count(*) FILTER (is_directory) AS BIGINT) AS directories, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(allocated) AS BIGINT) AS allocated, max(size) AS largest, {_MARKS} FROM files")
+def table_summary(spark, sf_dir):
+    files = _files(spark, sf_dir)
+    return agg.table_summary(files.drop("links"))
+
+
+@_query("SELECT drive, frs, parent_frs, name, size, path FROM paths WHERE lower(path) IN ('africa:' || chr(92) || 'nation_10', 'middle east:' || chr(92) || 'nation_4', 'africa:') AND parent_frs <> 0")
+def record_info(spark, sf_dir):
+    files, chains = _files(spark, sf_dir), _chains(sf_dir)
+    chains = tree.directory_chains(files) if chains is None else chains
+    paths = ["Africa:\\NATION_10", "middle east:/nation_4/", "AFRICA:"]
+    found = [tree.record_info(files, p, chains).select("drive", "frs", "parent_frs", "name", "size", "path") for p in paths]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
