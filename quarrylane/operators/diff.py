@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def snapshot_diff(baseline: DataFrame, current: DataFrame, key: str = "file_ref", compared: tuple[str, ...] = ("size", "modified"), order: str | None = None) -> DataFrame:
-    """(key, change): deleted, added or modified. The baseline's side is its first row per key, by column `order`, else as it is read; key 0 is no reference.
-    One join of both sides."""
+def snapshot_diff(baseline: DataFrame, current: DataFrame, key: str = "file_ref", compared: tuple[str, ...] = ("size", "modified"), order: str | None = None, none: int | None = 0) -> DataFrame:
+    """(key, change): deleted, added or modified. The baseline's side is its first row per key, by column `order` (null last), else as it is read; key `none`
+    and null are no reference. With `none` None every key is one, 0 and null too. One join of both sides."""
     place = F.col(order) if order else F.monotonically_increasing_id()
-    numbered = baseline.filter(F.col(key) != 0).select(key, F.struct(*compared).alias("old"), place.alias("place"))
+    real = F.lit(True) if none is None else F.col(key) != none
+    numbered = baseline.filter(real).select(key, F.struct(*compared).alias("old"), F.struct(place.isNull(), place).alias("place"))
     first = numbered.groupBy(key).agg(F.min_by("old", "place").alias("old"))
-    now = current.filter(F.col(key) != 0).select(key, F.struct(*compared).alias("new"))
+    now = current.filter(real).select(F.col(key).alias("_now"), F.struct(*compared).alias("new"))
     kind = F.when(F.col("new").isNull(), F.lit("deleted")).when(F.col("old").isNull(), F.lit("added")).when(F.col("old") != F.col("new"), F.lit("modified"))
-    return first.join(now, key, "full_outer").select(key, kind.alias("change")).filter(F.col("change").isNotNull())
+    return first.join(now, F.col(key).eqNullSafe(F.col("_now")), "full_outer").select(F.coalesce(key, "_now").alias(key), kind.alias("change")).filter(F.col("change").isNotNull())
 
 
 def limited(delta: DataFrame, most: int, key: str = "file_ref") -> DataFrame:

@@ -128,6 +128,16 @@ def test_diff_takes_the_first_baseline_row(spark):
         assert {tuple(r) for r in diff.snapshot_diff(old, now, order=order).collect()} == {(2, "modified"), (3, "added")}
 
 
+def test_diff_of_repeated_keys_keeps_every_key(spark, tmp_path):
+    rows = [(3, 0), (4, 0), (9, None), (5, 7), (6, 7), (1, 8), (None, 2), (-3, -1), (-6, -1)]
+    spark.createDataFrame(rows, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(Q.ORACLES["snapshot_diff_repeated_keys"]).fetchall()
+    assert {(0, "modified"), (None, "modified"), (-1, "modified")} == set(want)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in Q.QUERIES["snapshot_diff_repeated_keys"](spark, str(tmp_path)).collect())
+
+
 def test_cli(spark):
     p, aggs = parse_args(["C:*.dll", "--exact-descendants", "3", "--facet", "type", "--count", "--between", "2020-01-01,2021-01-01", "--newer", "2020-06-01"])
     assert (p.drives, p.ext, p.pattern, p.ranges, aggs) == (["C"], "dll", "*", {"descendants": (3, 3)}, ["count", "terms:type,top=20"])
