@@ -6,11 +6,14 @@ other columns of documents, whatever they are called."""
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylane.llm import jaccard, packing, quality, substring_dedup, toxicity
-from quarrylane.llm.common import Scratch
+from quarrylane.llm.common import Scratch, give_back
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,12 +55,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _from_small_heaps(stage: Callable) -> Callable:
+    """The same stage, begun when executors have given back what the stage before left in their heaps; else its own workers come on top of that."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", drop_low_quality),
-    ("near_duplicates", one_of_each_group),
-    ("substring_dedup", drop_repeated_passages),
-    ("packing", pack),
+    ("near_duplicates", _from_small_heaps(one_of_each_group)),
+    ("substring_dedup", _from_small_heaps(drop_repeated_passages)),
+    ("packing", _from_small_heaps(pack)),
 ]
 
 ORACLE_SQL = None

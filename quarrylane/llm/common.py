@@ -43,7 +43,7 @@ class Scratch:
         self.drop(*[f.getPath().getName() for f in found if f.getPath().getName() not in names])
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that no later step reads, and lets Spark clear the shuffle files of ended jobs."""
+        """Deletes tables that no later step reads (or none), and lets Spark clear the shuffle files of ended jobs."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -51,6 +51,12 @@ class Scratch:
         jvm.System.gc()
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect garbage, a task to a core: a heap that an earlier step has filled shrinks, and its memory goes back to the system."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -513,3 +513,21 @@ def test_pipeline_against_brute_force(spark, docs):
     nothing = table.limit(0)
     for _, stage in corpus_pipeline.STAGES[2:]:
         assert stage(spark, nothing, "").count() == 0
+
+
+def test_stages_begin_with_collected_heaps(spark):
+    import corpus_pipeline
+
+    def collections():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = spark.createDataFrame([(1, "some words", "en", "web", 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        before = collections()
+        stage(spark, docs, "")
+        assert collections() > before, name
+        if name == "packing":
+            before = collections()
+            corpus_pipeline.packing.pack(docs)
+            assert collections() == before  # so the stage's own collection was seen
