@@ -117,14 +117,21 @@ def _keys(raw: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(k) >> U64(64 - KEY_BITS) & ~U64(KINDS - 1) | U64(i) for i, k in enumerate(kinds)])
 
 
-def _packed(x: np.ndarray, level: int = 1) -> bytes:
-    """Unsigned numbers in the fewest bytes that hold them all, the first byte telling how many."""
-    size = next(k for k in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * k)
-    return bytes([size]) + zlib.compress(x.astype(f"<u{size}").tobytes(), level)
+def _packed(x: np.ndarray, noise: bool = False) -> bytes:
+    """Unsigned numbers in the fewest bytes that hold them all, which the first byte tells; bytes of one weight stand together, the highest first. Of `noise`
+    only the highest are compressed."""
+    size = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T[::-1])
+    dense = 1 if noise else size
+    return bytes([size]) + zlib.compress(planes[:dense], 1) + planes[dense:].tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob[1:]), f"<u{blob[0]}").astype(np.uint64)
+    size, stream = blob[0], zlib.decompressobj()
+    planes = np.frombuffer(stream.decompress(blob[1:]) + stream.unused_data, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes[::-1].T
+    return out.view("<u8").reshape(-1)
 
 
 def _chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,7 +176,7 @@ def n_grams_met(chunks: DataFrame, total: int) -> DataFrame:
                 slices = (once[new] >> U64(bits)).astype(np.int32)
                 gaps = np.diff(once, prepend=U64(0))
                 gaps[new] = once[new] & U64((1 << bits) - 1)
-                keys, times = ([_packed(p, level) for p in np.split(x, new[1:])] for x, level in ((gaps, 0), (times, 1)))
+                keys, times = ([_packed(p, noise) for p in np.split(x, new[1:])] for x, noise in ((gaps, True), (times, False)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), row["chunk"])), pa.array(slices), pa.array(keys, pa.binary()), pa.array(times, pa.binary())], names=["chunk", "slice", "keys", "times"])
 
     def add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -384,6 +391,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     del top
     structure = Structure(hashes, head_counts, _clusters(learn, hashes, head_counts))
     model = train(learn, scratch, structure)
+    scratch.drop("counts", "features")
     rest = float(total - head_counts.sum() + (distinct - len(hashes)) + 1)  # add-one mass of the words beyond the head and of the unknown one
     shared, fitted = spark.sparkContext.broadcast(structure), spark.sparkContext.broadcast(model)
     floor = np.log10(float(total + distinct + 1))
@@ -392,7 +400,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = scratch.write(n_grams_met(chunks, total), "met")
     once = met.filter("chunk < 0").agg(F.sum("pairs"), F.sum("skips")).first()
     rarely = [n / max(total - n, 1) for n in once]
-    scratch.drop("counts", "features")
+    scratch.drop()
     met = met.filter("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("slice", "counts"))).alias("met"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

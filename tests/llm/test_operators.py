@@ -531,3 +531,14 @@ def test_stages_begin_with_collected_heaps(spark):
             before = collections()
             corpus_pipeline.packing.pack(docs)
             assert collections() == before  # so the stage's own collection was seen
+
+
+def test_packed_numbers_are_small():
+    rng = np.random.default_rng(0)
+    for x in (np.zeros(0, np.uint64), np.array([0], np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), rng.integers(0, 2**40, 1000, dtype=np.uint64)):
+        for noise in (False, True):
+            assert np.array_equal(lm_maxent._unpacked(lm_maxent._packed(x, noise)), x)
+    gaps = rng.exponential(2**26, 20_000).astype(np.uint64)
+    assert len(lm_maxent._packed(gaps, True)) < 3.55 * len(gaps)
+    counts = np.minimum(rng.zipf(1.3, 20_000), 10**6).astype(np.uint64)
+    assert len(lm_maxent._packed(counts)) < 1.25 * len(counts)
